@@ -32,7 +32,7 @@ weeks month months year years percent dollar dollars cent cents euro euros mph k
 #: Stand for a name, a number and a unit.
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 NAME_AT = r"(?<=[\p{L}\p{N},;]\s)\p{Lu}\p{Ll}+"
-NUMBER_AT = r"(?<!\S)[^\s\p{L}\p{N}]*\d[\d.,:/-]*[^\s\p{L}\p{N}]*(?!\S)"
+NUMBER_AT = r"\d(?<![\p{L}\p{N}]\d)\d*(?:[.,:/-]\d+)*(?![\p{L}\p{N}])"
 UNIT_AT = rf"(?<={NUMBER}\s)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 PUNCTUATION = rf"[^\p{{L}}\p{{N}}\s{NAME}-{UNIT}]+"
 
@@ -45,13 +45,13 @@ def tokens(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """The text with placeholders; it has as many tokens as the text itself."""
-    clean = F.translate(text, NAME + NUMBER + UNIT, "   ")
-    named = F.regexp_replace(clean, NAME_AT, NAME)
+    named = F.regexp_replace(plain(text), NAME_AT, NAME)
     return F.regexp_replace(F.regexp_replace(named, NUMBER_AT, NUMBER), UNIT_AT, UNIT)
 
 
 def plain(text: Column) -> Column:
-    return F.translate(text, NAME + NUMBER + UNIT, "   ")
+    """The text without characters that stand for something."""
+    return F.regexp_replace(text, f"[{NAME}-{UNIT}]", " ")
 
 
 def _zipped(t: str, width: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import common as C
-from . import mixing, quality_rules, sharding, token_records, url_filter, warc_zip
+from . import classifier, decontam, mixing, quality_rules, sharding, simhash, substring, token_records, url_filter, warc_zip
 from .oracles import ORACLES
 
 
@@ -35,6 +35,28 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rated(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document once those that start earlier as well are gone."""
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the likeness."""
+    found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item_words", "covered_words", "similarity", "n_slots")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learned from the labels that aren't held out."""
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the smallest id in its class."""
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_code().alias("fingerprint"), "component_id")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and place of every document, now and with one more shard."""
     got = sharding.assign(table(spark, sf_dir, "documents"))
@@ -51,7 +73,18 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_url_filter, op3_warc_zip, op4_quality_rules, op9_sharding, op10_token_records)
+    for f in (
+        op1_mix_sources,
+        op2_url_filter,
+        op3_warc_zip,
+        op4_quality_rules,
+        op5_substring_dedup,
+        op6_decontamination,
+        op7_quality_classifier,
+        op8_simhash,
+        op9_sharding,
+        op10_token_records,
+    )
 }
 
 
