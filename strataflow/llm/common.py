@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -72,6 +73,13 @@ def stage(df: DataFrame, kind: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are staged and no longer referred to. Spark deletes them once the driver's JVM
+    has collected the objects that stand for them, which an idle heap may put off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a table of `rows` counted rows for broadcast if that is within the limit; else leave the join to a shuffle."""
     return F.broadcast(df) if rows <= limit else df

@@ -4,13 +4,14 @@ A window is WINDOW consecutive words of one document. A word goes if a window th
 with a smaller id, or earlier in the same one). Three steps:
 
 1. Routing. In each window the smallest hash of its runs of GRAM words is its anchor, so equal windows have equal anchors.
-   Anchors that occur once in all the corpus rule their windows out; the few windows left are grouped by their own hash, and
-   each group's first place is its owner.
-2. Reference shards. The owners' windows make passages, which are dealt into shards of about SHARD_WORDS words. A suffix
-   automaton of each shard keeps, for every word run, the first place where it ends.
-3. Streaming. Each document with a window owned elsewhere runs through the automata of those owners' shards. Where the matching
-   statistic reaches WINDOW, the automaton's state gives the earliest place of the same words; if that is before the
-   document's own, the window is removed. The removed words are the union of such windows, which are maximal spans.
+   Anchors that occur once in all the corpus rule their windows out. Neighbouring windows with one anchor make a run. Runs are
+   grouped by their own hash; a run that isn't its group's first is owned by the first. Only the first runs' windows are
+   grouped one by one, since an edge of a repeated passage shares windows, not the run.
+2. Reference shards. What owners own makes passages, which are dealt into shards of about SHARD_WORDS words. A suffix
+   automaton of each shard keeps, for every word sequence, the first place where it ends.
+3. Streaming. The stretches of each document with a window owned elsewhere go through the automata of those owners' shards.
+   Where the matching statistic reaches WINDOW, the automaton's state gives the earliest place of the same words; if that
+   is before the document's own, the window is removed. The removed words are the union of such windows, maximal spans.
 
 An automaton isn't broadcast to all tasks but sent to those that stream documents through it; a shard that many documents
 need is copied to several tasks. Words decide, hashes only route, so a collision of hashes can't remove a word. Windows
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -36,8 +37,8 @@ from . import common as C
 WINDOW = 20
 GRAM = 8
 SHARD_WORDS = 100_000
-#: Documents that one task streams through one automaton.
-STREAM_DOCS = 500
+#: Runs that one task streams through one automaton.
+STREAM_RUNS = 10_000
 BATCH_ROWS = 500
 #: Largest number of documents whose ids are broadcast, after a count, to pick their texts out.
 BROADCAST_DOCS = 300_000
@@ -107,18 +108,33 @@ class Batch:
         doc, value = doc[keep], value[keep].view(np.int64)
         return np.split(value, np.searchsorted(doc, np.arange(1, len(self.sizes))))
 
-    def candidates(self, repeated: list) -> tuple[list, list]:
-        """Per document the starts and hashes of the windows whose anchor is among its repeated ones."""
+    def candidates(self, repeated: list) -> tuple[list, list, list, list]:
+        """Per document the runs of windows whose anchor is among its repeated ones: their first starts, their numbers of
+        windows, their hashes; and the hashes of all their windows."""
+        starts, sizes, keys, marks, at = [], [], [], [], 0
+        reach = WINDOW - GRAM + 1
         with np.errstate(over="ignore"):
-            hashes = run_hashes(self.words, WINDOW).view(np.int64)
-        starts, marks, at = [], [], 0
-        for i, own in enumerate(repeated):
-            n = int(self.windows[i])
-            hit = np.flatnonzero(np.isin(self.anchor[at : at + n], np.array(own, np.int64).view(np.uint64)))
-            starts.append(hit.astype(np.int32))
-            marks.append(hashes[self.bounds[i] + hit])
-            at += n
-        return starts, marks
+            hashes = run_hashes(self.words, WINDOW)
+            for i, own in enumerate(repeated):
+                n = int(self.windows[i])
+                anchor = self.anchor[at : at + n]
+                hit = np.flatnonzero(np.isin(anchor, np.array(own, np.int64).view(np.uint64)))
+                at += n
+                fresh = np.ones(len(hit), bool)
+                fresh[1:] = (np.diff(hit) != 1) | (anchor[hit[1:]] != anchor[hit[:-1]])
+                # periodic text can repeat an anchor for long; runs are cut so that their first and last windows overlap
+                first = np.flatnonzero(fresh)
+                place = np.arange(len(hit)) - np.repeat(first, np.diff(np.append(first, len(hit))))
+                first = np.flatnonzero(place % reach == 0)
+                size = np.diff(np.append(first, len(hit)))
+                own_marks = hashes[self.bounds[i] + hit]
+                a, b = own_marks[first], own_marks[first + size - 1] if len(first) else own_marks[:0]
+                key = (a * np.uint64(0x9E3779B97F4A7C15) ^ (b + size.astype(np.uint64))) * np.uint64(0x94D049BB133111EB)
+                starts.append(hit[first].astype(np.int32))
+                sizes.append(size.astype(np.int32))
+                keys.append((key ^ (key >> np.uint64(32))).view(np.int64))
+                marks.append(own_marks.view(np.int64))
+        return starts, sizes, keys, marks
 
 
 def lists(values: list, kind: pa.DataType) -> pa.Array:
@@ -136,9 +152,14 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        starts, marks = Batch(batch.column(4)).candidates(batch.column(5).to_pylist())
-        made = [*batch.columns[:4], lists(starts, pa.int32()), lists(marks, pa.int64())]
-        yield pa.RecordBatch.from_arrays(made, ["uid", "doc_id", "th", "text", "starts", "marks"])
+        starts, sizes, keys, marks = Batch(batch.column(2)).candidates(batch.column(3).to_pylist())
+        cut = np.concatenate([*sizes, np.zeros(0, np.int32)])
+        nested = pa.ListArray.from_arrays(
+            pa.array(np.concatenate(([0], np.cumsum(cut))).astype(np.int32)), pa.array(np.concatenate([*marks, np.zeros(0, np.int64)]))
+        )
+        outer = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sizes]))).astype(np.int32))
+        runs = [lists(starts, pa.int32()), lists(sizes, pa.int32()), lists(keys, pa.int64()), pa.ListArray.from_arrays(outer, nested)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *runs], ["rank", "text", "starts", "sizes", "keys", "marks"])
 
 
 # --- suffix automaton
@@ -210,39 +231,52 @@ def merge(starts: list[int], n: int = WINDOW) -> list[int]:
     return out
 
 
+def _piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rank, text, work): the words of each stretch of the document that a shard owns (kind 0) or has to test (kind 1)."""
+    for batch in batches:
+        rows = []
+        for rank, text, work in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            words, by = text.encode().split(), {}
+            for x in work:
+                by.setdefault((x["shard"], x["kind"]), set()).update(range(x["start"], x["start"] + x["size"]))
+            for (shard, kind), starts in by.items():
+                cover = merge(sorted(starts))
+                rows += [(shard, kind, rank, a, b" ".join(words[a:b])) for a, b in zip(cover[::2], cover[1::2], strict=True)]
+        cols = zip(*rows, strict=True) if rows else [[]] * 5
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "kind", "rank", "begin", "piece"])
+
+
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, salt, kind, none, doc_id, th, uid, text, starts), sorted in that order. Kind 0 is an owner, whose starts are
-    its owned windows; kind 1 a document to run through the automaton of the shard's owners."""
-    group, auto, begins, places = None, None, [], []
+    """Rows (shard, salt, kind, rank, begin, piece), sorted in that order: first the shard's own passages, then what to test."""
+    group, auto, begins, places, at = None, None, [], [], None
     for batch in batches:
         found, spans = [], []
-        for shard, salt, kind, none, doc_id, th, uid, text, starts in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+        for shard, salt, kind, rank, begin, piece in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
             if (shard, salt) != group:
-                group, auto, begins, places = (shard, salt), Automaton(), [], []
-            key, words = (none, doc_id or 0, th), text.encode().split()
+                group, auto, begins, places, at = (shard, salt), Automaton(), [], [], None
+            words = piece.split()
             if kind == 0:
-                cover = merge(sorted(starts))
-                for a, b in zip(cover[::2], cover[1::2], strict=True):
-                    begins.append(auto.n)
-                    places.append((key, a))
-                    for word in words[a:b]:
-                        auto.add(word)
-                    auto.add(len(begins))  # a number ends each passage; no text has one among its words, which are bytes
+                begins.append(auto.n)
+                places.append((rank, begin))
+                for word in words:
+                    auto.add(word)
+                auto.add(len(begins))  # a number ends each passage; no text has one among its words, which are bytes
                 continue
-            gone, at = [], np.array(begins)
+            at = np.array(begins) if at is None else at
+            gone = []
             for start, there in auto.matches(words, WINDOW):
-                k = int(np.searchsorted(at, there, "right")) - 1
-                owner, begin = places[k]
-                if (owner, begin + there - begins[k]) < (key, start):
-                    gone.append(start)
+                k = int(at.searchsorted(there, "right")) - 1
+                if (places[k][0], places[k][1] + there - begins[k]) < (rank, begin + start):
+                    gone.append(begin + start)
             if gone:
-                found.append(uid)
+                found.append(rank)
                 spans.append(np.array(merge(gone), np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), lists(spans, pa.int32())], ["uid", "spans"])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), lists(spans, pa.int32())], ["rank", "spans"])
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (uid, text, spans): the words left."""
+    """Rows (rank, text, spans): the words left."""
     for batch in batches:
         gone, sha = [], []
         for text, groups in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -254,77 +288,125 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = [words[i] for i in np.flatnonzero(kept)]
             gone.append(len(words) - len(left))
             sha.append(hashlib.sha256(b" ".join(left)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["uid", "n_removed", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["rank", "n_removed", "kept_sha256"])
 
 
 # --- the whole
 
 
-def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Staged: all documents (uid, doc_id, th, n_words, all_sha256, anchors), the candidates (uid, doc_id, th, text, ...), and the
-    spans to remove (uid, spans: lists of [begin, end) pairs in words)."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+def _word_hashes(w: Column | str) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    """Staged, every document: uid, doc_id, th (hash of the text), n_words, all_sha256, anchors."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), C.words(F.col("text")).alias("w"), F.monotonically_increasing_id().alias("uid"))
-    rows = rows.select("uid", "doc_id", "th", F.size("w").cast("long").alias("n_words"), F.sha2(F.array_join("w", " "), 256).alias("all_sha256"), hashes("w").alias("wh"))
+    rows = rows.select(
+        "uid", "doc_id", "th", F.size("w").cast("long").alias("n_words"), F.sha2(F.array_join("w", " "), 256).alias("all_sha256"), _word_hashes("w").alias("wh")
+    )
     schema = "uid long, doc_id long, th long, n_words long, all_sha256 string, anchors array<long>"
-    base = C.stage(rows.mapInArrow(_anchor_batches, schema), "substring-docs")
+    return C.stage(rows.mapInArrow(_anchor_batches, schema), "substring-docs")
+
 
-    each = base.select("uid", F.explode("anchors").alias("f"))
-    repeated = each.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select(F.col("f").alias("g"))
-    own = base.select("uid", F.explode(F.array_distinct("anchors")).alias("f")).join(repeated, F.col("f") == F.col("g"))
+def _repeated_anchors(base: DataFrame) -> DataFrame:
+    """Staged, documents with anchors that occur elsewhere too: rank (in the order of doc_id and th), doc_id, th, repeated."""
+    many = base.select(F.explode("anchors").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    own = base.select("uid", F.explode(F.array_distinct("anchors")).alias("f")).join(many, F.col("f") == F.col("g"))
     own = own.groupBy("uid").agg(F.collect_list("f").alias("repeated"))
     own = base.select("uid", "doc_id", "th").join(own, "uid").drop("uid")
     # rows that repeat id and text have the same anchors; one of them stands for all
     own = C.stage(own.groupBy("doc_id", "th").agg(F.first("repeated").alias("repeated")), "substring-anchors")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "th")
+    keys = C.ordered_chunks(own.select("doc_id", "th", order.alias("o"), F.lit(1).cast("long").alias("one")), F.col("o"))
+    keys = C.running_total(keys, [], "__pid", ["o"], "one", "rank").select("rank", F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    ranked = own.join(keys, own.doc_id.eqNullSafe(keys["__id"]) & (own.th == keys["__th"]))
+    return C.stage(ranked.select("rank", "doc_id", "th", "repeated"), "substring-ranked")
 
-    # the candidates' texts: their ids are broadcast if they are few, so that other texts stay where they are
+
+def _candidates(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """Staged, the candidates: rank, text, and their runs as arrays starts, sizes, keys, marks."""
     held = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).where("text is not null")
-    named = own.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "repeated")
+    named = own.select("rank", F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "repeated")
     n = own.count()
-    ids = C.bounded_broadcast(named.select("__id", "__th"), n, BROADCAST_DOCS)
-    if n <= BROADCAST_DOCS:
+    if n <= BROADCAST_DOCS:  # their ids are broadcast if they are few, so that other texts stay where they are
+        ids = F.broadcast(named.select("__id", "__th"))
         held = held.join(ids, held.doc_id.eqNullSafe(ids["__id"]) & (held.th == ids["__th"]), "left_semi")
-    held = held.dropDuplicates(["doc_id", "th"])
-    cand = held.join(named, held.doc_id.eqNullSafe(named["__id"]) & (held.th == named["__th"]))
-    cand = cand.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "th", "text", hashes(C.words(F.col("text"))).alias("wh"), "repeated")
-    cand = C.stage(cand.mapInArrow(_candidate_batches, "uid long, doc_id long, th long, text string, starts array<int>, marks array<long>"), "substring-candidates")
-
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "th", "start", "uid")
-    windows = cand.select("uid", "doc_id", "th", F.explode(F.arrays_zip("marks", "starts")).alias("x"))
-    windows = windows.select("uid", "doc_id", "th", F.col("x.marks").alias("mark"), F.col("x.starts").alias("start"))
-    owners = windows.groupBy("mark").agg(F.min(order).alias("o"), F.count("*").alias("n")).where("n > 1")
-    owners = C.stage(owners.select(F.col("mark").alias("m"), F.col("o.uid").alias("owner"), F.col("o.start").alias("at")), "substring-owners")
-    passages = C.stage(owners.groupBy("owner").agg(F.collect_set("at").alias("at")), "substring-passages")
-    pairs = windows.join(owners, F.col("mark") == F.col("m")).where("uid <> owner or start <> at").select("uid", "owner").distinct()
-
-    words = passages.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
+    cand = held.dropDuplicates(["doc_id", "th"]).join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
+    cand = cand.select("rank", "text", _word_hashes(C.words(F.col("text"))).alias("wh"), "repeated")
+    schema = "rank long, text string, starts array<int>, sizes array<int>, keys array<long>, marks array<array<long>>"
+    return C.stage(cand.mapInArrow(_candidate_batches, schema), "substring-candidates")
+
+
+def _owned(cand: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Staged: passages (pos, size) that owners own, and needs (pos, size, owner): windows owned elsewhere. A pos is a document's
+    rank and a start in it in one number, so that the order of numbers is the order of places."""
+    pos = F.shiftleft("rank", bits).bitwiseOR(F.col("x.starts").cast("long")).alias("pos")
+    each = cand.select("rank", F.explode(F.arrays_zip("starts", "sizes", "keys")).alias("x"))
+    each = each.select(pos, F.col("x.sizes").alias("size"), F.col("x.keys").alias("key"))
+    first = each.groupBy("key", "size").agg(F.min("pos").alias("owner"), F.count("*").alias("n"))
+    first = C.stage(first.select(F.col("key").alias("__key"), F.col("size").alias("__size"), "owner", "n"), "substring-runs")
+    many = first.where("n > 1")
+    same_run = each.join(many, (each.key == many["__key"]) & (each["size"] == many["__size"])).where("pos <> owner")
+    same_run = C.stage(same_run.select("pos", "size", "owner"), "substring-needs")
+
+    runs = cand.select("rank", F.explode(F.arrays_zip("starts", "marks")).alias("x")).select(pos, F.col("x.marks").alias("marks"))
+    edge = runs.join(first.select("owner"), runs.pos == F.col("owner")).select("pos", F.posexplode("marks").alias("k", "mark"))
+    edge = C.stage(edge.select((F.col("pos") + F.col("k")).alias("pos"), "mark"), "substring-windows")
+    owners = edge.groupBy("mark").agg(F.min("pos").alias("owner"), F.count("*").alias("n")).where("n > 1")
+    owners = C.stage(owners.select(F.col("mark").alias("__mark"), "owner"), "substring-owners")
+    same_window = edge.join(owners, edge.mark == owners["__mark"]).where("pos <> owner").select("pos", F.lit(1).alias("size"), "owner")
+    needs = same_run.union(same_window)
+    passages = many.select(F.col("owner").alias("pos"), F.col("__size").alias("size")).union(owners.select(F.col("owner").alias("pos"), F.lit(1).alias("size")))
+    return passages, C.stage(needs, "substring-needs")
+
+
+def _pieces(cand: DataFrame, passages: DataFrame, needs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Staged: the stretches of text (shard, kind, rank, begin, piece), and the number of tasks (salts) for each shard."""
+    words = passages.agg(F.coalesce(F.sum(F.col("size")), F.lit(0))).first()[0]
     shards = max(1, -(-words // SHARD_WORDS))
-    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
-    needs = C.stage(pairs.select("uid", shard("owner").alias("shard")).distinct(), "substring-needs")
-    load = needs.groupBy("shard").agg(F.ceil(F.count("*") / STREAM_DOCS).cast("int").alias("salts")).withColumnRenamed("shard", "__shard")
-    load = C.stage(load, "substring-load")
-    load = C.bounded_broadcast(load, shards)
-    text = cand.select("uid", "doc_id", "th", "text")
-    owned = passages.join(text, passages.owner == text.uid).withColumn("shard", shard("owner"))
-    owned = owned.join(load, owned.shard == load["__shard"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    runs = needs.join(load, needs.shard == load["__shard"]).withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("salts")).cast("int")).join(text, "uid")
-    side = lambda df, kind, starts: df.select(
-        "shard", "salt", F.lit(kind).alias("kind"), F.col("doc_id").isNull().alias("none"), "doc_id", "th", "uid", "text", starts.alias("starts")
-    )
-    both = side(owned, 0, F.col("at")).union(side(runs, 1, F.array().cast("array<int>")))
-    both = both.repartition(C.shuffle_width(spark) * 2, "shard", "salt").sortWithinPartitions("shard", "salt", "kind", "none", "doc_id", "th", "uid")
-    spans = both.mapInArrow(_stream, "uid long, spans array<int>")
-    return base, cand, C.stage(spans.groupBy("uid").agg(F.collect_list("spans").alias("spans")), "substring-spans")
+    shard = lambda c: F.pmod(F.xxhash64(F.shiftright(c, bits)), F.lit(shards)).cast("int").alias("shard")
+    start = F.col("pos").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("start")
+    rank = F.shiftright("pos", bits).alias("rank")
+    work = passages.select(rank, shard("pos"), F.lit(0).alias("kind"), start, "size").union(needs.select(rank, shard("owner"), F.lit(1).alias("kind"), start, "size"))
+    load = needs.groupBy(shard("owner")).agg(F.ceil(F.count("*") / STREAM_RUNS).cast("int").alias("salts"))
+    load = C.stage(load.withColumnRenamed("shard", "__shard"), "substring-load")
+    work = work.groupBy("rank").agg(F.collect_list(F.struct("shard", "kind", "start", "size")).alias("work"))
+    pieces = cand.select("rank", "text").join(work, "rank")
+    pieces = pieces.mapInArrow(_piece_batches, "shard int, kind int, rank long, begin int, piece binary")
+    return C.stage(pieces, "substring-pieces"), C.bounded_broadcast(load, shards)
+
+
+def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Staged: all documents (see _base), the ranks of candidates, the candidates (rank, text, ...), and the spans to remove (rank,
+    spans: lists of [begin, end) pairs in words)."""
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    base = _base(docs)
+    bits = max(1, int(base.agg(F.coalesce(F.max("n_words"), F.lit(1))).first()[0]).bit_length())
+    own = _repeated_anchors(base)
+    C.release(spark)
+    cand = _candidates(docs, own)
+    C.release(spark)
+    passages, needs = _owned(cand, bits)
+    C.release(spark)
+    pieces, load = _pieces(cand, passages, needs, bits)
+    C.release(spark)
+    both = pieces.join(load, pieces.shard == load["__shard"])
+    deal = F.pmod(F.xxhash64("rank"), F.col("salts")).cast("int")
+    salts = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(deal))
+    both = both.select("shard", F.explode(salts).alias("salt"), "kind", "rank", "begin", "piece")
+    both = both.repartition(C.shuffle_width(spark) * 2, "shard", "salt").sortWithinPartitions("shard", "salt", "kind", "rank", "begin")
+    spans = both.mapInArrow(_stream, "rank long, spans array<int>")
+    spans = C.stage(spans.groupBy("rank").agg(F.collect_list("spans").alias("spans")), "substring-spans")
+    return base, own, cand, spans
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of the words left, joined by a space) of every document."""
-    base, cand, spans = removed_spans(docs)
-    text = cand.select("uid", "doc_id", "th", "text")
-    cut = text.join(spans, "uid").select("uid", "text", "spans").mapInArrow(_cut_batches, "uid long, n_removed long, kept_sha256 string")
-    cut = cand.select("uid", F.col("doc_id").alias("__id"), F.col("th").alias("__th")).join(cut, "uid").drop("uid")
+    base, own, cand, spans = removed_spans(docs)
+    cut = cand.select("rank", "text").join(spans, "rank").mapInArrow(_cut_batches, "rank long, n_removed long, kept_sha256 string")
+    cut = C.stage(own.select("rank", F.col("doc_id").alias("__id"), F.col("th").alias("__th")).join(cut, "rank").drop("rank"), "substring-cut")
+    C.release(docs.sparkSession)
     out = base.drop("anchors").join(cut, base.doc_id.eqNullSafe(cut["__id"]) & (base.th == cut["__th"]), "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256")
