@@ -26,6 +26,7 @@ from . import common as C
 
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.7
+BATCH_ROWS = 5000
 SHRINK_POOLED, SHRINK_DIAGONAL, RIDGE = 0.2, 0.1, 0.02
 #: A standardised statistic beyond this many deviations is held there.
 CLIP = 6.0
@@ -114,6 +115,7 @@ def scores(model: dict | float, factors: dict, x: np.ndarray) -> np.ndarray:
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
+    C.ready_python(docs.sparkSession, BATCH_ROWS)
     stats = statistics(docs)
     model = fit(stats, labels, label)
 

@@ -6,6 +6,8 @@ import atexit
 import gc
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,7 +72,34 @@ def stage(df: DataFrame, kind: str = "stage") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that no later step reads, and let go of finished shuffles."""
+    for df in staged:
+        _remove(df.sparkSession, df.staged_path)
+    release(staged[0].sparkSession)
+
+
+def ready_python(spark: SparkSession, batch_rows: int) -> None:
+    """Before Python runs on executors: bound the rows of an Arrow batch, and send them this package, once a context."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    context = spark.sparkContext
+    if _SHIPPED.get("to") is context:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="strataflow-code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, str(source.relative_to(root.parent)))
+    context.addPyFile(str(archive))
+    _SHIPPED["to"] = context
+
+
+_SHIPPED: dict = {}
 
 
 def release(spark: SparkSession) -> None:

@@ -88,7 +88,7 @@ def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
     """Stage doc_id, a hash of the text, and the fingerprint as a signed number."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    C.ready_python(docs.sparkSession, BATCH_ROWS)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     return C.stage(rows.mapInArrow(_print_batches, "doc_id long, text_hash long, code long"), "fingerprints")
 

@@ -38,7 +38,7 @@ WINDOW = 20
 GRAM = 8
 SHARD_WORDS = 100_000
 #: Runs that one task streams through one automaton.
-STREAM_RUNS = 10_000
+STREAM_RUNS = 100_000
 BATCH_ROWS = 500
 #: Largest number of documents whose ids are broadcast, after a count, to pick their texts out.
 BROADCAST_DOCS = 300_000
@@ -320,7 +320,9 @@ def _repeated_anchors(base: DataFrame) -> DataFrame:
     keys = C.ordered_chunks(own.select("doc_id", "th", order.alias("o"), F.lit(1).cast("long").alias("one")), F.col("o"))
     keys = C.running_total(keys, [], "__pid", ["o"], "one", "rank").select("rank", F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
     ranked = own.join(keys, own.doc_id.eqNullSafe(keys["__id"]) & (own.th == keys["__th"]))
-    return C.stage(ranked.select("rank", "doc_id", "th", "repeated"), "substring-ranked")
+    ranked = C.stage(ranked.select("rank", "doc_id", "th", "repeated"), "substring-ranked")
+    C.discard(own)
+    return ranked
 
 
 def _candidates(docs: DataFrame, own: DataFrame) -> DataFrame:
@@ -380,7 +382,7 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Dat
     """Staged: all documents (see _base), the ranks of candidates, the candidates (rank, text, ...), and the spans to remove (rank,
     spans: lists of [begin, end) pairs in words)."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    C.ready_python(spark, BATCH_ROWS)
     base = _base(docs)
     bits = max(1, int(base.agg(F.coalesce(F.max("n_words"), F.lit(1))).first()[0]).bit_length())
     own = _repeated_anchors(base)
@@ -398,6 +400,8 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Dat
     both = both.repartition(C.shuffle_width(spark) * 2, "shard", "salt").sortWithinPartitions("shard", "salt", "kind", "rank", "begin")
     spans = both.mapInArrow(_stream, "rank long, spans array<int>")
     spans = C.stage(spans.groupBy("rank").agg(F.collect_list("spans").alias("spans")), "substring-spans")
+    del both
+    C.discard(pieces, needs)
     return base, own, cand, spans
 
 
