@@ -13,10 +13,11 @@ doc_id and text are read.
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,10 @@ END_ID = 0
 FILE_BYTES = 64 << 20
 READ_BYTES = 4 << 20
 BATCH_ROWS = 500
-#: Words whose ids a worker remembers at a time.
-CACHE_WORDS = 300_000
+#: Words whose ids a worker remembers in each of two generations.
+CACHE_WORDS = 400_000
 MASK_DELTA = 0xA282EAD8
 
-#: Where words can't be cut apart: white space that isn't alone between two other characters.
-UNEVEN_SPACE = re.compile(r"\s\s|^\s|\s$")
-
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -67,9 +65,10 @@ def unframe(raw: bytes, at: int, length: int) -> memoryview:
 
 class Encoder:
     """Ids of texts. Where words stand apart by single spaces, a byte-level BPE splits the text there whatever stands around,
-    so a word with its space is encoded once and remembered; other texts are encoded whole."""
+    and at line breaks, so a word with its space is encoded once and remembered; other texts are encoded whole."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -78,31 +77,59 @@ class Encoder:
         # true of byte-level BPE alone, which keeps white space with the word after it and normalises nothing
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.by_word = kind == "ByteLevel" and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
+        # words used of late, and those used before; a word stands for itself with a space before it, or, after a NUL, without
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in got]
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum([len(x) for x in got], dtype=np.int64) * self.dtype.itemsize
+        flat = np.fromiter(chain.from_iterable(got), self.dtype).tobytes()
+        return [flat[a:b] for a, b in pairwise([0, *ends.tolist()])]
+
+    def _learn(self, words: set[str]) -> None:
+        """Find the ids of words that aren't known. A comma or full stop after a letter or digit is a token of its own."""
+        known, older, new, ended = self.known, self.older, set(), []
+        for word in words:
+            if word in older:
+                known[word] = older[word]
+            elif len(word) > 2 and word[-1] in ",." and word[-2].isalnum():
+                ended.append(word)
+                if (bare := word[:-1]) not in known:
+                    new.add(bare)
+            else:
+                new.add(word)
+        listed = [*new, "\0,", "\0."]
+        for at in range(0, len(listed), 20_000):
+            some = listed[at : at + 20_000]
+            known.update(zip(some, self._encode([x[1:] if x[0:1] == "\0" else " " + x for x in some]), strict=True))
+        for word in ended:
+            known[word] = known[word[:-1]] + known["\0" + word[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts: list[list[str] | str] = []
+        need: set[str] = set()
         for text in texts:
-            if self.by_word and " " in text and not UNEVEN_SPACE.search(text):
-                cut = text.split(" ")
-                parts.append([cut[0], *[" " + x for x in cut[1:]]])
-            else:
+            words = text.split()
+            # white space that isn't alone between two other characters can't be cut at
+            if not self.by_word or "\0" in text or len(words) < 2 or len("".join(words)) + len(words) - 1 != len(text):
                 parts.append(text)
+                continue
+            cut: list[str] = []
+            for line in text.split("\n"):
+                at = len(cut)
+                cut += line.split(" ")
+                cut[at] = "\0" + cut[at]
+                cut.append("\0\n")
+            cut.pop()
+            need.update(cut)
+            parts.append(cut)
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        need = {x for p in parts if type(p) is list for x in p}.difference(self.known)
-        whole = [p for p in parts if type(p) is str]
-        new = list(need)
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            self.known.update(zip(some, self._encode(some), strict=True))
-        rest = iter(self._encode(whole))
-        known = self.known.__getitem__
-        return [next(rest) if type(p) is str else b"".join(map(known, p)) for p in parts]
+            self.known, self.older = {}, self.known
+        self._learn(need.difference(self.known))
+        rest = iter(self._encode([p for p in parts if type(p) is str]))
+        ids = self.known.__getitem__
+        return [next(rest) if type(p) is str else b"".join(map(ids, p)) for p in parts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
