@@ -41,7 +41,7 @@ sql("one_hot", """
 select o_orderkey, case when o_orderstatus = 'F' then 1 else 0 end as f, case when o_orderstatus = 'O' then 1 else 0 end as o, case when o_orderstatus = 'P' then 1 else 0 end as p from orders""")
 sql("stratified_split", """
 select doc_id, quality, r < 0.2 as test from (select doc_id, quality, percent_rank() over (partition by quality order by md5(cast(doc_id as varchar(20)))) as r from labels)""")
-sql("cv_folds", "select doc_id % 5 as fold, count(*) as n, sum(quality) as good from labels group by doc_id % 5")
+sql("cv_folds", "select doc_id % 5 as fold, count(*) as n, cast(sum(quality) as bigint) as good from labels group by doc_id % 5")
 FEATURE = "select l.quality as y, cast(length(d.text) as double) as x, d.doc_id from labels l join documents d on l.doc_id = d.doc_id"
 SPLITS = f"""
 select (x + nx) / 2 as threshold, nl, pl, n - nl as nr, p - pl as pr, n from (

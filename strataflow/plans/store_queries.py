@@ -25,7 +25,7 @@ sql("authors_contains", f"select article, authors from ({LISTING}) where {{match
 sql("user_favorites", "select c_custkey as user_id, o_orderkey as article from customer left join orders on c_custkey = o_custkey where o_custkey = 11")
 sql("is_favorite", "select c_custkey as user_id from customer c where exists (select 1 from orders where o_custkey = c.c_custkey and o_orderstatus = 'F')")
 sql("orphan_authors", "select c_custkey as author from customer c where not exists (select 1 from orders where o_custkey = c.c_custkey)")
-sql("title_contains_ci", "select p_partkey, p_name from part where coalesce({matches|p_type|'(?i)steel'}, false)")
+sql("title_contains_ci", "select p_partkey, p_name from part where coalesce({matches|p_type|'(?i)promo'}, false)")
 sql("lookup_by_key", "select c_custkey, c_name, c_acctbal from customer where c_name = 'Customer#000000042' or c_custkey = 7")
 sql("validate_rows", """
 select page_id, {matches|url|'^https://'} and url is not null and {matches|html|'<title>[^< ]+ +[^< ]+'} as valid from pages""")
@@ -89,11 +89,11 @@ TRIGRAMS = """list_distinct(flatten(list_transform(list_filter(regexp_split_to_a
 @query(
     f"""select p_partkey, p_name, score from (
   select p_partkey, p_name, round(len(list_intersect(a, b)) / cast(len(list_distinct(list_concat(a, b))) as double), 6) as score
-  from (select p_partkey, p_name, {TRIGRAMS.replace("$1", "p_name")} as a, {TRIGRAMS.replace("$1", "'goldenrod azure'")} as b from part)) where score > 0.05 order by score desc, p_partkey limit 50"""
+  from (select p_partkey, p_name, {TRIGRAMS.replace("$1", "p_name")} as a, {TRIGRAMS.replace("$1", "'small widgit'")} as b from part)) where score > 0.05 order by score desc, p_partkey limit 50"""
 )
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names most like a text by trigrams."""
-    score = F.round(similarity(F.col("p_name"), F.lit("goldenrod azure")), 6)
+    score = F.round(similarity(F.col("p_name"), F.lit("small widgit")), 6)
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", score.alias("score"))
     return rows.where("score > 0.05").orderBy(F.desc("score"), "p_partkey").limit(50)
 

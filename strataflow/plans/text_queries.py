@@ -15,8 +15,8 @@ sql("term_rank", f"select term, freq, cast(row_number() over (order by freq desc
 UI_WORDS = "('quot', 'nbsp', 'amp', 'raquo', 'laquo', 'mdash', 'ndash', 'href', 'https', 'http', 'www', 'com', 'html', 'span', 'div')"
 sql("term_freq_filtered", f"select token as term, count(*) as freq from ({TOKENS}) where token not in {UI_WORDS} group by token")
 sql("problem_tokens", f"""
-select {{count_if|{{matches|token|'^[0-9]+$'}}}} as digits, {{count_if|length(token) <= 2}} as short_ones, {{count_if|length(token) > 30}} as long_ones,
-       {{count_if|{{matches|token|'[a-z].*[Ѐ-ѿ]¦[Ѐ-ѿ].*[a-z]'}}}} as mixed
+select cast({{count_if|{{matches|token|'^[0-9]+$'}}}} as bigint) as digits, cast({{count_if|length(token) <= 2}} as bigint) as short_ones, cast({{count_if|length(token) > 30}} as bigint) as long_ones,
+       cast({{count_if|{{matches|token|'[a-z].*[Ѐ-ѿ]¦[Ѐ-ѿ].*[a-z]'}}}} as bigint) as mixed
 from (select distinct token from (select token, doc_id from ({TOKENS}) order by doc_id, token limit 10000))""")
 
 TERMS = "select doc_id, {unnest|{terms|text}} as term from documents where length(text) > 50"
@@ -69,4 +69,4 @@ select doc_id, case when place % 2 = 1 then 'first' else 'second' end as child,
 from (select doc_id, text, row_number() over (order by doc_id) as place from documents)""")
 sql("recrawl_due", "select event_id, {days|date '2026-01-01'|cast(ts as date)} >= 30 as due from events")
 sql("iso_to_epoch", "select event_id, coalesce({epoch|ts}, cast(0 as bigint)) as epoch from events")
-sql("json_props", "select event_type, sum({json_n|props}) as n from events group by event_type")
+sql("json_props", "select event_type, cast(sum({json_n|props}) as bigint) as n from events group by event_type")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +44,20 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Register input tables as temporary views for the SQL-text queries."""
     for name in names or TABLES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+_SHIPPED: dict = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once a context; queries that run Python there call this first."""
+    context = spark.sparkContext
+    if _SHIPPED.get("to") is context:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="strataflow-code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, str(source.relative_to(root.parent)))
+    context.addPyFile(str(archive))
+    _SHIPPED["to"] = context
