@@ -6,12 +6,12 @@ import atexit
 import gc
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[ \t-\r]"
@@ -87,19 +87,7 @@ def discard(*staged: DataFrame) -> None:
 def ready_python(spark: SparkSession, batch_rows: int) -> None:
     """Before Python runs on executors: bound the rows of an Arrow batch, and send them this package, once a context."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
-    context = spark.sparkContext
-    if _SHIPPED.get("to") is context:
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="strataflow-code-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for source in sorted(root.rglob("*.py")):
-            z.write(source, str(source.relative_to(root.parent)))
-    context.addPyFile(str(archive))
-    _SHIPPED["to"] = context
-
-
-_SHIPPED: dict = {}
+    ship(spark)
 
 
 def release(spark: SparkSession) -> None:
