@@ -115,4 +115,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     The first pass counts failures by host, the second tests each text again where it lies, so no text is shuffled."""
     cols = docs.columns
     held = docs.select(F.struct(*[docs[c] for c in cols]).alias("__row"), "text", "source")
-    return judge(measures(held)).where("kept").select("__row.*")
+    # tied to a row number, the flag can't be pushed down as a filter; that would put the measures' steps into one
+    # expression, whose lambdas would then compute each step anew for every word
+    measured = measures(held).withColumn("base_failed", F.col("base_failed") & (F.monotonically_increasing_id() >= 0))
+    return judge(measured).where("kept").select("__row.*")
