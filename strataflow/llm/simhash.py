@@ -231,10 +231,12 @@ def hex_code(code: str = "code"):
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each class, that with the smallest doc_id (of equal ids, the smallest text hash; of equal rows, one),
     with the columns of the input."""
+    named = C.stage(classes(docs).select("root", "doc_id", "text_hash"), "class-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    kept = C.stage(classes(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__h")), "kept")
+    kept = named.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__h"))
+    repeated = not named.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
     held = held.withColumns({"__doc": F.col("__row.doc_id"), "__hash": F.xxhash64("__row.text")})
-    kept = C.bounded_broadcast(kept, kept.count())
+    # the kept ids grow with the documents, so both sides are shuffled at any size; equal rows, if any, are made one after that
     both = held.join(kept, held["__doc"].eqNullSafe(kept["__id"]) & (held["__hash"] == kept["__h"]), "left_semi")
-    return both.dropDuplicates(["__doc", "__hash"]).select("__row.*")
+    return (both.dropDuplicates(["__doc", "__hash"]) if repeated else both).select("__row.*")
