@@ -17,10 +17,11 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,18 @@ from . import storage
 END_ID = 0
 FILE_BYTES = 64 << 20
 READ_BYTES = 4 << 20
-BATCH_ROWS = 500
+BATCH_ROWS = 1500
+BATCH_BYTES = 32 << 20
 #: Words whose ids a worker remembers in each of two generations.
 CACHE_WORDS = 400_000
+#: Words given to the tokenizer as one text, and bytes of text cut into words at once.
+WORDS_AT_ONCE = 20_000
+BYTES_AT_ONCE = 8 << 20
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: White space in any sense, as a class of RE2.
+SPACES = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: White space that isn't alone between two other characters, and the mark that words carry: such texts can't be cut.
+NOT_ALONE = rf"^{SPACES}|{SPACES}{SPACES}|{SPACES}$|\x00"
 MASK_DELTA = 0xA282EAD8
 
 
@@ -64,8 +74,12 @@ def unframe(raw: bytes, at: int, length: int) -> memoryview:
 
 
 class Encoder:
-    """Ids of texts. Where words stand apart by single spaces, a byte-level BPE splits the text there whatever stands around,
-    and at line breaks, so a word with its space is encoded once and remembered; other texts are encoded whole."""
+    """Ids of texts. Where words stand apart by single white space, a byte-level BPE splits the text at its spaces and line breaks
+    whatever stands around, so a word with its space is encoded once and remembered; other texts are encoded whole.
+
+    Texts are cut into words, and the ids of words put together again, by column operations; Python sees each distinct word of a
+    batch once. A word stands for itself with a space before it, or, after a NUL, without.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has one core
@@ -77,59 +91,90 @@ class Encoder:
         # true of byte-level BPE alone, which keeps white space with the word after it and normalises nothing
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.by_word = kind == "ByteLevel" and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
-        # words used of late, and those used before; a word stands for itself with a space before it, or, after a NUL, without
+        # words used of late, and those used before
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ends = np.cumsum([len(x) for x in got], dtype=np.int64) * self.dtype.itemsize
-        flat = np.fromiter(chain.from_iterable(got), self.dtype).tobytes()
-        return [flat[a:b] for a, b in pairwise([0, *ends.tolist()])]
-
-    def _learn(self, words: set[str]) -> None:
-        """Find the ids of words that aren't known. A comma or full stop after a letter or digit is a token of its own."""
-        known, older, new, ended = self.known, self.older, set(), []
+        self.line_break = self._ids("\n")
+        self.by_word = self.by_word and len(self.line_break) == 1
+        # the ids that begin with a space: among words joined by spaces, each begins one
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, as two texts: those with a space, cut where an id begins with one; those without, a word a line."""
+        spaced, bare = [x for x in words if x[0] != "\0"], [x for x in words if x[0] == "\0"]
+        flat, lines = self._ids("".join([" " + x for x in spaced])), self._ids("".join([x[1:] + "\n" for x in bare]))
+        begins, ends = np.flatnonzero(self.spaced[flat]), np.flatnonzero(lines == self.line_break[0])
+        if len(begins) != len(spaced) or len(ends) != len(bare):
+            raise ValueError("the tokenizer doesn't keep words apart")
+        width = self.dtype.itemsize
+        raw, at = flat.tobytes(), [*(begins * width).tolist(), len(flat) * width]
+        found = dict(zip(spaced, [raw[a:b] for a, b in pairwise(at)], strict=True))
+        raw, at = lines.tobytes(), [0, *((ends + 1) * width).tolist()]
+        return found | dict(zip(bare, [raw[a : b - width] for a, b in pairwise(at)], strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        """Find the ids of words that aren't known. Punctuation at the end of a word, after a letter or digit, is encoded apart."""
+        known, older, new, ended = self.known, self.older, {}, []
         for word in words:
             if word in older:
                 known[word] = older[word]
-            elif len(word) > 2 and word[-1] in ",." and word[-2].isalnum():
-                ended.append(word)
-                if (bare := word[:-1]) not in known:
-                    new.add(bare)
-            else:
-                new.add(word)
-        listed = [*new, "\0,", "\0."]
-        for at in range(0, len(listed), 20_000):
-            some = listed[at : at + 20_000]
-            known.update(zip(some, self._encode([x[1:] if x[0:1] == "\0" else " " + x for x in some]), strict=True))
-        for word in ended:
-            known[word] = known[word[:-1]] + known["\0" + word[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | str] = []
-        need: set[str] = set()
-        for text in texts:
-            words = text.split()
-            # white space that isn't alone between two other characters can't be cut at
-            if not self.by_word or "\0" in text or len(words) < 2 or len("".join(words)) + len(words) - 1 != len(text):
-                parts.append(text)
                 continue
-            cut: list[str] = []
-            for line in text.split("\n"):
-                at = len(cut)
-                cut += line.split(" ")
-                cut[at] = "\0" + cut[at]
-                cut.append("\0\n")
-            cut.pop()
-            need.update(cut)
-            parts.append(cut)
+            bare = word.rstrip(PUNCTUATION)
+            # characters that every version of Unicode has as letters or digits
+            if len(bare) < len(word) and bare and bare[-1] < "\u0250" and bare[-1].isalnum():
+                tail = "\0" + word[len(bare) :]
+                ended.append((word, bare, tail))
+                new.update({x: None for x in (bare, tail) if x not in known})
+            else:
+                new[word] = None
+        listed = list(new)
+        for at in range(0, len(listed), WORDS_AT_ONCE):
+            known.update(self._encode_words(listed[at : at + WORDS_AT_ONCE]))
+        for word, bare, tail in ended:
+            known[word] = known[bare] + known[tail]
+
+    def _by_words(self, texts: pa.Array) -> list[bytes]:
+        marked = pc.binary_join_element_wise("\0", pc.replace_substring(texts, "\n", " \0\n \0"), "")
+        cut = pc.split_pattern(marked, " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
-        self._learn(need.difference(self.known))
-        rest = iter(self._encode([p for p in parts if type(p) is str]))
-        ids = self.known.__getitem__
-        return [next(rest) if type(p) is str else b"".join(map(ids, p)) for p in parts]
+        known = self.known
+        known["\0\n"] = self.line_break.tobytes()
+        self._learn([x for x in words if x not in known])
+        found = [known[x] for x in words]
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        begin = np.cumsum(size) - size
+        codes = coded.indices.to_numpy()
+        each = size[codes]
+        total = np.cumsum(each)
+        # id number i of the batch is number i - (ids before its word) of its word
+        ids = flat[np.repeat(begin[codes] - (total - each), each) + np.arange(int(total[-1]) if len(total) else 0)].tobytes()
+        ends = np.concatenate(([0], total))[cut.offsets.to_numpy() - cut.offsets[0].as_py()] * self.dtype.itemsize
+        return [ids[a:b] for a, b in pairwise(ends.tolist())]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [self._ids(x).tobytes() for x in texts]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, in order; a null text is empty. Bounded by BYTES_AT_ONCE, or by the longest text."""
+        texts, out = pc.fill_null(texts, ""), []
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = np.flatnonzero(np.diff(ends // BYTES_AT_ONCE, prepend=-1)).tolist()
+        for a, b in pairwise([*cuts, len(texts)]):
+            some = texts[a:b]
+            odd = pc.match_substring_regex(some, NOT_ALONE).to_numpy(zero_copy_only=False) | (not self.by_word)
+            got = [self._by_words(some.filter(pa.array(~odd))), self._whole(some.filter(pa.array(odd)).to_pylist())]
+            turns = [iter(x) for x in got]
+            out += [next(turns[int(x)]) for x in odd]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -159,8 +204,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_bytes: int):
             out, index, at, ids = None, [], 0, 0
 
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for doc_id, body in zip(batch.column(0).to_pylist(), enc.encode(texts), strict=True):
+            for doc_id, body in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                 if out is None:
                     name = storage.fresh(folder, f"tokens-{part:05d}")
                     out = storage.create(name + ".bin")
@@ -182,6 +226,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
     """Write every document's ids; returns the files in order: file, part, seq, records, ids, ids_before."""
     spark = docs.sparkSession
     C.ready_python(spark, BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     by = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     ordered = docs.select("doc_id", "text").repartitionByRange(C.shuffle_width(spark), by[0]).sortWithinPartitions(*by)
     files = ordered.mapInArrow(_writer(folder, tokenizer or default_tokenizer(), end_id, file_bytes), "file string, part int, seq int, records long, ids long")

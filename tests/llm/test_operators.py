@@ -13,6 +13,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -331,12 +332,12 @@ def test_token_records(docs, none, tmp_path):
     assert token_records.read_records(token_records.write_records(none, str(tmp_path / "e"))).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a<|endoftext|>b c", "it's  two", "x\n\ny z", " lead", "trail ", "tab\tin it", "1,000. 2,a. b,, c.", "é f　g h", "a,\nb. c", "don't can't.", "q\x00 r", "\x1c s t", "...", "é, ü. 日本語, 中. ok"])
+@pytest.mark.parametrize("text", ["a<|endoftext|>b c", "it's  two", "x\n\ny z", " lead", "trail ", "tab\tin it", "1,000. 2,a. b,, c.", "é f　g h", "a,\nb. c", "don't can't.", "q\x00 r", "\x1c s t", "...", "é, ü. 日本語, 中. ok", "", "\n", "\na.\nb", "a.!! b$$$ x'' 's", "a\x85b c", "🙂! a🙂 ²! 一!"])
 def test_encoder(text):
     enc = token_records.Encoder(token_records.default_tokenizer())
     want = enc.tokenizer.encode(text, add_special_tokens=False).ids
     for _ in range(2):
-        assert np.frombuffer(enc.encode([text])[0], enc.dtype).tolist() == want
+        assert np.frombuffer(enc.encode(pa.array([text]))[0], enc.dtype).tolist() == want
 
 
 def test_pipeline(spark):
