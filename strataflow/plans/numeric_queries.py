@@ -95,3 +95,4 @@ def stem_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["stream_term_freq"] = streams.term_freq
 QUERIES["stream_event_windows"] = streams.event_windows
 QUERIES["stream_dictionary"] = streams.dictionary
+QUERIES["stream_cache_hits"] = streams.cache_hits

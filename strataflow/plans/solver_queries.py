@@ -242,3 +242,70 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = files.scratch_path(spark, "json")
     table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").write.json(path)
     return spark.read.schema("conv_id long, turn long, role string, text string").json(path)
+
+
+# a sine is a mode of each scheme, so its oracle is a closed form: every step multiplies the mode by one factor
+MODE = "sin(pi() * k / 20)"
+PULL = "(4 * sin(pi() / 40) * sin(pi() / 40))"
+
+
+def _mode(factor: str) -> str:
+    return f"select k, round({MODE} * {factor}, 8) as u from (select {{range|1|19}} as k) r"
+
+
+def _line(spark: SparkSession, weight: float) -> DataFrame:
+    ship(spark)
+    start = spark.sql(f"select transform(sequence(1, 19), k -> {MODE}) as u")
+    return start.select(F.posexplode(linear.heat_line(0.8, weight, 30)("u")).alias("k", "u")).select((F.col("k") + 1).cast("long").alias("k"), F.round("u", 8).alias("u"))
+
+
+@query(_mode(f"power(1 / (1 + 0.8e0 * {PULL}), 30)"))
+def heat_implicit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heat on a line, implicit steps."""
+    return _line(spark, 1.0)
+
+
+@query(_mode(f"power((1 - 0.4e0 * {PULL}) / (1 + 0.4e0 * {PULL}), 30)"))
+def heat_crank_nicolson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heat on a line, the mean of explicit and implicit steps."""
+    return _line(spark, 0.5)
+
+
+@query(f"select x, y, round(sin(pi() * x / 20) * sin(pi() * y / 20) * power((1 - 0.4e0 * {PULL}) / (1 + 0.4e0 * {PULL}), 40), 8) as u from (select {{range|1|19}} as x) a cross join (select {{range|1|19}} as y) b")
+def heat_alternating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heat on a plate by alternating directions."""
+    ship(spark)
+    start = spark.sql("select transform(sequence(0, 360), i -> sin(pi() * (i % 19 + 1) / 20) * sin(pi() * (i div 19 + 1) / 20)) as u")
+    out = start.select(F.posexplode(linear.heat_plate(0.8, 20)("u")).alias("i", "u"))
+    return out.select((F.col("i") % 19 + 1).cast("long").alias("x"), F.expr("cast(i div 19 + 1 as bigint)").alias("y"), F.round("u", 8).alias("u"))
+
+
+@query("select x, y, cast(x * y as double) as u from (select {range|0|11} as x) a cross join (select {range|0|11} as y) b")
+def poisson_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laplace's equation by over-relaxation; with x * y held at the border the solution is x * y."""
+    ship(spark)
+    start = spark.sql("select transform(sequence(0, 143), i -> if(i % 12 in (0, 11) or i div 12 in (0, 11), cast((i % 12) * (i div 12) as double), cast(0 as double))) as u")
+    out = start.select(F.posexplode(linear.relax(1.5, 120)("u")).alias("i", "u"))
+    return out.select((F.col("i") % 12).cast("long").alias("x"), F.expr("cast(i div 12 as bigint)").alias("y"), F.round("u", 7).alias("u"))
+
+
+# a standing wave: with a first step of second order, step n of the scheme is cos(n w) times the mode, cos w = 1 - C C pull / 2
+sql("wave_explicit", f"""
+select cast(pos as bigint) as k, round(u, 7) + 0.0e0 as u from (select posexplode(aggregate(sequence(1, 40),
+  named_struct('old', transform(sequence(0, 20), k -> if(k in (0, 20), cast(0 as double), {MODE})), 'now', transform(sequence(0, 20), k -> if(k in (0, 20), cast(0 as double), {MODE} * (1 - 0.32e0 * {PULL})))),
+  (s, n) -> named_struct('old', s.now, 'now', transform(s.now, (v, k) -> if(k in (0, 20), cast(0 as double), 2 * v - get(s.old, k) + 0.64e0 * (get(s.now, k - 1) - 2 * v + get(s.now, k + 1)))))).old) as (pos, u))""",
+    f"select k, round(case when k in (0, 20) then 0.0e0 else {MODE} * cos(40 * acos(1 - 0.32e0 * {PULL})) end, 7) + 0.0e0 as u from (select {{range|0|20}} as k) r")
+
+
+@query("select x, y, (x * 7 + y * 13) % 256 as red, (x * y) % 256 as green, (x + y) % 256 as blue, 255 as alpha from (select {range|0|15} as x) a cross join (select {range|0|15} as y) b")
+def image_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image as bytes (width, height as little-endian 32-bit, then four bytes a pixel), stored, read back and taken apart."""
+    byte = lambda v: f"lpad(hex({v}), 2, '0')"
+    pixel = "".join(f", {byte(v)}" for v in ("((i % 16) * 7 + (i div 16) * 13) % 256", "((i % 16) * (i div 16)) % 256", "((i % 16) + (i div 16)) % 256", "255"))
+    path = files.scratch_path(spark, "image")
+    spark.sql(f"select unhex(concat('1000000010000000', array_join(transform(sequence(0, 255), i -> concat('' {pixel})), ''))) as content").write.parquet(path)
+    at = lambda k: f"cast(conv(hex(substring(content, {k}, 1)), 16, 10) as bigint)"
+    number = lambda k: "(" + " + ".join(f"{at(k + j)} * {256**j}" for j in range(4)) + ")"
+    sized = spark.read.schema("content binary").parquet(path).selectExpr("content", f"{number(1)} as w", f"{number(5)} as h")
+    pixels = sized.selectExpr("content", "w", "explode(sequence(0, cast(w * h - 1 as int))) as i")
+    return pixels.selectExpr("i % w as x", "i div w as y", *[f"{at(f'9 + 4 * i + {j}')} as {name}" for j, name in enumerate(("red", "green", "blue", "alpha"))])

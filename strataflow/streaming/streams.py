@@ -67,3 +67,30 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _source(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("word"), "event_id", "event_type")
     out = rows.groupBy("word").applyInPandasWithState(_answers, "word long, answers string", "held boolean", "append", GroupStateTimeout.NoTimeout)
     return _finish(spark, out, "append")
+
+
+#: Seconds that a cached value lasts.
+CACHE_SECONDS = 6 * 3600
+
+
+def _cached(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    filled = state.get[0] if state.exists else None
+    for rows in batches:
+        hits = 0
+        for at in rows.sort_values(["at", "event_id"])["at"]:
+            if filled is not None and at < filled + CACHE_SECONDS:
+                hits += 1
+            else:
+                filled = int(at)
+        yield pd.DataFrame({"user_id": [key[0]], "hits": [hits], "misses": [len(rows) - hits]})
+    state.update((filled,))
+
+
+def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-ups by user in a cache whose values last a fixed time from the look-up that missed them. Rows of a user are taken in
+    order within an Arrow batch; batches are taken as they come."""
+    ship(spark)
+    rows = _source(spark, sf_dir, "events").select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    out = rows.groupBy("user_id").applyInPandasWithState(_cached, "user_id long, hits long, misses long", "filled long", "append", GroupStateTimeout.NoTimeout)
+    # a key's rows may come in several Arrow batches
+    return _finish(spark, out, "append").groupBy("user_id").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
