@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import common, decontam, mixing, quality_rules, simhash, token_records
+from strataflow.llm import common, decontam, jaccard, mixing, quality_rules, simhash, token_records
 from strataflow.session import table
 
 
@@ -18,8 +18,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
-    return simhash.keep_first(docs)
+    """One document of each class of near-duplicates: fingerprints within op8's bits, or five-word sets that are 0.8 alike."""
+    return simhash.keep_first(docs, jaccard.links)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

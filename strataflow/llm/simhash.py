@@ -16,7 +16,7 @@ own; a class of rows without ids has a null component_id; an empty table gives a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -39,6 +39,8 @@ GATHER = 200_000
 #: Pairs of nodes that are handled at a time, and pairs of fingerprints under a pair of nodes that are compared directly.
 FRONTIER, LEAF = 400_000, 16
 
+Near = Callable[[DataFrame, DataFrame], DataFrame]
+
 
 # --- fingerprints
 
@@ -67,14 +69,14 @@ def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_hashes(text: bytes | None) -> np.ndarray:
-    """XXH64 of each run of 3 words, A-Z in lower case; of all words if they are fewer; of none if there are none."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each run of `shingle` words, A-Z in lower case; of all words if they are fewer; of none if there are none."""
     import xxhash
 
     w = (text or b"").lower().split()  # for bytes, both know ASCII alone
     if not w:
         return np.zeros(0, np.uint64)
-    grams = map(b" ".join, zip(w, w[1:], w[2:], strict=False)) if len(w) >= SHINGLE else [b" ".join(w)]
+    grams = map(b" ".join, zip(*(w[k:] for k in range(shingle)), strict=False)) if len(w) >= shingle else [b" ".join(w)]
     return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64)
 
 
@@ -206,12 +208,14 @@ def links(codes: DataFrame, distinct: int, group_limit: int = GROUP_LIMIT) -> Da
     return rows.mapInArrow(_join_groups, "a long, b long")
 
 
-def classes(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """doc_id, text_hash, code (signed fingerprint), root (one code for each class) and component_id (smallest doc_id)."""
+def classes(docs: DataFrame, group_limit: int = GROUP_LIMIT, near: Near | None = None) -> DataFrame:
+    """doc_id, text_hash, code (signed fingerprint), root (one code for each class) and component_id (smallest doc_id).
+    `near` takes the documents and the staged fingerprints, and gives pairs (a, b) of fingerprints that are linked as well."""
     prints = fingerprint_table(docs)
     codes = C.stage(prints.groupBy("code").agg(F.min("doc_id").alias("first_id")), "codes")
     distinct = codes.count()
-    root = components(links(codes, distinct, group_limit), "a", "b")
+    found = links(codes, distinct, group_limit)
+    root = components(found.union(near(docs, prints)) if near else found, "a", "b")
     linked = C.stage(root.join(codes, root.node == codes.code).select("node", "root", "first_id"), "linked")
     named = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = linked.select("node", "root").join(named, "root")
@@ -228,10 +232,10 @@ def hex_code(code: str = "code"):
     return F.lower(F.lpad(F.hex(code), 16, "0"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, near: Near | None = None) -> DataFrame:
     """One document of each class, that with the smallest doc_id (of equal ids, the smallest text hash; of equal rows, one),
     with the columns of the input."""
-    named = C.stage(classes(docs).select("root", "doc_id", "text_hash"), "class-rows")
+    named = C.stage(classes(docs, near=near).select("root", "doc_id", "text_hash"), "class-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     kept = named.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__h"))
     repeated = not named.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()

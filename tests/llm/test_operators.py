@@ -17,7 +17,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from strataflow.llm import classifier, decontam, graph, mixing, quality_rules, sharding, simhash, storage, substring, token_records, url_filter, warc_zip
+from strataflow.llm import classifier, decontam, graph, jaccard, mixing, quality_rules, sharding, simhash, storage, substring, token_records, url_filter, warc_zip
 from strataflow.llm import common as C
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -279,6 +279,45 @@ def test_simhash(docs, none, limit):
     assert simhash.classes(none).count() == 0 and simhash.keep_first(none).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1000, 3])
+def test_jaccard(spark, docs, none, limit):
+    rng = random.Random(5)
+    base = [" ".join(f"w{rng.randrange(4000)}" for _ in range(k)) for k in (300, 150, 60, 25, 5, 4)]
+    texts = [*base, *base[:2], base[0].upper(), None, " "]
+    for text in base:
+        for edits in (1, 2, 3, 4, 6, 8):
+            w = text.split()
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(99)}"
+            texts.append(" ".join(w))
+    rows = [(i, t, 0) for i, t in enumerate(texts)] + [(None, base[1], 1)]
+    mine = spark.createDataFrame(rows, "doc_id long, text string, code int")
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, codes, root = [grams(r[1]) for r in rows], [brute_simhash(r[1]) for r in rows], list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    far = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            like, bits = 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0, (codes[i] ^ codes[j]).bit_count()
+            far += like and bits > 3
+            if like or bits <= 3:
+                root[find(i)] = find(j)
+    want = defaultdict(set)
+    for i, r in enumerate(rows):
+        want[find(i)].add(r[0])
+    got = defaultdict(set)
+    for r in simhash.classes(mine, near=lambda d, p: jaccard.links(d, p, group_limit=limit)).collect():
+        got[r.root].add(r.doc_id)
+    assert far and sorted(map(str, got.values())) == sorted(map(str, want.values()))
+    left = corpus_pipeline.near_duplicates(spark, mine, "")
+    assert left.columns == mine.columns and left.count() == len(want)
+    assert corpus_pipeline.near_duplicates(spark, none, "").count() == 0
+
+
 def test_trie():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
