@@ -234,6 +234,16 @@ def test_decontamination(spark, docs, none):
     assert decontam.leaks(docs, items).count() == 0 and decontam.clean(none, items).count() == 0 and decontam.leaks(mine, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_placeholders(spark):
+    bench = ["What is 12 + 35 * 4 - 7 / 2?", "Add 15 kg, 20 kg and 30 kg, then convert 65 kg to pounds.", "Which city is larger, Paris, London, Berlin, Madrid, Rome or Vienna?", "12 + 35 * 4 - 7 / 2 - 11 + 9"]
+    items = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    texts = [*(f"so we ask. {x} yes" for x in bench), "ok. What is 3 + 5 * 9 - 1 / 8? Fine", "ok. Add 3 lb, 4 lb and 5 lb, then convert 6 lb to pounds.", "Which city is larger, Oslo, Rome, Bonn, Lyon, Kiel or Graz?"]
+    texts += ["it is 3 5 9 1 8 or so", "9 + 8 * 7 - 6 / 5 - 4 + 3", "Add 3 lb, 4 kg and 5 g, then convert 6 t to pounds.", "Which house is older, Oslo, Rome, Bonn, Lyon, Kiel or Graz?", "1 2 3 4 5 6 7 8 9"]
+    mine = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(mine, items).collect()}
+    assert found == dict.fromkeys([(0, 0), (1, 1), (2, 2), (3, 3), (4, 0), (5, 1), (6, 2)], 1.0)
+
+
 def test_classifier(spark, docs, none):
     data = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
