@@ -8,9 +8,13 @@ same value of the document. Alignments that break this are chance likenesses of
 
 Windows with fewer than MIN_LITERAL words that aren't placeholders count along alignments that cover MIN_LITERAL such words in all
 (all of the item's, if it has fewer) and whose values agree. Windows of placeholders alone aren't looked for in documents, but
-compared where other windows have found an alignment. Items of placeholders alone are looked for word by word.
+compared where other windows have found an alignment. Items of placeholders alone, and those of fewer than WINDOW words, are looked
+for word by word, the short ones whole.
 
-Defined cases: a null or short text has no windows and never leaks; items of fewer than WINDOW words are not looked for; documents with equal ids are told apart by a hash of
+An item's first word may be a name by its form where other words come before it; it is then found in either form, but only as
+the same word.
+
+Defined cases: a null text or one without words never leaks; an item without words is none; documents with equal ids are told apart by a hash of
 the text, and rows that repeat both count once; empty tables give an empty result. Only doc_id, item_id and text are read.
 """
 
@@ -75,16 +79,25 @@ def is_slot(token: Column) -> Column:
 
 
 def item_table(benchmark: DataFrame) -> DataFrame:
-    """Items: item_id, t (template), words, n_item_words, n_literal (words that aren't placeholders)."""
+    """Items: item_id, t (template), words, n_item_words, n_literal (words that aren't placeholders), and inner (the first word as
+    it is after other words, where that differs)."""
     items = with_windows(benchmark.where("text is not null and item_id is not null").select("item_id", "text").dropDuplicates())
     items = items.withColumns({"words": tokens(plain(F.col("text"))), "n_item_words": F.size("t")})
+    inner = F.get(tokens(template(F.concat(F.lit("x "), F.ltrim(F.col("text"))))), F.lit(1))
+    items = items.withColumn("inner", F.when(inner != F.get("t", F.lit(0)), inner))
     return items.withColumn("n_literal", F.size(F.filter("t", lambda x: ~is_slot(x)))).drop("text")
 
 
 def item_windows(items: DataFrame) -> DataFrame:
     """Windows of the items: item_id, ipos, mark, n_item_words, n_literal, slots (places of placeholders in the window), strong (it
-    has words enough that aren't), sought (it has any), and loose (places of the item's windows that aren't sought)."""
-    rows = items.select("item_id", "t", "n_item_words", "n_literal", F.posexplode("h").alias("ipos", "mark"))
+    has words enough that aren't), sought (it has any), loose (places of the item's windows that aren't sought), and first (the
+    item's first word, which a document must have as well, in a window that has its inner form; null in others)."""
+    base = ["item_id", "t", "n_item_words", "n_literal"]
+    rows = items.select(*base, F.posexplode("h").alias("ipos", "mark"), F.lit(None).cast("string").alias("first"))
+    inner = F.concat(F.array("inner"), F.slice("t", 2, WINDOW - 1))
+    turned = items.where(f"inner is not null and n_item_words >= {WINDOW}").withColumn("u", inner)
+    mark = F.xxhash64(*[F.get("u", F.lit(k)) for k in range(WINDOW)])
+    rows = rows.union(turned.select(*base, F.lit(0), mark, F.get("words", F.lit(0))))
     rows = rows.withColumn("slots", F.filter(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: is_slot(F.get("t", F.col("ipos") + k)))).drop("t")
     rows = rows.withColumns({"strong": F.size("slots") <= WINDOW - MIN_LITERAL, "sought": F.size("slots") < WINDOW})
     loose = rows.groupBy(F.col("item_id").alias("__item")).agg(F.collect_set(F.when(~F.col("sought"), F.col("ipos"))).alias("loose"))
@@ -101,7 +114,7 @@ def covered(places: Column, width: Column | None = None) -> Column:
 def scored(matches: DataFrame, similarity: float) -> DataFrame:
     """(document, item) pairs whose similarity reaches the threshold, if all windows in `loose` are taken as found."""
     pairs = matches.groupBy("doc_id", "th", "item_id", "n_item_words").agg(
-        F.sort_array(F.array_union(F.collect_set("ipos"), F.first("loose"))).alias("places"), F.max(F.size("slots") + F.size("loose")).alias("slots")
+        F.sort_array(F.array_union(F.collect_set("ipos"), F.first("loose"))).alias("places"), F.max(F.size("slots") + F.size("loose") + F.col("first").isNotNull().cast("int")).alias("slots")
     )
     pairs = pairs.withColumn("covered_words", covered(F.col("places")))
     pairs = pairs.withColumn("similarity", F.col("covered_words") / F.col("n_item_words"))
@@ -131,7 +144,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 
 
 #: Items that no window finds.
-VERBATIM = f"n_item_words >= {WINDOW} and n_literal = 0"
+VERBATIM = f"n_item_words between 1 and {WINDOW - 1} or n_item_words >= {WINDOW} and n_literal = 0"
 
 
 def _verbatim(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
@@ -165,7 +178,9 @@ def _checked(docs: DataFrame, items: DataFrame, marks: DataFrame, met: DataFrame
     text = C.stage(text.select(*ids, tokens(plain(F.col("text"))).alias("words"), tokens(template(F.col("text"))).alias("t")), "slot-texts")
     renamed = pairs.select(*ids, F.col("item_id").alias("__item"))
     mine = met.join(renamed, key(renamed) & (F.col("item_id") == F.col("__item")), "left_semi").withColumn("shift", F.col("dpos") - F.col("ipos"))
-    mine = C.stage(mine.drop("dpos", "loose"), "alignments")
+    turned = mine.where("first is not null").join(text.drop("t"), key(text)).where(F.get("words", "dpos") == F.col("first"))
+    mine = mine.where("first is null").union(turned.select(mine.columns))
+    mine = C.stage(mine.drop("dpos", "loose", "first"), "alignments")
     loose = marks.where("not sought").select("item_id", "ipos", "slots")
     if not loose.isEmpty():
         asked = items.select("item_id", F.col("t").alias("item_t"))
@@ -204,7 +219,8 @@ def _checked(docs: DataFrame, items: DataFrame, marks: DataFrame, met: DataFrame
     counts = good.groupBy("doc_id", "th", "item_id").agg(F.max(n_slots).alias("n_slots"))
     counts = counts.select(*ids, F.col("item_id").alias("__item"), "n_slots")
     none = F.array().cast("array<int>").alias("loose")
-    out = scored(good.select("doc_id", "th", "item_id", "n_item_words", "ipos", "slots", none), similarity)
+    first = F.lit(None).cast("string").alias("first")
+    out = scored(good.select("doc_id", "th", "item_id", "n_item_words", "ipos", "slots", none, first), similarity)
     out = out.join(counts, key(counts) & (F.col("item_id") == F.col("__item")))
     return out.select("doc_id", "th", "item_id", "n_item_words", "covered_words", "similarity", "n_slots")
 

@@ -244,6 +244,16 @@ def test_decontamination_of_placeholders(spark):
     assert found == dict.fromkeys([(0, 0), (1, 1), (2, 2), (3, 3), (4, 0), (5, 1), (6, 2)], 1.0)
 
 
+def test_decontamination_of_short_items(spark):
+    bench = ["Capital of France?", "Name two big rivers there", "Compute 12 + 35 * 4 - 7 / 2", "Rivers flow past some towns", "Who?", "...", "Tom met Ann and Bob and Eve today"]
+    items = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    texts = ["First, Capital of France? It is known", "the capital of France.", "Capital of Spain", "so, Name two big rivers there!", "so, Sum two big rivers there!", "name two big rivers there", "so, Compute 12 + 35 * 4 - 7 / 2"]
+    texts += ["so, Compute 3 + 5 * 4 - 7 / 2", "ok. Compute 3 + 5 * 4 - 7 / 2", "hey Rivers flow past some towns", "hey Who", "", None, "Capital", "then Tom met Jim and Lee and Sue today", "then Max met Jim and Lee and Sue"]
+    mine = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted((r.doc_id, r.item_id) for r in decontam.leaks(mine, items).collect())
+    assert found == [(0, 0), (1, 0), (3, 1), (5, 1), (6, 2), (7, 2), (8, 2), (9, 3), (10, 4), (14, 6)]
+
+
 def test_classifier(spark, docs, none):
     data = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
