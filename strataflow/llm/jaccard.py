@@ -28,7 +28,7 @@ SIMILARITY = 0.8
 #: Texts that are compared as one group.
 GROUP_LIMIT = 1000
 #: Texts that show which shingles are frequent.
-SAMPLE = 8000
+SAMPLE = 64_000
 SLACK = 1e-9
 
 
