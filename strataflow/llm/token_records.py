@@ -7,13 +7,15 @@ bytes (u8: 2 where the vocabulary allows it, else 4), and the ids. The index fil
 of the frame, length of the payload, and ids before it in the file (u64 each); records can be read in any order from it.
 
 Documents are written in ascending doc_id order (null first; equal ids by text) over all files. Defined cases: a null text is
-empty and has the end id alone; repeated rows are records of their own; an empty table gives no file and an empty result. Only
-doc_id and text are read.
+empty and has the end id alone; repeated rows are records of their own; an empty table gives no file and an empty result; a text
+that holds one of the tokenizer's special tokens gets that token's id there, as the library does by default. Only doc_id and
+text are read.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,18 +33,20 @@ from . import storage
 END_ID = 0
 FILE_BYTES = 64 << 20
 READ_BYTES = 4 << 20
-BATCH_ROWS = 1500
-BATCH_BYTES = 32 << 20
-#: Words whose ids a worker remembers in each of two generations.
-CACHE_WORDS = 400_000
-#: Words given to the tokenizer as one text, and bytes of text cut into words at once.
-WORDS_AT_ONCE = 20_000
-BYTES_AT_ONCE = 8 << 20
+BATCH_ROWS = 500
+#: Bytes that a worker's remembered words take in each of two generations, those of one word besides its characters and ids, and
+#: the longest word that is remembered.
+CACHE_BYTES, ENTRY_BYTES, CACHED_WORD = 32 << 20, 200, 64
+#: Characters of words given to the tokenizer as one text, and bytes of text cut into words at once.
+CHARS_OF_WORDS = 64 << 10
+BYTES_AT_ONCE = 2 << 20
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space in any sense, as a class of RE2.
 SPACES = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: White space that isn't alone between two other characters, and the mark that words carry: such texts can't be cut.
 NOT_ALONE = rf"^{SPACES}|{SPACES}{SPACES}|{SPACES}$|\x00"
+#: Characters that mean something in a pattern.
+QUOTE = re.compile(f"[{re.escape(PUNCTUATION)}]")
 MASK_DELTA = 0xA282EAD8
 
 
@@ -86,14 +90,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         # true of byte-level BPE alone, which keeps white space with the word after it and normalises nothing
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.by_word = kind == "ByteLevel" and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
+        # texts that hold an added token aren't cut; such a token may reach over any words
+        added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([NOT_ALONE, *(QUOTE.sub(r"\\\g<0>", t) for t in added if t)])
         # words used of late, and those used before
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
         self.line_break = self._ids("\n")
         self.by_word = self.by_word and len(self.line_break) == 1
         # the ids that begin with a space: among words joined by spaces, each begins one
@@ -117,37 +124,55 @@ class Encoder:
         raw, at = lines.tobytes(), [0, *((ends + 1) * width).tolist()]
         return found | dict(zip(bare, [raw[a : b - width] for a, b in pairwise(at)], strict=True))
 
-    def _learn(self, words: list[str]) -> None:
-        """Find the ids of words that aren't known. Punctuation at the end of a word, after a letter or digit, is encoded apart."""
-        known, older, new, ended = self.known, self.older, {}, []
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words: remembered ones, and new ones, which are remembered unless they are long. Punctuation at the end
+        of a word, after a letter or digit, is encoded apart."""
+        known, older, got, new, ended = self.known, self.older, {}, {}, []
         for word in words:
-            if word in older:
-                known[word] = older[word]
+            ids = known.get(word) or older.get(word)
+            if ids:
+                if word not in known:
+                    self.held += ENTRY_BYTES + 2 * len(word) + len(ids)
+                got[word] = known[word] = ids
                 continue
             bare = word.rstrip(PUNCTUATION)
             # characters that every version of Unicode has as letters or digits
             if len(bare) < len(word) and bare and bare[-1] < "\u0250" and bare[-1].isalnum():
                 tail = "\0" + word[len(bare) :]
                 ended.append((word, bare, tail))
-                new.update({x: None for x in (bare, tail) if x not in known})
+                for x in (bare, tail):
+                    if x in known:
+                        got[x] = known[x]
+                    else:
+                        new[x] = None
             else:
                 new[word] = None
         listed = list(new)
-        for at in range(0, len(listed), WORDS_AT_ONCE):
-            known.update(self._encode_words(listed[at : at + WORDS_AT_ONCE]))
+        ends = np.cumsum([len(x) + 1 for x in listed]) // CHARS_OF_WORDS
+        cuts = np.flatnonzero(np.diff(ends, prepend=-1)).tolist() if listed else []
+        for a, b in pairwise([*cuts, len(listed)]):
+            found = self._encode_words(listed[a:b])
+            got |= found
+            self._remember(found)
         for word, bare, tail in ended:
-            known[word] = known[bare] + known[tail]
+            got[word] = got[bare] + got[tail]
+            self._remember({word: got[word]})
+        return got
+
+    def _remember(self, found: dict[str, bytes]) -> None:
+        kept = {x: ids for x, ids in found.items() if len(x) <= CACHED_WORD}
+        self.held += sum(ENTRY_BYTES + 2 * len(x) + len(ids) for x, ids in kept.items())
+        self.known.update(kept)
+        if self.held > CACHE_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
 
     def _by_words(self, texts: pa.Array) -> list[bytes]:
         marked = pc.binary_join_element_wise("\0", pc.replace_substring(texts, "\n", " \0\n \0"), "")
         cut = pc.split_pattern(marked, " ")
         coded = cut.flatten().dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.older = {}, self.known
-        known = self.known
-        known["\0\n"] = self.line_break.tobytes()
-        self._learn([x for x in words if x not in known])
+        apart = {"\0\n": self.line_break.tobytes(), "\0": b""}
+        known = self._learn([x for x in words if x not in apart]) | apart
         found = [known[x] for x in words]
         flat = np.frombuffer(b"".join(found), self.dtype)
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
@@ -170,7 +195,7 @@ class Encoder:
         cuts = np.flatnonzero(np.diff(ends // BYTES_AT_ONCE, prepend=-1)).tolist()
         for a, b in pairwise([*cuts, len(texts)]):
             some = texts[a:b]
-            odd = pc.match_substring_regex(some, NOT_ALONE).to_numpy(zero_copy_only=False) | (not self.by_word)
+            odd = pc.match_substring_regex(some, self.odd).to_numpy(zero_copy_only=False) | (not self.by_word)
             got = [self._by_words(some.filter(pa.array(~odd))), self._whole(some.filter(pa.array(odd)).to_pylist())]
             turns = [iter(x) for x in got]
             out += [next(turns[int(x)]) for x in odd]
@@ -226,7 +251,6 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
     """Write every document's ids; returns the files in order: file, part, seq, records, ids, ids_before."""
     spark = docs.sparkSession
     C.ready_python(spark, BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     by = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     ordered = docs.select("doc_id", "text").repartitionByRange(C.shuffle_width(spark), by[0]).sortWithinPartitions(*by)
     files = ordered.mapInArrow(_writer(folder, tokenizer or default_tokenizer(), end_id, file_bytes), "file string, part int, seq int, records long, ids long")
