@@ -30,7 +30,7 @@ OP4 = r"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 lines AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 grams AS (
@@ -42,18 +42,30 @@ base AS (
   SELECT w.doc_id, source, CAST(len(w.w) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+         CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
-failed AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM base),
-hosts AS (SELECT source, CAST(count(*) AS DOUBLE) AS d, CAST(count_if(base_failed) AS DOUBLE) AS f FROM failed GROUP BY source),
-mean AS (SELECT *, (sum(f) OVER () + 0.5) / (sum(d) OVER () + 1.0) AS m, sum(d) OVER () AS t, sum(d * d) OVER () AS s, count(*) OVER () AS n FROM hosts),
-spread AS (SELECT *, sum(d * (f / d - m) * (f / d - m)) OVER () / (m * (1 - m)) - (n - 1) AS excess, t - s / t - (n - 1) AS room FROM mean),
+flags AS (
+  SELECT *, n_words < 50 AS r1, 100 * n_repeat_words > 50 * n_words AS r2, 100 * n_symbols > 5 * word_chars AS r3,
+         100 * n_dup_lines > 30 * n_lines AS r4, word_chars > 9 * n_words OR word_chars < 3 * n_words AS r5
+  FROM base),
+hosts AS (
+  SELECT source, rule, CAST(count(*) AS DOUBLE) AS d, CAST(count_if(bad) AS DOUBLE) AS f
+  FROM (SELECT source, unnest([1, 2, 3, 4, 5]) AS rule, unnest([r1, r2, r3, r4, r5]) AS bad FROM flags) GROUP BY source, rule),
+mean AS (
+  SELECT *, (sum(f) OVER w + 0.5) / (sum(d) OVER w + 1.0) AS m, sum(d) OVER w AS t, sum(d * d) OVER w AS s, count(*) OVER w AS n
+  FROM hosts WINDOW w AS (PARTITION BY rule)),
+spread AS (SELECT *, sum(d * (f / d - m) * (f / d - m)) OVER (PARTITION BY rule) / (m * (1 - m)) - (n - 1) AS excess, t - s / t - (n - 1) AS room FROM mean),
 prior AS (
   SELECT *, CASE WHEN n < 2 THEN 1.0 ELSE 1.0 / least(greatest(CASE WHEN room > 0 THEN excess / room ELSE 0.0 END, 1.0 / (t + 1.0)), 0.5) - 1.0 END AS strength
   FROM spread),
-verdicts AS (SELECT source, (f + m * strength) / (d + strength) > 0.8 AS rejected FROM prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
-FROM failed JOIN verdicts ON failed.source IS NOT DISTINCT FROM verdicts.source
+rates AS (SELECT *, (f + m * strength) / (d + strength) AS rate, sqrt(m * (1 - m) / (strength + 1)) AS deviation FROM prior),
+verdicts AS (
+  SELECT source, bool_or(rate > 0.8 OR (rate - m) / deviation > 3 AND rate > 0.5) AS rejected, bool_or((rate - m) / deviation > 1.5) AS suspect
+  FROM rates GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r1 OR r2 AS base_failed,
+       NOT (r1 OR r2 OR rejected OR suspect AND (r3 OR r4 OR r5)) AS kept,
+       CASE WHEN rejected THEN 'rejected' WHEN suspect THEN 'suspect' ELSE 'good' END AS host
+FROM flags JOIN verdicts ON flags.source IS NOT DISTINCT FROM verdicts.source
 """
 
 ORACLES = {"op2_url_filter": OP2, "op3_warc_zip": OP3, "op4_quality_rules": OP4}

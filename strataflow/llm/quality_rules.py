@@ -1,9 +1,12 @@
 """Quality rules with a verdict on the host (DataFrame functions only).
 
-Every document is measured on its whole text and tested against two rules. Failures are then counted by host (the
-document's source). A host's failure rate is shrunk towards the rate of all hosts by a beta prior whose two parameters
-are fitted to the hosts' own rates by moments, so that a host with few documents is not judged on them alone. A host
-whose shrunken rate is above `host_limit` is rejected with all its documents.
+Every document is measured on its whole text and tested against RULES. Failures of each rule are then counted by host (the
+document's source). A host's failure rate is shrunk towards the rate of all hosts by a beta prior whose two parameters are
+fitted to the hosts' own rates by moments, so that a host with few documents is not judged on them alone. For each rule the
+prior also says how far hosts differ: its mean and deviation. A host is `rejected`, with all its documents, if a shrunken rate
+is above HOST_LIMIT, or above half and REJECT_SD deviations from the mean; it is `suspect` if one is SUSPECT_SD deviations above
+the mean. A document goes if it fails a base rule, if its host is rejected, or if its host is suspect and it fails any rule.
+Where hosts are alike the prior is so strong that no host stands out, and the documents are judged by the base rules alone.
 
 Defined cases: a null or blank text has no words and fails; a null source is a host of its own; repeated rows are rows of
 their own; an empty table gives an empty result. Only doc_id, text and source are read for the measures.
@@ -16,10 +19,18 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MIN_WORDS = 50
-MAX_REPEAT_PERCENT = 50
-#: A host is rejected if, after shrinking, more than this part of its documents fails.
+#: The base rules reject a document by themselves; the others count against its host.
+BASE_RULES = {"few_words": "n_words < 50", "repeats": "n_repeat_words * 100 > n_words * 50"}
+HOST_RULES = {
+    "symbols": "n_symbols * 100 > word_chars * 5",
+    "lines": "n_dup_lines * 100 > n_lines * 30",
+    "word_length": "word_chars > n_words * 9 or word_chars < n_words * 3",
+}
+RULES = BASE_RULES | HOST_RULES
+#: A host is rejected if, after shrinking, more than this part of its documents fails a rule.
 HOST_LIMIT = 0.8
+#: Deviations above the mean of all hosts from which a host is suspect, and from which it is rejected if most of it fails.
+SUSPECT_SD, REJECT_SD = 1.5, 3.0
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -45,7 +56,7 @@ def with_repeat_words(df: DataFrame, w: str, out: str) -> DataFrame:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """Add the five measures and base_failed to every row."""
+    """Add the measures, base_failed, and failed (of each rule, in order) to every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     w = C.words(F.col("text"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(C.SPACE_CHARS)) != "")
@@ -55,67 +66,75 @@ def measures(docs: DataFrame) -> DataFrame:
             "n_words": F.size("__w").cast("long"),
             "word_chars": F.length(F.array_join("__w", "")).cast("long"),
             "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
+            "n_lines": F.size("__l").cast("long"),
             "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
         }
     )
     out = with_repeat_words(out, "__w", "n_repeat_words")
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    return out.withColumn("base_failed", failed).drop("__w", "__l")
+    base = F.expr(" or ".join(f"({x})" for x in BASE_RULES.values()))
+    return out.withColumns({"base_failed": base, "failed": F.array(*[F.expr(x) for x in RULES.values()])}).drop("__w", "__l", "n_lines")
 
 
 def host_verdicts(measured: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """Per host: documents, failures, the prior (alpha, beta), the shrunken rate, and whether the host is rejected."""
-    hosts = C.stage(measured.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("base_failed").cast("long")).alias("failures")), "hosts")
-    alpha, beta = beta_prior(hosts)
-    rate = (F.col("failures") + alpha) / (F.col("documents") + alpha + beta)
-    return hosts.withColumns({"alpha": F.lit(alpha), "beta": F.lit(beta), "rate": rate, "rejected": rate > host_limit})
-
-
-def beta_prior(hosts: DataFrame) -> tuple[float, float]:
-    """Moment estimates of a beta distribution of failure rates. The spread that binomial chance alone would give is taken
-    off first; where nothing is left, the hosts are alike and the prior is worth as much as all their documents."""
+    """Per host and rule: documents, failures, the prior's mean and deviation, the shrunken rate, and the verdict."""
+    by_rule = [F.struct(F.lit(k).alias("rule"), F.sum(F.col("failed")[i].cast("long")).alias("failures")) for i, k in enumerate(RULES)]
+    hosts = measured.groupBy("source").agg(F.count("*").alias("documents"), F.array(*by_rule).alias("by_rule"))
+    hosts = C.stage(hosts.select("source", "documents", F.inline("by_rule")), "hosts")
+    prior = beta_priors(hosts)
+    m, strength = (F.element_at(F.create_map(*[F.lit(x) for k, v in prior.items() for x in (k, v[i])]), F.col("rule")) for i in (0, 1))
+    hosts = hosts.withColumns({"mean": m, "strength": strength})
+    rate = (F.col("failures") + F.col("mean") * F.col("strength")) / (F.col("documents") + F.col("strength"))
+    hosts = hosts.withColumns({"rate": rate, "deviation": F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + 1))})
+    far = (F.col("rate") - F.col("mean")) / F.col("deviation")
+    verdict = F.when((F.col("rate") > host_limit) | ((far > REJECT_SD) & (F.col("rate") > 0.5)), "rejected").when(far > SUSPECT_SD, "suspect").otherwise("good")
+    return hosts.withColumn("verdict", verdict)
+
+
+def beta_priors(hosts: DataFrame) -> dict[str, tuple[float, float]]:
+    """For each rule the mean of a beta distribution of failure rates and its strength in documents, from moments. The spread that
+    binomial chance alone would give is taken off first; where nothing is left, the hosts are alike and the prior is worth as
+    much as all their documents. One row a rule comes to the driver."""
     p = F.col("failures") / F.col("documents")
-    total, failures, n, squares = hosts.agg(
-        F.coalesce(F.sum("documents"), F.lit(0)),
-        F.coalesce(F.sum("failures"), F.lit(0)),
-        F.count("*"),
-        F.coalesce(F.sum(F.col("documents") * F.col("documents")), F.lit(0)),
-    ).first()
-    mean = (failures + 0.5) / (total + 1.0)
-    if n < 2:
-        return mean, 1.0 - mean
-    between = hosts.agg(F.sum(F.col("documents") * (p - mean) * (p - mean))).first()[0]
-    # E[between] = mean (1 - mean) (n - 1 + (total - squares / total - (n - 1)) rho), rho the correlation within a host
-    excess = between / (mean * (1 - mean)) - (n - 1)
-    room = total - squares / total - (n - 1)
-    rho = excess / room if room > 0 else 0.0
-    rho = min(max(rho, 1.0 / (total + 1.0)), 0.5)
-    strength = 1.0 / rho - 1.0
-    return mean * strength, (1 - mean) * strength
+    d = F.col("documents").cast("double")
+    sums = [F.sum(d), F.sum("failures"), F.count("*"), F.sum(d * d), F.sum(d * p), F.sum(d * p * p)]
+    out = dict.fromkeys(RULES, (0.5, 1.0))
+    for rule, total, failures, n, squares, first, second in hosts.groupBy("rule").agg(*sums).collect():
+        mean = (failures + 0.5) / (total + 1.0)
+        strength = 1.0
+        if n > 1:
+            between = second - 2 * mean * first + mean * mean * total
+            # E[between] = mean (1 - mean) (n - 1 + (total - squares / total - (n - 1)) rho), rho the correlation within a host
+            excess = between / (mean * (1 - mean)) - (n - 1)
+            room = total - squares / total - (n - 1)
+            rho = excess / room if room > 0 else 0.0
+            strength = 1.0 / min(max(rho, 1.0 / (total + 1.0)), 0.5) - 1.0
+        out[rule] = mean, strength
+    return out
 
 
 def judge(measured: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """Add kept: false if base_failed or if the document's host is rejected. `measured` is read twice."""
-    verdicts = host_verdicts(measured, host_limit)
-    bad = C.stage(verdicts.where("rejected").select(F.col("source").alias("__host"), F.lit(True).alias("__bad")), "bad-hosts")
-    bad = C.bounded_broadcast(bad, bad.count())
-    joined = measured.join(bad, measured.source.eqNullSafe(bad["__host"]), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("__bad").isNull()).drop("__host", "__bad")
+    """Add host (the verdict on it) and kept to staged measures."""
+    found = host_verdicts(measured, host_limit).where("verdict <> 'good'")
+    found = found.groupBy(F.col("source").alias("__host")).agg(F.min("verdict").alias("host"))  # rejected comes before suspect
+    found = C.stage(found, "bad-hosts")
+    found = C.bounded_broadcast(found, found.count())
+    joined = measured.join(found, measured.source.eqNullSafe(found["__host"]), "left").withColumn("host", F.coalesce("host", F.lit("good")))
+    gone = F.col("base_failed") | (F.col("host") == "rejected") | ((F.col("host") == "suspect") & F.exists("failed", lambda x: x))
+    return joined.withColumn("kept", ~gone).drop("__host")
 
 
 def rated(docs: DataFrame) -> DataFrame:
-    """doc_id, the measures, base_failed and kept for every document; each text is read once."""
+    """doc_id, the measures, base_failed, kept and host (good, suspect or rejected) of every document; each text is read once."""
     narrow = C.stage(measures(docs.select("doc_id", "source", "text")).drop("text"), "measures")
-    return judge(narrow).select("doc_id", *MEASURES, "base_failed", "kept")
+    return judge(narrow).select("doc_id", *MEASURES, "base_failed", "kept", "host")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents kept, with the columns of the input (names that clash with the measures included).
 
-    The first pass counts failures by host, the second tests each text again where it lies, so no text is shuffled."""
-    cols = docs.columns
-    held = docs.select(F.struct(*[docs[c] for c in cols]).alias("__row"), "text", "source")
-    # tied to a row number, the flag can't be pushed down as a filter; that would put the measures' steps into one
-    # expression, whose lambdas would then compute each step anew for every word
-    measured = measures(held).withColumn("base_failed", F.col("base_failed") & (F.monotonically_increasing_id() >= 0))
+    Each text is measured once: rows are staged with their flags, those that a base rule rejects without their columns, and the
+    hosts' verdicts, which are few, meet them where they lie. No text is shuffled."""
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), "text", "source")
+    row = F.when(~F.col("base_failed"), F.col("__row")).alias("__row")
+    measured = C.stage(measures(held).select(row, "source", "base_failed", "failed"), "rated")
     return judge(measured).where("kept").select("__row.*")
