@@ -24,8 +24,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()
         seen = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _hung(both, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "v > u").distinct()
+        large = C.stage(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = C.stage(hung.union(least.select("u", "m")).distinct(), "edges")
+        now = C.stage(_hung(large, least, "v <> m").union(least.select("u", "m")).distinct(), "edges")
+
+
+def _hung(edges: DataFrame, least: DataFrame, kept: str) -> DataFrame:
+    """The neighbours v of each node u, hung on its m. Nodes are staged: both sides of the join are then plain exchanges, whose
+    partitions Spark splits where a node has many neighbours."""
+    named = C.stage(least.select(F.col("u").alias("__u"), "m"), "nodes")
+    return edges.join(named, edges.u == named["__u"]).where(kept).select(F.col("v").alias("u"), F.col("m").alias("v"))
