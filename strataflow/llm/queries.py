@@ -14,9 +14,9 @@ from .oracles import ORACLES
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes from each document."""
+    """Words that the mix takes from each document, and its first place in the mix."""
     got = mixing.take(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "size", "source", "source_size", "target", "taken")
+    return got.select("doc_id", "size", "source", "source_size", "target", "taken", "position")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +58,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shard and place of every document, now and with one more shard."""
+    """Shard and place of every document, now and with one more shard, and its shard once bytes are balanced."""
     got = sharding.assign(table(spark, sf_dir, "documents"))
     return got.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("place").alias("slot"), "grown_shard", "vslot"
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("place").alias("slot"), "grown_shard", "vslot", "balanced_shard"
     )
 
 
