@@ -1,82 +1,78 @@
-"""Russian stemmer of the reference's kind, on distinct words through a pandas function.
+"""Stemmer for Russian words, on distinct words through a pandas function.
 
-Suffix lists are tried in a fixed order and the first that fits wins; regions are counted in bytes of UTF-8.
+Endings are tried in a fixed order and the first that fits wins. Regions are counted in bytes of UTF-8: the first begins after the
+first vowel, and each of the next two after the first pair of neighbouring letters that aren't vowels.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Lists of endings, in the order in which they are tried.
+# Lists of endings, in the order in which they are tried, and the letters that count as vowels.
 GERUND = "в вши вшись ив ивши ившись ыв ывши ывшись".split()
 REFLEXIVE = "ся сь".split()
 ADJECTIVE = "ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею".split()
-VERB = "ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ю".split()
-NOUN = "иями ями ами ией иям ием иях ев ов ие ье еи ии ей ой ий ям ем ам ом ах ях ию ью ия ья а е и й о у ы ь ю я".split()
-#: Letters that count as vowels here; the list is the reference's, with its oddities.
-VOWELS = set("аеиоыэюяпмнaeiouy")
+VERB = "ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно ила ыла ена ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ю".split()
+NOUN = "иями ями ами иях ией иям ием ов ев ях ах ей ой ий ям ем ам ом ию ью ия ья ие ье еи ии ю я е и й о у ы ь а".split()
+SUPERLATIVE = "ейше ейш".split()
+DERIVED = "ость ост".split()
+VOWELS = "аеиоыэюяпмнaeiouy"
+
+#: A letter of two bytes or one.
+LETTER = re.compile(rb"[\x80-\xff].?|.", re.DOTALL)
+_VOWELS = {c.encode() for c in VOWELS}
+_CAPITALS = {c: c + 32 for c in (*range(ord("A"), ord("Z") + 1), *range(ord("А"), ord("Я") + 1))} | {ord("Ё"): "е"}
 
 
 def lower(word: str) -> str:
     """Lower case; ё in capitals becomes е."""
-    return "".join("е" if c == "Ё" else c.lower() if "A" <= c <= "Z" or "А" <= c <= "Я" else c for c in word)
+    return word.translate(_CAPITALS)
 
 
 def regions(word: str) -> tuple[int, int]:
-    """Byte offsets where the first and the second region begin."""
-    size = lambda s: len(s.encode())
-    first = next((i + 1 for i, c in enumerate(word) if c in VOWELS), None)
-    if first is None:
-        return 0, size(word)
-    rv = size(word[:first])
-
-    def scan(at: int, seen: bool) -> int:
-        for i in range(at, len(word)):
-            if word[i] in VOWELS:
-                seen = True
-            elif seen:
-                return i + 1
-            else:
-                seen = True
-        return len(word)
-
-    r1 = scan(first, False)
-    r2 = scan(r1, r1 < len(word) and word[r1] not in VOWELS) if r1 < len(word) else len(word)
-    return rv, size(word[:r2])
-
-
-def _cut(word: str, rv: int, endings: list[str]) -> str | None:
-    for e in endings:
-        if word.endswith(e) and len(word.encode()) >= rv + len(e.encode()):
-            return word[: -len(e)]
-    return None
+    """Byte offsets where the first and the last region begin: 0 and the end, for a word without vowels."""
+    letters = LETTER.findall(word.encode())
+    shape = "".join("v" if x in _VOWELS else "c" for x in letters)
+    begin = shape.find("v") + 1
+    if not begin:
+        return 0, sum(map(len, letters))
+
+    def after_pair(at: int, lone: bool = False) -> int:
+        if lone and shape.startswith("c", at):
+            return at + 1
+        found = shape.find("cc", at)
+        return len(shape) if found < 0 else found + 2
+
+    # after the end of a pair, one more letter that is no vowel makes the next pair
+    last = after_pair(after_pair(begin), lone=True)
+    return sum(map(len, letters[:begin])), sum(map(len, letters[:last]))
+
+
+def _without(word: str, begin: int, endings: list[str]) -> str | None:
+    """The word without the first of the endings that it has from byte `begin` on; null if it has none."""
+    room = len(word.encode()) - begin
+    return next((word[: -len(e)] for e in endings if word.endswith(e) and len(e.encode()) <= room), None)
 
 
 def stem(word: str) -> str:
     word = lower(word)
     if len(word.encode()) < 4:
         return word
-    rv, r2 = regions(word)
-    cut = _cut(word, rv, GERUND)
-    if cut is not None:
-        word = cut
-    else:
-        word = _cut(word, rv, REFLEXIVE) or word
-        for endings in (ADJECTIVE, VERB, NOUN):
-            cut = _cut(word, rv, endings)
-            if cut is not None:
-                word = cut
-                break
-    word = _cut(word, rv, ["и"]) or word
-    for e in ("ость", "ост"):
-        if word.endswith(e) and len(word.encode()) >= r2 + len(e.encode()):
-            word = word[: -len(e)]
-            break
-    best = _cut(word, rv, ["ейше", "ейш"])
-    word = best if best is not None else word
+    first, last = regions(word)
+
+    def drop(word: str, *lists: list[str], begin: int = first) -> str:
+        found = (_without(word, begin, x) for x in lists)
+        return next((x for x in found if x is not None), word)
+
+    cut = _without(word, first, GERUND)
+    word = cut if cut is not None else drop(drop(word, REFLEXIVE), ADJECTIVE, VERB, NOUN)
+    word = drop(word, ["и"])
+    word = drop(drop(word, DERIVED, begin=max(first, last)), SUPERLATIVE)
     word = word[:-1] if word.endswith("нн") else word
-    return word[:-1] if word.endswith("ь") else word
+    return drop(word, ["ь"])
 
 
 def stem_terms(terms: DataFrame, column: str = "term") -> DataFrame:
