@@ -13,8 +13,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from .registry import QUERIES, sql
+from ..operators import ranking
+from ..session import table, views
+from .registry import QUERIES, query, sql
 
 # queries are the vectors whose id is divisible by 20; each is held against all others
 NEAR = """
@@ -36,24 +37,63 @@ select vec_id, guess from (select vec_id, guess, row_number() over (partition by
 sql("nearest_centroid", BEST.replace("{C}", CENTROIDS).replace("{P}", P_SPARK), BEST.replace("{C}", CENTROIDS).replace("{P}", P_DUCK))
 
 sql("standardize", """
-select l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) over ()) / stddev_pop(l_quantity) over (), 6) as quantity from lineitem""")
+select l_orderkey, l_linenumber, round((l_quantity - (select avg(l_quantity) from lineitem)) / (select stddev_pop(l_quantity) from lineitem), 6) as quantity from lineitem""")
 sql("one_hot", """
 select o_orderkey, case when o_orderstatus = 'F' then 1 else 0 end as f, case when o_orderstatus = 'O' then 1 else 0 end as o, case when o_orderstatus = 'P' then 1 else 0 end as p from orders""")
-sql("stratified_split", """
-select doc_id, quality, r < 0.2 as test from (select doc_id, quality, percent_rank() over (partition by quality order by md5(cast(doc_id as varchar(20)))) as r from labels)""")
+
+
+@query("""
+select doc_id, quality, r < 0.2 as test from (select doc_id, quality, percent_rank() over (partition by quality order by md5(cast(doc_id as varchar(20))), doc_id) as r from labels)""")
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of each class for testing, by the order of a hash of the ids."""
+    rows = table(spark, sf_dir, "labels").select("doc_id", "quality", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    rows = ranking.staged(ranking.ranked(rows, F.col("quality"), F.col("h"), F.col("doc_id")), "split")
+    classes = rows.groupBy(F.col("quality").alias("q")).agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    r = F.when(F.col("n") > 1, (F.col("place") - F.col("first")) / (F.col("n") - 1)).otherwise(0.0)
+    return rows.join(F.broadcast(classes), F.col("quality").eqNullSafe(F.col("q"))).select("doc_id", "quality", (r < 0.2).alias("test"))
+
+
 sql("cv_folds", "select doc_id % 5 as fold, count(*) as n, cast(sum(quality) as bigint) as good from labels group by doc_id % 5")
 FEATURE = "select l.quality as y, cast(length(d.text) as double) as x, d.doc_id from labels l join documents d on l.doc_id = d.doc_id"
 SPLITS = f"""
 select (x + nx) / 2 as threshold, nl, pl, n - nl as nr, p - pl as pr, n from (
   select x, lead(x) over (order by x, doc_id) as nx, count(*) over (order by x, doc_id rows between unbounded preceding and current row) as nl,
          sum(y) over (order by x, doc_id rows between unbounded preceding and current row) as pl, count(*) over () as n, sum(y) over () as p from ({FEATURE})) where nx > x"""
-sql("best_gini_split", f"""
+
+
+def split_sums(rows: DataFrame) -> DataFrame:
+    """For each cut between two values of x: x, next_x, and of the rows up to it their number nl, sum sl; and n, s, sq of all rows.
+    Rows are summed by x first, so only distinct values are put in order."""
+    by_x = rows.groupBy("x").agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    cuts = ranking.staged(ranking.running(by_x, [F.col("x")], {"nl": F.col("n"), "sl": F.col("y")}, following="x").drop("y").withColumnRenamed("n", "own"), "cuts")
+    whole = rows.agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("sq"))
+    return cuts.where("next_x is not null").crossJoin(F.broadcast(whole))
+
+
+@query(f"""
 select threshold, gini from (select threshold, round((nl * (1 - {{sq|1.0 * pl / nl}} - {{sq|1 - 1.0 * pl / nl}}) + nr * (1 - {{sq|1.0 * pr / nr}} - {{sq|1 - 1.0 * pr / nr}})) / n, 4) as gini from (
   select threshold, cast(nl as double) as nl, cast(pl as double) as pl, cast(nr as double) as nr, cast(pr as double) as pr, cast(n as double) as n from ({SPLITS}))) order by gini, threshold limit 1""")
-sql("best_sse_split", """
+def best_gini_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length of text that parts good documents from bad ones best, by Gini impurity."""
+    views(spark, sf_dir, "labels", "documents")
+    cuts = split_sums(spark.sql(FEATURE).select("x", F.col("y").cast("double").alias("y")))
+    impurity = lambda n, p: n * (1 - (p / n) * (p / n) - (1 - p / n) * (1 - p / n))
+    nl, pl, n, p = F.col("nl").cast("double"), F.col("sl"), F.col("n").cast("double"), F.col("s")
+    gini = F.round((impurity(nl, pl) + impurity(n - nl, p - pl)) / n, 4)
+    return cuts.select(((F.col("x") + F.col("next_x")) / 2).alias("threshold"), gini.alias("gini")).orderBy("gini", "threshold").limit(1)
+
+
+@query("""
 select threshold, round(sse, 2) as sse from (select x as threshold, sq - sl * sl / nl - {sq|s - sl} / (n - nl) as sse from (
   select x, count(*) over w as nl, sum(y) over w as sl, sum(y) over () as s, sum(y * y) over () as sq, count(*) over () as n, lead(x) over (order by x, k) as nx
   from (select p_size as x, round(p_retailprice) as y, p_partkey as k from part) window w as (order by x, k rows between unbounded preceding and current row)) where nx > x) order by sse, threshold limit 1""")
+def best_sse_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size that parts dear parts from cheap ones best, by squared errors."""
+    cuts = split_sums(table(spark, sf_dir, "part").select(F.col("p_size").alias("x"), F.round("p_retailprice").alias("y")))
+    sse = F.expr("sq - sl * sl / nl - (s - sl) * (s - sl) / (n - nl)")
+    return cuts.select(F.col("x").alias("threshold"), sse.alias("raw")).orderBy("raw", "threshold").limit(1).select("threshold", F.round("raw", 2).alias("sse"))
+
+
 sql("linreg_1d", "select round(regr_slope(l_extendedprice, l_quantity), 6) as slope, round(regr_intercept(l_extendedprice, l_quantity), 4) as intercept from lineitem")
 sql("polyfit1", """
 select round((n * sxy - sx * sy) / (n * sxx - sx * sx), 6) as a1, round((sy * sxx - sx * sxy) / (n * sxx - sx * sx), 4) as a0
@@ -68,7 +108,7 @@ from (select *, n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 *
 sql("log_loss", f"""
 select round(avg(-(y * ln(greatest(p, 1e-15)) + (1 - y) * ln(greatest(1 - p, 1e-15)))), 6) as loss from (
   select y, 1 / (1 + exp(-least(500.0, greatest(-500.0, cast((x - 1500) / 1000 as double))))) as p from ({FEATURE}))""")
-sql("feature_eng", "select p_partkey, round(ln(1 + p_retailprice), 6) as log_price, round(p_retailprice / (p_size + 0.000001), 4) as unit, round(p_size - avg(p_size) over (), 6) as centred from part")
+sql("feature_eng", "select p_partkey, round(ln(1 + p_retailprice), 6) as log_price, round(p_retailprice / (p_size + 0.000001), 4) as unit, round(p_size - (select avg(p_size) from part), 6) as centred from part")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

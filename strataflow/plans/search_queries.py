@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import boolean
+from ..operators import boolean, ranking
 from ..session import table
-from .registry import ORACLES, QUERIES, sql
-from .text_queries import TERMS, TOKENS
+from .registry import ORACLES, QUERIES, query, sql
+from .text_queries import TERMS, TOKENS, term_counts
 
 DOCS = "select doc_id from documents where length(text) > 50"
 
@@ -44,7 +44,8 @@ boolean_query("bool_symbols", "the && ! that || les", f"({has('the')} and not {h
 sql("term_lookup", f"select term, count(distinct doc_id) as n from ({TERMS}) where term in ('the', 'les', 'der', 'que') group by term")
 sql("posting_contains", f"select term, max(case when doc_id = 7 then 1 else 0 end) = 1 as holds from ({TERMS}) where term in ('the', 'les', 'der', 'que') group by term")
 sql("bool_paged", f"""
-select doc_id, total from (select doc_id, count(*) over () as total from (select distinct doc_id from ({TERMS}) where term = 'the')) order by doc_id limit 50""")
+with hits as (select distinct doc_id from ({TERMS}) where term = 'the')
+select doc_id, (select count(*) from hits) as total from hits order by doc_id limit 50""")
 sql("tf_search", f"""
 select doc_id, count(*) as score from ({TERMS}) where term in ('the', 'with') group by doc_id order by score desc, doc_id limit 100""")
 sql("multi_query_search", f"""
@@ -55,11 +56,40 @@ from (select *, row_number() over (partition by qid order by score desc, doc_id)
 
 RANKED = f"select term, freq, row_number() over (order by freq desc, term) as place from (select token as term, count(*) as freq from ({TOKENS}) group by token)"
 DEV = f"select r.*, 100.0 * (r.freq - m.top / r.place) / (m.top / r.place) as dev from ({RANKED}) r cross join (select cast(max(freq) as double) as top from (select count(*) as freq from ({TOKENS}) group by token)) m"
-sql("zipf_zones", f"select case when place <= 100 then 'head' when place <= 10000 then 'middle' else 'tail' end as part, count(*) as n, round(avg(abs(dev)), 4) as mean_dev from ({DEV}) group by 1")
-sql("zipf_outliers", f"select term, freq, cast(place as bigint) as place, round(dev, 4) as dev from ({DEV}) where dev > 0 order by dev desc, term limit 10")
-sql("zipf_mse", f"""
+
+
+def ranked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms with place, top (the first one's frequency) and dev (how far in percent the frequency is from top / place). The
+    ranked table is staged, and the top is read from it."""
+    ranks = ranking.staged(ranking.ranked(term_counts(spark, sf_dir), F.desc("freq"), F.col("term")), "ranked-terms")
+    first = ranks.where("place = 1").first()
+    law = F.lit(float(first.freq) if first else None).cast("double") / F.col("place")
+    return ranks.withColumns({"law": law, "dev": 100.0 * (F.col("freq") - law) / law})
+
+
+@query(f"select case when place <= 100 then 'head' when place <= 10000 then 'middle' else 'tail' end as part, count(*) as n, round(avg(abs(dev)), 4) as mean_dev from ({DEV}) group by 1")
+def zipf_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean deviation from Zipf's law among frequent, middling and rare terms."""
+    part = F.when(F.col("place") <= 100, "head").when(F.col("place") <= 10000, "middle").otherwise("tail").alias("part")
+    return ranked_terms(spark, sf_dir).groupBy(part).agg(F.count("*").alias("n"), F.round(F.avg(F.abs("dev")), 4).alias("mean_dev"))
+
+
+@query(f"select term, freq, cast(place as bigint) as place, round(dev, 4) as dev from ({DEV}) where dev > 0 order by dev desc, term limit 10")
+def zipf_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten terms that are furthest above Zipf's law."""
+    top = ranked_terms(spark, sf_dir).where("dev > 0").orderBy(F.desc("dev"), "term").limit(10)
+    return top.select("term", "freq", "place", F.round("dev", 4).alias("dev"))
+
+
+@query(f"""
 select round(avg({{sq|r.freq - m.top / r.place}}), 3) as zipf, round(avg({{sq|r.freq - m.top / (r.place + 2.7)}}), 3) as mandelbrot
 from ({RANKED}) r cross join (select cast(max(freq) as double) as top from (select count(*) as freq from ({TOKENS}) group by token)) m""")
+def zipf_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean squared errors of Zipf's and Mandelbrot's laws."""
+    mandelbrot = F.col("law") * F.col("place") / (F.col("place") + 2.7)
+    error = lambda law: F.round(F.avg((F.col("freq") - law) * (F.col("freq") - law)), 3)
+    return ranked_terms(spark, sf_dir).agg(error(F.col("law")).alias("zipf"), error(mandelbrot).alias("mandelbrot"))
+
 
 sql("cls_metrics", """
 select round((tp + tn) / (tp + tn + fp + fn), 6) as accuracy, round(tp / nullif(tp + fp, 0), 6) as prec, round(tp / nullif(tp + fn, 0), 6) as recall,
@@ -68,8 +98,9 @@ from (select cast(sum(case when y = 1 and p = 1 then 1 else 0 end) as double) as
              cast(sum(case when y = 0 and p = 1 then 1 else 0 end) as double) as fp, cast(sum(case when y = 1 and p = 0 then 1 else 0 end) as double) as fn
       from (select l.quality as y, case when length(d.text) > 300 then 1 else 0 end as p from labels l join documents d on l.doc_id = d.doc_id))""")
 sql("reg_metrics", """
-select round(avg(abs(y - p)), 4) as mae, round(avg({sq|y - p}), 2) as mse, round(sqrt(avg({sq|y - p})), 4) as rmse, round(1 - sum({sq|y - p}) / sum({sq|y - m}), 6) as r2
-from (select l_extendedprice as y, l_quantity * 1500.0 as p, avg(l_extendedprice) over () as m from lineitem)""")
+select round(avg(abs(y - p)), 4) as mae, round(avg({sq|y - p}), 2) as mse, round(sqrt(avg({sq|y - p})), 4) as rmse,
+       round(1 - sum({sq|y - p}) / sum({sq|y - (select avg(l_extendedprice) from lineitem)}), 6) as r2
+from (select l_extendedprice as y, l_quantity * 1500.0 as p from lineitem)""")
 sql("precision_at_k", f"""
 with hits as (select doc_id, count(*) as score from ({TERMS}) where term in ('the', 'with') group by doc_id),
 top as (select * from hits order by score desc, doc_id limit 10)

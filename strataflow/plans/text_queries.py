@@ -1,6 +1,14 @@
 """Queries on pages and documents: cleaning, tokens, URLs, the crawl's tables."""
 
-from .registry import sql
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import tokenize
+from ..operators import ranking
+from ..session import table
+from .registry import query, sql
 
 TOKENS = "select doc_id, {unnest|{tokens|text}} as token from documents"
 sql("tokenize", TOKENS)
@@ -10,10 +18,29 @@ sql("token_stats_bytes", f"select count(*) as total, count(distinct token) as di
 sql("token_length_hist", f"select cast(length(token) as bigint) as chars, count(*) as n from ({TOKENS}) group by 1")
 sql("top_tokens", f"select token, count(*) as n from ({TOKENS}) group by token order by n desc, token limit 20")
 sql("term_freq", f"select token as term, count(*) as freq from ({TOKENS}) group by token")
-sql("term_rank", f"select term, freq, cast(row_number() over (order by freq desc, term) as bigint) as place from (select token as term, count(*) as freq from ({TOKENS}) group by token)")
-# Words of the reference corpus's user interface that aren't content.
-UI_WORDS = "('quot', 'nbsp', 'amp', 'raquo', 'laquo', 'mdash', 'ndash', 'href', 'https', 'http', 'www', 'com', 'html', 'span', 'div')"
-sql("term_freq_filtered", f"select token as term, count(*) as freq from ({TOKENS}) where token not in {UI_WORDS} group by token")
+
+
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents with their counts: term, freq."""
+    tokens = table(spark, sf_dir, "documents").select(F.explode(tokenize(F.col("text"))).alias("term"))
+    return tokens.groupBy("term").agg(F.count("*").alias("freq"))
+
+
+@query(f"select term, freq, cast(row_number() over (order by freq desc, term) as bigint) as place from (select token as term, count(*) as freq from ({TOKENS}) group by token)")
+def term_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens by falling frequency, with their places."""
+    return ranking.ranked(term_counts(spark, sf_dir), F.desc("freq"), F.col("term"))
+
+
+# Words of the crawled sites' user interface that aren't content.
+UI_WORDS = "нравится добавить закладки комментарий ответить рейтинг скрыт избранное поделиться подписаться читать далее продолжение источник".split()
+_UI_LIST = ", ".join(f"'{w}'" for w in UI_WORDS)
+sql("term_freq_filtered", f"select token as term, count(*) as freq from ({TOKENS}) where token not in ({_UI_LIST}) group by token")
+# a text of the kind that is filtered, beside the documents, which hold none
+sql("ui_words_filtered", f"""
+select token as term, count(*) as freq from (
+  select {{unnest|{{tokens|text}}}} as token from (values ('Мне нравится! Добавить в закладки: далее — Источник, читать ИСТОЧНИК'), ('Комментарий скрыт. Ответить? Рейтинг статьи 5'), (null)) as t(text))
+where token not in ({_UI_LIST}) group by token""")
 sql("problem_tokens", f"""
 select cast({{count_if|{{matches|token|'^[0-9]+$'}}}} as bigint) as digits, cast({{count_if|length(token) <= 2}} as bigint) as short_ones, cast({{count_if|length(token) > 30}} as bigint) as long_ones,
        cast({{count_if|{{matches|token|'[a-z].*[Ѐ-ѿ]¦[Ѐ-ѿ].*[a-z]'}}}} as bigint) as mixed
@@ -64,9 +91,19 @@ select coalesce(source, 'all') as source, count(*) as docs, cast(sum({bytes|text
 sql("corpus_keep", "select doc_id, cast(length(text) as bigint) as chars from documents where length(text) > 50 and {bytes|text} > 10")
 sql("remove_vowels", "select doc_id, translate(text, 'aeiouAEIOU', '') as text from documents")
 sql("remove_vowels_y", "select doc_id, translate(text, 'aeiouyAEIOUY', '') as text from documents")
-sql("route_parity", """
+
+
+@query("""
 select doc_id, case when place % 2 = 1 then 'first' else 'second' end as child, translate(text, 'aeiouAEIOU', '') as line
 from (select doc_id, text, row_number() over (order by doc_id) as place from documents)""")
+def route_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, without vowels, dealt to two children in turn. Places are found on the ids alone."""
+    docs = table(spark, sf_dir, "documents")
+    places = ranking.ranked(docs.select("doc_id"), F.col("doc_id"))
+    child = F.when(F.col("place") % 2 == 1, "first").otherwise("second").alias("child")
+    return places.join(docs, "doc_id").select("doc_id", child, F.translate("text", "aeiouAEIOU", "").alias("line"))
+
+
 sql("recrawl_due", "select event_id, {days|date '2026-01-01'|cast(ts as date)} >= 30 as due from events")
 sql("iso_to_epoch", "select event_id, coalesce({epoch|ts}, cast(0 as bigint)) as epoch from events")
 sql("json_props", "select event_type, cast(sum({json_n|props}) as bigint) as n from events group by event_type")
