@@ -1,4 +1,8 @@
-"""Boolean search: a query text becomes a tree, and the tree one aggregation over an inverted index.
+"""Boolean and ranked search: a query text becomes a tree, and the tree set operations on an inverted index.
+
+The index has posting lists in blocks: documents are dealt into parts of about PART_DOCS, and a row holds the ids of one term in
+one part, ascending, with the term's count in each. A query reads the rows of its own terms and works on each part by itself,
+so ids never meet in a shuffle of their own.
 
 Two modes. `lr`: operators apply from left to right without precedence, words side by side are joined by AND, parentheses that
 stand alone are ignored. `prec`: OR binds least, then AND, then NOT, with parentheses.
@@ -14,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, index_terms
 
+#: Documents of one part, about; a posting list holds no more ids.
+PART_DOCS = 1 << 16
 SPELLINGS = {"and": "AND", "&&": "AND", "or": "OR", "||": "OR", "not": "NOT", "!": "NOT"}
 
 
@@ -24,9 +30,24 @@ class Node:
     term: str = ""
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id), once each."""
-    return docs.select("doc_id", F.explode(index_terms(F.col("text"))).alias("term")).distinct()
+def part_count(docs: DataFrame) -> int:
+    return max(1, -(-docs.count() // PART_DOCS))
+
+
+def _part(parts: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part")
+
+
+def posting_lists(docs: DataFrame, parts: int = 1) -> DataFrame:
+    """(term, part, ids, freqs): the ids, ascending, of the documents of a part that have the term, and how often each has it."""
+    counts = docs.select("doc_id", F.explode(index_terms(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("freq"))
+    lists = counts.groupBy("term", _part(parts)).agg(F.sort_array(F.collect_list(F.struct("doc_id", "freq"))).alias("x"))
+    return lists.select("term", "part", F.col("x.doc_id").alias("ids"), F.col("x.freq").alias("freqs"))
+
+
+def universe(docs: DataFrame, parts: int = 1) -> DataFrame:
+    """(part, ids): all documents, those without any term included."""
+    return docs.groupBy(_part(parts)).agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
 
 
 def _split(text: str) -> list[str]:
@@ -99,24 +120,57 @@ def terms(tree: Node) -> list[str]:
     return sorted({*own, *(t for p in tree.parts for t in terms(p))})
 
 
-def holds(tree: Node, test) -> Column | bool:
-    """The tree as a condition; `test` gives that of a term."""
-    parts = [holds(p, test) for p in tree.parts]
+def can_match_without_terms(tree: Node) -> bool:
+    """Whether a document that has none of the terms matches."""
+    parts = [can_match_without_terms(p) for p in tree.parts]
+    return {"TERM": lambda: False, "NOT": lambda: not parts[0], "AND": lambda: all(parts), "OR": lambda: any(parts)}[tree.kind]()
+
+
+def ids_of(tree: Node, lists: dict[str, Column], every: Column) -> Column:
+    """The ids that match, from each term's list and those of all documents. `x AND NOT y` needs no list of all."""
     if tree.kind == "TERM":
-        return test(tree.term)
+        return lists[tree.term]
+    parts = [p for p in tree.parts if p.kind != "NOT"]
+    without = [ids_of(p.parts[0], lists, every) for p in tree.parts if p.kind == "NOT"]
+    if tree.kind == "AND" and parts:
+        return reduce(F.array_except, without, reduce(F.array_intersect, [ids_of(p, lists, every) for p in parts]))
     if tree.kind == "NOT":
-        return ~parts[0] if isinstance(parts[0], Column) else not parts[0]
-    return reduce((lambda a, b: a & b) if tree.kind == "AND" else (lambda a, b: a | b), parts)
+        return F.array_except(every, ids_of(tree.parts[0], lists, every))
+    found = [ids_of(p, lists, every) for p in tree.parts]
+    return reduce(F.array_intersect if tree.kind == "AND" else F.array_union, found)
 
 
 def search(index: DataFrame, universe: DataFrame, text: str, mode: str = "lr") -> DataFrame:
-    """Ids of the documents that match. The index is read once, for the query's terms alone; the universe is joined only if a
-    document without any of them can match."""
+    """Ids of the documents that match. The index is read once, for the query's terms alone; the universe is joined only if the
+    tree takes documents away from all of them."""
     tree = parse_precedence(text) if mode == "prec" else parse_left_to_right(text)
     if tree is None:
-        return universe.limit(0)
+        return universe.select(F.explode("ids").alias("doc_id")).limit(0)
     names = {t: f"t{i}" for i, t in enumerate(terms(tree))}
-    found = index.where(F.col("term").isin(list(names))).groupBy("doc_id").agg(*[F.max(F.col("term") == t).alias(n) for t, n in names.items()])
-    if holds(tree, lambda t: False):
-        found = universe.join(found, "doc_id", "left").na.fill(False, list(names.values()))
-    return found.where(holds(tree, lambda t: F.col(names[t]))).select("doc_id")
+    none = F.array().cast(universe.schema["ids"].dataType)
+    own = [F.flatten(F.collect_list(F.when(F.col("term") == t, F.col("ids")))).alias(n) for t, n in names.items()]
+    found = index.where(F.col("term").isin(list(names))).groupBy("part").agg(*own)
+    every = none
+    if can_match_without_terms(tree) or _needs_universe(tree):
+        found, every = universe.join(found, "part", "left"), F.col("ids")
+    lists = {t: F.coalesce(F.col(n), none) for t, n in names.items()}
+    return found.select(F.explode(ids_of(tree, lists, every)).alias("doc_id"))
+
+
+def _needs_universe(tree: Node) -> bool:
+    """Whether a NOT stands where nothing else limits what it leaves."""
+    if tree.kind == "AND" and any(p.kind != "NOT" for p in tree.parts):
+        return any(_needs_universe(p.parts[0] if p.kind == "NOT" else p) for p in tree.parts)
+    return tree.kind == "NOT" or any(_needs_universe(p) for p in tree.parts)
+
+
+def scores(index: DataFrame, wanted: list[str]) -> DataFrame:
+    """(doc_id, score): how often documents have the terms, in all. A term that is listed twice counts twice."""
+    rows = index.where(F.col("term").isin(wanted)) if len(set(wanted)) == len(wanted) else _join_terms(index, wanted)
+    each = rows.select(F.explode(F.arrays_zip("ids", "freqs")).alias("x"))
+    return each.groupBy(F.col("x.ids").alias("doc_id")).agg(F.sum("x.freqs").alias("score"))
+
+
+def _join_terms(index: DataFrame, wanted: list[str]) -> DataFrame:
+    asked = index.sparkSession.createDataFrame([(t,) for t in wanted], "term string")
+    return index.where(F.col("term").isin(wanted)).join(F.broadcast(asked), "term")

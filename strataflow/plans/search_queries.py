@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import boolean, ranking
 from ..session import table
+from ..sources import files
 from .registry import ORACLES, QUERIES, query, sql
 from .text_queries import TERMS, TOKENS, term_counts
 
 DOCS = "select doc_id from documents where length(text) > 50"
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The index of a folder's documents: posting lists and all ids. It is built and saved by the first search of the application,
+    and read by this and all others."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _SAVED:
+        docs = table(spark, sf_dir, "documents").where(F.length("text") > 50)
+        parts = boolean.part_count(docs)
+        _SAVED[key] = files.save_index(boolean.posting_lists(docs, parts), boolean.universe(docs, parts), files.scratch_path(spark, "index"))
+    return files.load_index(spark, _SAVED[key])
+
+
 def has(term: str) -> str:
     return f"exists (select 1 from p where p.doc_id = d.doc_id and p.term = '{term}')"
 
@@ -22,8 +37,8 @@ def boolean_query(name: str, text: str, condition: str, mode: str = "lr") -> Non
     from .registry import _render
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = table(spark, sf_dir, "documents").where(F.length("text") > 50)
-        return boolean.search(boolean.postings(docs), docs.select("doc_id"), text, mode)
+        lists, every = search_index(spark, sf_dir)
+        return boolean.search(lists, every, text, mode)
 
     run.__doc__, run.__name__ = text, name
     QUERIES[name] = run
@@ -41,18 +56,54 @@ boolean_query("bool_parentheses", "(the OR les) AND NOT (that OR des)", f"({has(
 boolean_query("bool_implicit_and", "the that", f"{has('the')} and {has('that')}")
 boolean_query("bool_symbols", "the && ! that || les", f"({has('the')} and not {has('that')}) or {has('les')}")
 
-sql("term_lookup", f"select term, count(distinct doc_id) as n from ({TERMS}) where term in ('the', 'les', 'der', 'que') group by term")
-sql("posting_contains", f"select term, max(case when doc_id = 7 then 1 else 0 end) = 1 as holds from ({TERMS}) where term in ('the', 'les', 'der', 'que') group by term")
-sql("bool_paged", f"""
-with hits as (select distinct doc_id from ({TERMS}) where term = 'the')
-select doc_id, (select count(*) from hits) as total from hits order by doc_id limit 50""")
-sql("tf_search", f"""
-select doc_id, count(*) as score from ({TERMS}) where term in ('the', 'with') group by doc_id order by score desc, doc_id limit 100""")
-sql("multi_query_search", f"""
+ASKED = ["the", "les", "der", "que"]
+IN_ASKED = ", ".join(f"'{t}'" for t in ASKED)
+
+
+@query(f"select term, count(distinct doc_id) as n from ({TERMS}) where term in ({IN_ASKED}) group by term")
+def term_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have each of some terms."""
+    lists, _ = search_index(spark, sf_dir)
+    return lists.where(F.col("term").isin(ASKED)).groupBy("term").agg(F.sum(F.size("ids")).alias("n"))
+
+
+@query(f"select term, max(case when doc_id = 7 then 1 else 0 end) = 1 as holds from ({TERMS}) where term in ({IN_ASKED}) group by term")
+def posting_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a document is among those of some terms."""
+    lists, _ = search_index(spark, sf_dir)
+    return lists.where(F.col("term").isin(ASKED)).groupBy("term").agg(F.max(F.array_contains("ids", F.lit(7).cast("long"))).alias("holds"))
+
+
+@query(f"select doc_id, count(*) over () as total from (select distinct doc_id from ({TERMS}) where term = 'the') order by doc_id limit 50")
+def bool_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the documents that match, with the number of all."""
+    lists, every = search_index(spark, sf_dir)
+    hits = lists.where("term = 'the'")
+    total = hits.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).cast("long").alias("total"))
+    return boolean.search(lists, every, "the").orderBy("doc_id").limit(50).crossJoin(F.broadcast(total))
+
+
+@query(f"select doc_id, count(*) as score from ({TERMS}) where term in ('the', 'with') group by doc_id order by score desc, doc_id limit 100")
+def tf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred documents that have the query's terms most often."""
+    return boolean.scores(search_index(spark, sf_dir)[0], ["the", "with"]).orderBy(F.desc("score"), "doc_id").limit(100)
+
+
+@query(f"""
 with q(qid, term) as (values (1, 'the'), (1, 'for'), (2, 'les'), (3, 'und'), (3, 'der'), (4, 'zzzz')),
 scored as (select cast(qid as bigint) as qid, doc_id, count(*) as score from ({TERMS}) t join q on t.term = q.term group by qid, doc_id)
 select qid, doc_id, score, cast(place as bigint) as place
 from (select *, row_number() over (partition by qid order by score desc, doc_id) as place from scored) where place <= 20""")
+def multi_query_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of each of several queries, answered together."""
+    asked = [(1, "the"), (1, "for"), (2, "les"), (3, "und"), (3, "der"), (4, "zzzz")]
+    q = spark.createDataFrame(asked, "qid long, term string")
+    lists, _ = search_index(spark, sf_dir)
+    rows = lists.where(F.col("term").isin([t for _, t in asked])).join(F.broadcast(q), "term")
+    scored = rows.select("qid", F.explode(F.arrays_zip("ids", "freqs")).alias("x")).groupBy("qid", F.col("x.ids").alias("doc_id")).agg(F.sum("x.freqs").alias("score"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")).cast("long")
+    return scored.withColumn("place", place).where("place <= 20").select("qid", "doc_id", "score", "place")
+
 
 RANKED = f"select term, freq, row_number() over (order by freq desc, term) as place from (select token as term, count(*) as freq from ({TOKENS}) group by token)"
 DEV = f"select r.*, 100.0 * (r.freq - m.top / r.place) / (m.top / r.place) as dev from ({RANKED}) r cross join (select cast(max(freq) as double) as top from (select count(*) as freq from ({TOKENS}) group by token)) m"

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import linear
+from ..operators import boolean, linear
 from ..session import ship, table
 from ..sources import files
 from .registry import query, sql
@@ -222,10 +222,12 @@ def dag_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select term, count(*) as docs, min(doc_id) as first_doc, max(doc_id) as last_doc from (select distinct doc_id, {unnest|{terms|text}} as term from documents) group by term")
 def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A postings index, saved, loaded, and summed up by term."""
-    from ..operators.boolean import postings
-
-    path = files.save_index(postings(table(spark, sf_dir, "documents")).select("term", "doc_id"), files.scratch_path(spark, "index"))
-    return files.load_index(spark, path).groupBy("term").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    docs = table(spark, sf_dir, "documents")
+    parts = boolean.part_count(docs)
+    path = files.save_index(boolean.posting_lists(docs, parts), boolean.universe(docs, parts), files.scratch_path(spark, "index"))
+    lists, _ = files.load_index(spark, path)
+    first, last = F.min(F.col("ids")[0]), F.max(F.element_at("ids", -1))
+    return lists.groupBy("term").agg(F.sum(F.size("ids")).alias("docs"), first.alias("first_doc"), last.alias("last_doc"))
 
 
 @query("select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")

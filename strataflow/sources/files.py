@@ -35,11 +35,17 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.select(*[F.translate(c, "\0", "").alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes])
 
 
-def save_index(postings: DataFrame, path: str) -> str:
-    """Postings (term, doc_id), sorted by term in ranges of terms, so that a look-up by term reads few row groups."""
-    postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(path)
+INDEX_SCHEMA = "term string, part int, ids array<long>, freqs array<long>"
+
+
+def save_index(lists: DataFrame, universe: DataFrame, path: str) -> str:
+    """Posting lists (term, part, ids, freqs), sorted by term in ranges of terms, so that a look-up by term reads few row groups;
+    and beside them the ids of all documents."""
+    rows = lists.repartitionByRange("term").sortWithinPartitions("term", "part")
+    rows.write.option("parquet.block.size", 8 << 20).parquet(f"{path}/lists")
+    universe.write.parquet(f"{path}/universe")
     return path
 
 
-def load_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("term string, doc_id long").parquet(path)
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.schema(INDEX_SCHEMA).parquet(f"{path}/lists"), spark.read.schema("part int, ids array<long>").parquet(f"{path}/universe")

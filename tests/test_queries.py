@@ -8,7 +8,7 @@ import pytest
 
 from strataflow import catalogue
 from strataflow.functions.stem_ru import stem
-from strataflow.operators.boolean import parse_left_to_right, parse_precedence, postings, search
+from strataflow.operators.boolean import parse_left_to_right, parse_precedence, posting_lists, search, universe
 from strataflow.session import TABLES
 
 DATA = "/root/testdata/sf0.001"
@@ -66,11 +66,16 @@ SMALL = [(0, "python программирование"), (1, "python java"), (2,
         ("NOT python", "lr", {2, 3}),
         ("(python OR java) AND программирование", "prec", {0, 2}),
         ("", "lr", set()),
+        ("NOT python AND NOT java", "lr", {3}),
+        ("NOT (python AND NOT java)", "prec", {1, 2, 3}),
+        ("java AND NOT (NOT python)", "prec", {1}),
+        ("машинное OR NOT java", "lr", {0, 3}),
     ],
 )
-def test_boolean(spark, text, mode, want):
+@pytest.mark.parametrize("parts", [1, 3])
+def test_boolean(spark, text, mode, want, parts):
     docs = spark.createDataFrame(SMALL, "doc_id long, text string")
-    assert {r.doc_id for r in search(postings(docs), docs.select("doc_id"), text, mode).collect()} == want
+    assert {r.doc_id for r in search(posting_lists(docs, parts), universe(docs, parts), text, mode).collect()} == want
 
 
 def test_trees():
