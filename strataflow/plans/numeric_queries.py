@@ -9,7 +9,8 @@ from ..functions.stem_ru import stem_terms
 from ..functions.text import index_terms
 from ..session import ship, table
 from ..streaming import streams
-from .registry import QUERIES, query, sql
+from .registry import ORACLES, QUERIES, _render, query, sql
+from .text_queries import TOKENS
 
 DAILY = "select cast(o_orderdate as date) as day, round(sum(o_totalprice), 2) as y from orders group by cast(o_orderdate as date)"
 sql("finite_diff", f"""
@@ -92,7 +93,36 @@ def stem_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stem_terms(terms)
 
 
-QUERIES["stream_term_freq"] = streams.term_freq
-QUERIES["stream_event_windows"] = streams.event_windows
-QUERIES["stream_dictionary"] = streams.dictionary
-QUERIES["stream_cache_hits"] = streams.cache_hits
+DICTIONARY = """
+select event_id, user_id % 50 as word, event_type, substring(max(case when event_type in ('signup', 'error') then concat(lpad(cast(event_id as varchar(20)), 20, '0'), event_type) end)
+  over (partition by user_id % 50 order by event_id rows between unbounded preceding and 1 preceding), 21) = 'signup' as held from events"""
+CACHE = """
+with recursive e as (
+  select user_id, cast(floor(epoch(ts)) as bigint) as at, {change} as change, row_number() over (partition by user_id order by cast(floor(epoch(ts)) as bigint), event_id) as n from events),
+r(user_id, n, filled, hits, misses) as (
+  select distinct user_id, cast(0 as bigint), cast(null as bigint), cast(0 as bigint), cast(0 as bigint) from events
+  union all
+  select r.user_id, e.n, case when e.change then null when e.at < r.filled + 21600 then r.filled else e.at end,
+         r.hits + case when not e.change and coalesce(e.at < r.filled + 21600, false) then 1 else 0 end,
+         r.misses + case when not e.change and not coalesce(e.at < r.filled + 21600, false) then 1 else 0 end
+  from r join e on e.user_id = r.user_id and e.n = r.n + 1)
+select user_id, max(hits) as hits, max(misses) as misses from r group by user_id"""
+#: Streams, and the batch queries that have the same rows.
+for _name, _run, _batch in (
+    ("stream_term_freq", streams.term_freq, f"select token as term, count(*) as freq from ({TOKENS}) group by token"),
+    ("stream_event_windows", streams.event_windows, """
+select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n from events group by 1, 2
+having date_trunc('day', ts)::timestamp + interval 1 day <= (select max(ts) from events) - interval 1 hour"""),
+    ("stream_dictionary", streams.dictionary, f"""
+select word, string_agg(case when event_type = 'signup' then case when coalesce(held, false) then 'Exist' else 'OK' end when coalesce(held, false) then 'OK' else 'NoSuchWord' end, ',' order by event_id) as answers
+from ({DICTIONARY}) group by word"""),
+    ("stream_cache_hits", streams.cache_hits, CACHE.replace("{change}", "false")),
+    ("stream_cache_invalidation", streams.cache_invalidation, CACHE.replace("{change}", "event_type = 'purchase'")),
+    ("stream_line_routing", streams.line_routing, """
+select doc_id, case when place % 2 = 1 then 'first' else 'second' end as child, translate(text, 'aeiouAEIOU', '') as line
+from (select doc_id, text, row_number() over (order by doc_id) as place from documents)"""),
+    ("stream_newest_events", streams.newest_events, "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n <= 100"),
+    ("stream_frontier", streams.frontier, "select distinct url from pages"),
+    ("stream_distinct_within", streams.distinct_within, "select distinct user_id, event_type from events"),
+):
+    QUERIES[_name], ORACLES[_name] = _run, _render(_batch, 1)
