@@ -1,21 +1,22 @@
 """Substring dedup by suffix automata of reference shards.
 
 A window is WINDOW consecutive words of one document. A word goes if a window that covers it starts earlier too (in a document
-with a smaller id, or earlier in the same one). Three steps:
-
-1. Routing. In each window the smallest hash of its runs of GRAM words is its anchor, so equal windows have equal anchors.
-   Anchors that occur once in all the corpus rule their windows out. Neighbouring windows with one anchor make a run. Runs are
-   grouped by their own hash; a run that isn't its group's first is owned by the first. Only the first runs' windows are
-   grouped one by one, since an edge of a repeated passage shares windows, not the run.
-2. Reference shards. What owners own makes passages, which are dealt into shards of about SHARD_WORDS words. A suffix
-   automaton of each shard keeps, for every word sequence, the first place where it ends.
-3. Streaming. The stretches of each document with a window owned elsewhere go through the automata of those owners' shards.
-   Where the matching statistic reaches WINDOW, the automaton's state gives the earliest place of the same words; if that
-   is before the document's own, the window is removed. The removed words are the union of such windows, maximal spans.
-
-An automaton isn't broadcast to all tasks but sent to those that stream documents through it; a shard that many documents
-need is copied to several tasks. Words decide, hashes only route, so a collision of hashes can't remove a word. Windows
-are judged on the input.
+with a smaller id, or earlier in the same one). A suffix automaton holds the words that came before; a document is streamed
+through it word by word, and where the matching statistic (the longest run of words ending here that the automaton holds) is
+WINDOW or more, that run is a span to remove. Words that end no such run are added to the automaton, so it grows with distinct
+text alone. What is streamed together, and in which order, is arranged as follows.
+
+1. Blocks. Tasks write documents to files of about `block_bytes` of text, each distinct text once. In each window the smallest
+   hash of its runs of GRAM words is its anchor, so equal windows have equal anchors. Anchors that occur once in all the
+   corpus rule their windows out.
+2. Within a block, in the order of documents, the stretches of windows that occur twice go through automata of the block. Later
+   copies are removed there, so a passage or a document that is repeated without end leaves each block once.
+3. Windows that are left are grouped by hash over all blocks. All that are in one group, or in groups next to each other, meet
+   in one reference shard, where their words are streamed through the shard's automaton in the order of documents.
+
+An automaton isn't broadcast to all tasks, since the reference is the corpus itself: stretches are sent to the shard that their
+group names. Hashes only decide what meets; two windows with one hash meet in vain, and no collision removes or keeps a word.
+Windows are judged on the input.
 
 Defined cases: a null or blank text has no words; a null doc_id comes after all others; equal ids are ordered by a hash of the
 text; rows that repeat both id and text count as one document and get the same result; texts of fewer than WINDOW words keep
@@ -25,41 +26,29 @@ all; an empty table gives an empty result. Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import storage
+from .hashing import BASE, WordHasher, mixed, pieces, run_hashes
 
 WINDOW = 20
 GRAM = 8
+#: Text of a block.
+BLOCK_BYTES = 8 << 20
+#: Windows of a block, or of all blocks, that name the same automaton or part of a shard.
+LOCAL_WINDOWS, SHARD_WINDOWS = 1 << 16, 1 << 12
+#: Words that meet in one reference shard, about.
 SHARD_WORDS = 100_000
-#: Runs that one task streams through one automaton.
-STREAM_RUNS = 100_000
-BATCH_ROWS = 500
-#: Largest number of documents whose ids are broadcast, after a count, to pick their texts out.
-BROADCAST_DOCS = 300_000
-
-
-# --- anchors and windows
-
-
-def run_hashes(w: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n words, from the words' hashes."""
-    out, have, base = w.copy(), 1, np.uint64(0x9E3779B97F4A7C15)
-    power = {1: base}
-    while have * 2 <= n:
-        power[have * 2] = power[have] * power[have]
-        out = out[:-have] * power[have] + out[have:] if len(out) > have else out[:0]
-        have *= 2
-    if have < n:  # a longer run from two that overlap
-        more = n - have
-        out = out[:-more] * np.uint64(0xC2B2AE3D27D4EB4F) + (out[more:] ^ (out[more:] >> np.uint64(31))) if len(out) > more else out[:0]
-    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
+#: Groups of hashes that a task compares, one after the other.
+BUCKETS_A_TASK = 4
 
 
 def sliding(x: np.ndarray, n: int, best=np.minimum) -> np.ndarray:
@@ -72,114 +61,74 @@ def sliding(x: np.ndarray, n: int, best=np.minimum) -> np.ndarray:
     return (best(x[:-more], x[more:]) if len(x) > more else x[:0]) if more else x
 
 
-class Batch:
-    """Words' hashes of many documents laid end to end, and what is computed on them in one go."""
+class Words:
+    """Hashes of the words of texts laid end to end, and of their windows; windows are numbered through."""
 
-    def __init__(self, column: pa.Array):
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        self.words = column.flatten().to_numpy().view(np.uint64)
-        self.bounds = np.concatenate(([0], np.cumsum(np.diff(column.offsets.to_numpy())))).astype(np.int64)
-        self.sizes = np.diff(self.bounds)
+    def __init__(self, texts: list[bytes], hasher: WordHasher):
+        parts = [hasher(some) for some in pieces(texts)]
+        self.words = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in parts)])
+        self.sizes = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+        self.bounds = np.cumsum(self.sizes) - self.sizes
         self.windows = np.maximum(self.sizes - WINDOW + 1, 0)
-        doc = np.repeat(np.arange(len(self.sizes)), self.windows)
-        start = np.arange(self.windows.sum()) - np.repeat(np.cumsum(self.windows) - self.windows, self.windows)
-        self.doc, self.start = doc, start
+        self.first_window = np.cumsum(self.windows) - self.windows
+        # the place of each window's first word
+        self.place = np.arange(self.windows.sum()) + np.repeat(self.bounds - self.first_window, self.windows)
         with np.errstate(over="ignore"):
             self.grams = run_hashes(self.words, GRAM)
-            self.anchor = sliding(self.grams, WINDOW - GRAM + 1)[self.bounds[doc] + start]
+        self.anchor = sliding(self.grams, WINDOW - GRAM + 1)[self.place]
 
-    def anchors(self) -> list[np.ndarray]:
-        """Per document its distinct anchors; one that lies at two places of the document is listed twice."""
+    def anchors(self) -> np.ndarray:
+        """The distinct anchors, ascending; those that lie at several places are listed twice."""
         reach = WINDOW - GRAM + 1
         # the largest anchor among the windows that cover a gram; it is the gram itself if the gram is one of them
         at = np.zeros(len(self.words) + 2 * reach, np.uint64)
-        at[self.bounds[self.doc] + self.start + reach - 1] = self.anchor
+        at[self.place + reach - 1] = self.anchor
         largest = sliding(at, reach, np.maximum)[: len(self.grams)]
-        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)[: len(self.grams)]
-        chosen = np.flatnonzero((largest == self.grams) & (largest != 0))
-        doc, value = doc[chosen], self.grams[chosen]
-        order = np.lexsort((value, doc))
-        doc, value = doc[order], value[order]
-        fresh = np.ones(len(doc), bool)
-        fresh[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-        second = np.zeros(len(doc), bool)
-        second[1:] = ~fresh[1:] & fresh[:-1]
-        keep = fresh | second
-        doc, value = doc[keep], value[keep].view(np.int64)
-        return np.split(value, np.searchsorted(doc, np.arange(1, len(self.sizes))))
-
-    def candidates(self, repeated: list) -> tuple[list, list, list, list]:
-        """Per document the runs of windows whose anchor is among its repeated ones: their first starts, their numbers of
-        windows, their hashes; and the hashes of all their windows."""
-        starts, sizes, keys, marks, at = [], [], [], [], 0
-        reach = WINDOW - GRAM + 1
+        value, n = np.unique(self.grams[(largest == self.grams) & (largest != 0)], return_counts=True)
+        return np.repeat(value, np.minimum(n, 2))
+
+    def among(self, repeated: np.ndarray) -> np.ndarray:
+        """Numbers of the windows whose anchor is among `repeated`, which is ascending."""
+        if not len(repeated):
+            return np.zeros(0, np.int64)
+        return np.flatnonzero(repeated[np.minimum(np.searchsorted(repeated, self.anchor), len(repeated) - 1)] == self.anchor)
+
+    def marks(self, windows: np.ndarray) -> np.ndarray:
+        """Hashes of whole windows."""
         with np.errstate(over="ignore"):
-            hashes = run_hashes(self.words, WINDOW)
-            for i, own in enumerate(repeated):
-                n = int(self.windows[i])
-                anchor = self.anchor[at : at + n]
-                hit = np.flatnonzero(np.isin(anchor, np.array(own, np.int64).view(np.uint64)))
-                at += n
-                fresh = np.ones(len(hit), bool)
-                fresh[1:] = (np.diff(hit) != 1) | (anchor[hit[1:]] != anchor[hit[:-1]])
-                # periodic text can repeat an anchor for long; runs are cut so that their first and last windows overlap
-                first = np.flatnonzero(fresh)
-                place = np.arange(len(hit)) - np.repeat(first, np.diff(np.append(first, len(hit))))
-                first = np.flatnonzero(place % reach == 0)
-                size = np.diff(np.append(first, len(hit)))
-                own_marks = hashes[self.bounds[i] + hit]
-                a, b = own_marks[first], own_marks[first + size - 1] if len(first) else own_marks[:0]
-                key = (a * np.uint64(0x9E3779B97F4A7C15) ^ (b + size.astype(np.uint64))) * np.uint64(0x94D049BB133111EB)
-                starts.append(hit[first].astype(np.int32))
-                sizes.append(size.astype(np.int32))
-                keys.append((key ^ (key >> np.uint64(32))).view(np.int64))
-                marks.append(own_marks.view(np.int64))
-        return starts, sizes, keys, marks
-
-
-def lists(values: list, kind: pa.DataType) -> pa.Array:
-    """A list column from arrays."""
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in values]))).astype(np.int32)
-    flat = np.concatenate(values) if values else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
-
-
-def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = lists(Batch(batch.column(5)).anchors(), pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:5], found], ["uid", "doc_id", "th", "n_words", "all_sha256", "anchors"])
+            return run_hashes(self.words, WINDOW)[self.place[windows]]
 
 
-def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        starts, sizes, keys, marks = Batch(batch.column(2)).candidates(batch.column(3).to_pylist())
-        cut = np.concatenate([*sizes, np.zeros(0, np.int32)])
-        nested = pa.ListArray.from_arrays(
-            pa.array(np.concatenate(([0], np.cumsum(cut))).astype(np.int32)), pa.array(np.concatenate([*marks, np.zeros(0, np.int64)]))
-        )
-        outer = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sizes]))).astype(np.int32))
-        runs = [lists(starts, pa.int32()), lists(sizes, pa.int32()), lists(keys, pa.int64()), pa.ListArray.from_arrays(outer, nested)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *runs], ["rank", "text", "starts", "sizes", "keys", "marks"])
+def stretches(shard: np.ndarray, text: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(shard, text, begin, end) of words that windows at these starts cover, those of one shard and text merged where they touch.
+    Sorted by shard, text and begin."""
+    if not len(start):
+        return iter(())
+    order = np.lexsort((start, text, shard))
+    shard, text, start = shard[order], text[order], start[order]
+    fresh = np.ones(len(start), bool)
+    fresh[1:] = (shard[1:] != shard[:-1]) | (text[1:] != text[:-1]) | (start[1:] > start[:-1] + WINDOW)
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(start)) - 1
+    return zip(shard[first].tolist(), text[first].tolist(), start[first].tolist(), (start[last] + WINDOW).tolist(), strict=True)
 
 
 # --- suffix automaton
 
 
 class Automaton:
-    """Suffix automaton of a list of words, with the first end of every run of words."""
+    """Suffix automaton of stretches of words. Documents are streamed through it in order, and what they have that is new is added."""
 
     def __init__(self) -> None:
         self.next: list[dict] = [{}]
-        self.link, self.size, self.first, self.last, self.n = [-1], [0], [-1], 0, 0
+        self.link, self.size, self.last, self.ended = [-1], [0], 0, 0
 
     def add(self, word) -> None:
-        nxt, link, size, first = self.next, self.link, self.size, self.first
+        nxt, link, size = self.next, self.link, self.size
         cur, p = len(nxt), self.last
         nxt.append({})
         size.append(size[p] + 1)
-        first.append(self.n)
         link.append(0)
-        self.n += 1
         while p >= 0 and word not in nxt[p]:
             nxt[p][word] = cur
             p = link[p]
@@ -191,7 +140,6 @@ class Automaton:
                 twin = len(nxt)
                 nxt.append(dict(nxt[q]))
                 size.append(size[p] + 1)
-                first.append(first[q])
                 link.append(link[q])
                 link[q] = link[cur] = twin
                 while p >= 0 and nxt[p].get(word) == q:
@@ -199,219 +147,336 @@ class Automaton:
                     p = link[p]
         self.last = cur
 
-    def matches(self, words: list, n: int) -> Iterator[tuple[int, int]]:
-        """(start in `words`, first start in the automaton's own words) of each run of n words that both have."""
-        nxt, link, size, first = self.next, self.link, self.size, self.first
+    def stream(self, words: list, n: int = WINDOW) -> tuple[list[int], list[int]]:
+        """Spans [begin, end), as a flat list, of `words` that the automaton holds in runs of n or more, counting words of this
+        stretch that came before; and the places where such a run of n begins. Adds the words that end none."""
+        nxt, link, size = self.next, self.link, self.size
+        spans: list[int] = []
+        found: list[int] = []
         state = have = 0
+        added = -2  # the place of the last word that was added
         for i, word in enumerate(words):
             to = nxt[state].get(word)
             while to is None and state:
                 state = link[state]
                 have = size[state]
                 to = nxt[state].get(word)
-            if to is None:
-                continue
-            state = to
-            have += 1
+            if to is not None:
+                state = to
+                have += 1
             if have >= n:
-                while size[link[state]] >= n:
-                    state = link[state]
-                have = n  # a longer match adds nothing
-                yield i - n + 1, first[state] - n + 1
-
-
-def merge(starts: list[int], n: int = WINDOW) -> list[int]:
-    """Spans [begin, end) that windows at ascending starts cover, as a flat list."""
-    out: list[int] = []
-    for s in starts:
-        if out and s <= out[-1]:
-            out[-1] = s + n
-        else:
-            out += [s, s + n]
-    return out
+                found.append(i - n + 1)
+                begin = i - have + 1
+                if spans and begin <= spans[-1]:
+                    spans[-1] = i + 1
+                else:
+                    spans += (begin, i + 1)
+                continue
+            if added != i - 1:  # a new stretch, with the words that windows ending here begin with
+                self.ended += 1
+                self.add(self.ended)  # a number; no text has one among its words, which are bytes
+                for k in range(max(0, i - n + 1), i):
+                    self.add(words[k])
+            self.add(word)
+            added = i
+            # a state that was split meanwhile keeps its longest runs, and the part that it is linked to has the shorter ones
+            while state and have <= size[link[state]]:
+                state = link[state]
+        return spans, found
+
+
+# --- blocks
+
 
+def _block_writer(folder: str, block_bytes: int, buckets: int):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-def _piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (rank, text, work): the words of each stretch of the document that a shard owns (kind 0) or has to test (kind 1)."""
+        hasher = WordHasher()
+
+        def flush(held: dict[bytes, list]) -> pa.RecordBatch:
+            name = uuid.uuid4().hex
+            none_last = lambda x: (x is None, x or 0)
+            rows = sorted(((sorted(ids, key=none_last), xxhash.xxh64_intdigest(t), t) for t, ids in held.items()), key=lambda r: (none_last(r[0][0]), r[1]))
+            texts = [t for *_, t in rows]
+            words = Words(texts, hasher)
+            sha = [hashlib.sha256(b" ".join(t.split())).digest() for t in texts]
+            table = pa.table(
+                {
+                    "text": pa.array(texts, pa.binary()), "ids": pa.array([ids for ids, *_ in rows], pa.list_(pa.int64())),
+                    "tie": pa.array([h >> 1 for _, h, _ in rows], pa.int64()), "n_words": pa.array(words.sizes), "sha": pa.array(sha, pa.binary(32)),
+                }
+            )
+            with storage.create(f"{folder}/{name}") as f, pa.ipc.new_file(f, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                out.write_table(table)
+            return _by_bucket(name, words.anchors(), buckets)
+
+        held: dict[bytes, list] = {}
+        size = 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = held.setdefault(text or b"", [])
+                size += 16 if ids else 100 + len(text or b"")
+                ids.append(doc_id)
+                if size >= block_bytes:
+                    yield flush(held)
+                    held, size = {}, 0
+        if held:
+            yield flush(held)
+
+    return write
+
+
+BUCKET_SCHEMA = "bucket int, block string, a binary, b binary"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "block", "a", "b"])
+
+
+def _by_bucket(name: str, values: np.ndarray, buckets: int, numbers: np.ndarray | None = None, note: bytes = b"") -> pa.RecordBatch:
+    """A row for each bucket of hashes, ascending, with their numbers; and one with bucket -1, which stands for the block."""
+    bucket = (values % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((values, bucket))
+    values, cuts = values[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+    numbers = numbers[order].astype(np.uint32) if numbers is not None else None
+    rows = [(b, name, values[x:y].tobytes(), numbers[x:y].tobytes() if numbers is not None else b"") for b, (x, y) in enumerate(pairwise(cuts.tolist())) if x < y]
+    return _rows([(-1, name, note, b""), *rows])
+
+
+def _read(folder: str, name: str) -> pa.Table:
+    with storage.open_ranges(f"{folder}/{name}") as f:
+        return pa.ipc.open_file(f).read_all()
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each bucket, from rows sorted by bucket."""
+    now: list[tuple] = []
     for batch in batches:
-        rows = []
-        for rank, text, work in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            words, by = text.encode().split(), {}
-            for x in work:
-                by.setdefault((x["shard"], x["kind"]), set()).update(range(x["start"], x["start"] + x["size"]))
-            for (shard, kind), starts in by.items():
-                cover = merge(sorted(starts))
-                rows += [(shard, kind, rank, a, b" ".join(words[a:b])) for a, b in zip(cover[::2], cover[1::2], strict=True)]
-        cols = zip(*rows, strict=True) if rows else [[]] * 5
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "kind", "rank", "begin", "piece"])
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now and now[0][0] != row[0]:
+                yield now
+                now = []
+            now.append(row)
+    if now:
+        yield now
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block, the anchors of a bucket that occur elsewhere too."""
+    for rows in _buckets(batches):
+        lists = [np.frombuffer(r[2], np.uint64) for r in rows]
+        value, n = np.unique(np.concatenate(lists), return_counts=True)
+        value = value[n > 1]
+        out = []
+        for (bucket, block, *_), own in zip(rows, lists, strict=True):
+            own = np.unique(own)
+            own = own[value[np.minimum(np.searchsorted(value, own), len(value) - 1)] == own] if len(value) else own[:0]
+            if len(own):
+                out.append((bucket, block, own.tobytes(), b""))
+        yield _rows(out)
+
+
+def _window_rows(folder: str, buckets: int):
+    """Rows (block, list of repeated anchors): removes within the block, and deals out the windows that are left by hash."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            for name, lists in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                repeated = np.unique(np.frombuffer(b"".join(lists.as_py()), np.uint64))
+                texts = _read(folder, name).column("text").to_pylist()
+                words = Words(texts, hasher)
+                windows = words.among(repeated)
+                marks = words.marks(windows)
+                # of windows with one hash, the first in the order of documents names the automaton
+                order = np.argsort(marks, kind="stable")
+                group = np.cumsum(np.concatenate(([0], marks[order][1:] != marks[order][:-1]))) if len(order) else np.zeros(0, int)
+                many = np.bincount(group)[group] > 1 if len(order) else np.zeros(0, bool)
+                first = windows[order][np.searchsorted(group, group)]
+                again = windows[order][many]
+                text = np.searchsorted(words.first_window, again, "right") - 1
+                spans, gone = _removed(texts, first[many] // LOCAL_WINDOWS, text, again - words.first_window[text], words.first_window)
+                left = ~np.isin(windows, gone)
+                yield _by_bucket(name, marks[left], buckets, windows[left], note=flat_bytes(spans))
+
+    return deal
+
+
+def _removed(texts: list[bytes], shard: np.ndarray, text: np.ndarray, start: np.ndarray, first_window: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Flat rows (text, begin, end) that go within a block, and the numbers of the windows that do."""
+    now, auto, spans, gone = None, Automaton(), [], []
+    split: tuple[int, list] = (-1, [])
+    for group, k, a, b in stretches(shard, text, start):
+        if group != now:
+            now, auto = group, Automaton()
+        if split[0] != k:
+            split = k, texts[k].split()
+        found, begins = auto.stream(split[1][a:b])
+        for x, y in zip(found[::2], found[1::2], strict=True):
+            spans += (k, a + x, a + y)
+        gone += [int(first_window[k]) + a + x for x in begins]
+    return spans, np.array(gone, np.int64)
+
+
+def flat_bytes(values: list[int]) -> bytes:
+    return np.array(values, np.int32).tobytes()
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block, its windows of a bucket that other blocks have as well, and the part of the shards where they meet."""
+    for rows in _buckets(batches):
+        marks = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
+        numbers = np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows])
+        sizes = [len(r[2]) // 8 for r in rows]
+        source = np.repeat(np.arange(len(rows)), sizes)
+        order = np.argsort(marks, kind="stable")  # of equal ones, those of the first block by name come first
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = marks[order][1:] != marks[order][:-1]
+        group = np.cumsum(fresh) - 1
+        many = np.bincount(group)[group] > 1
+        first = order[np.flatnonzero(fresh)[group]]
+        names = np.array([int(r[1][:16], 16) for r in rows], np.uint64)
+        with np.errstate(over="ignore"):
+            meet = (mixed(names[source[first]] + (numbers[first] // SHARD_WINDOWS).astype(np.uint64) * BASE) >> np.uint64(32)).astype(np.uint32)
+        at, meet = order[many], meet[many]
+        place = np.argsort(source[at], kind="stable")
+        at, meet = at[place], meet[place]
+        cuts = np.searchsorted(source[at], np.arange(len(rows) + 1))
+        yield _rows([(r[0], r[1], numbers[at[x:y]].tobytes(), meet[x:y].tobytes()) for r, (x, y) in zip(rows, pairwise(cuts.tolist()), strict=True) if x < y])
+
+
+PIECE_SCHEMA = "shard int, none boolean, id long, tie long, block string, text int, begin int, piece binary"
+
+
+def _piece_rows(folder: str, shards: int):
+    """Rows (block, lists of window numbers, lists of meeting parts): the words of the stretches that go to each shard."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                windows = np.frombuffer(b"".join(a.as_py()), np.uint32).astype(np.int64)
+                shard = np.frombuffer(b"".join(b.as_py()), np.uint32).astype(np.int64) % shards
+                table = _read(folder, name)
+                sizes = np.maximum(table.column("n_words").to_numpy() - WINDOW + 1, 0)
+                first = np.cumsum(sizes) - sizes
+                text = np.searchsorted(first, windows, "right") - 1
+                texts, tie, ids = table.column("text"), table.column("tie").to_pylist(), [x[0] for x in table.column("ids").to_pylist()]
+                rows, split = [], (-1, [])
+                # one text after the other, so that each is split once
+                for k, group, x, y in sorted((k, group, x, y) for group, k, x, y in stretches(shard, text, windows - first[text])):
+                    if split[0] != k:
+                        split = k, texts[k].as_py().split()
+                    rows.append((group, ids[k] is None, ids[k] or 0, tie[k], name, k, x, b" ".join(split[1][x:y])))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+                kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "none", "id", "tie", "block", "text", "begin", "piece"])
+
+    return cut
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, salt, kind, rank, begin, piece), sorted in that order: first the shard's own passages, then what to test."""
-    group, auto, begins, places, at = None, None, [], [], None
+    """Rows of stretches, sorted by shard and in the order of documents: the spans that go, as flat (text, begin, end). Stretches
+    of one document that several blocks hold, since its row is repeated, are streamed once where they overlap."""
+    now, auto, tested = None, Automaton(), []
     for batch in batches:
-        found, spans = [], []
-        for shard, salt, kind, rank, begin, piece in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if (shard, salt) != group:
-                group, auto, begins, places, at = (shard, salt), Automaton(), [], [], None
+        out: dict[str, list[int]] = {}
+        for shard, none, i, tie, block, text, begin, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now is None or now[0] != shard:
+                auto = Automaton()
+            if now != (shard, none, i, tie):
+                now, tested = (shard, none, i, tie), []
             words = piece.split()
-            if kind == 0:
-                begins.append(auto.n)
-                places.append((rank, begin))
-                for word in words:
-                    auto.add(word)
-                auto.add(len(begins))  # a number ends each passage; no text has one among its words, which are bytes
-                continue
-            at = np.array(begins) if at is None else at
-            gone = []
-            for start, there in auto.matches(words, WINDOW):
-                k = int(at.searchsorted(there, "right")) - 1
-                if (places[k][0], places[k][1] + there - begins[k]) < (rank, begin + start):
-                    gone.append(begin + start)
-            if gone:
-                found.append(rank)
-                spans.append(np.array(merge(gone), np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), lists(spans, pa.int32())], ["rank", "spans"])
-
-
-def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (rank, text, spans): the words left."""
-    for batch in batches:
-        gone, sha = [], []
-        for text, groups in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            words = text.encode().split()
-            kept = np.ones(len(words), bool)
-            for spans in groups:
-                for a, b in zip(spans[::2], spans[1::2], strict=True):
-                    kept[a:b] = False
-            left = [words[i] for i in np.flatnonzero(kept)]
-            gone.append(len(words) - len(left))
-            sha.append(hashlib.sha256(b" ".join(left)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["rank", "n_removed", "kept_sha256"])
+            # those before began earlier, so what they tested of this stretch is its begin
+            at = max([begin, *(end for end, _ in tested)])
+            gone = sorted({x for _, found in tested for x in found if begin <= x <= begin + len(words) - WINDOW})
+            spans = [y for x in gone for y in (text, x, x + WINDOW)]
+            if at + WINDOW <= begin + len(words):
+                fresh, found = auto.stream(words[at - begin :])
+                for a, b in zip(fresh[::2], fresh[1::2], strict=True):
+                    spans += (text, at + a, at + b)
+                tested.append((begin + len(words) - WINDOW + 1, [at + x for x in found]))
+            if spans:
+                out.setdefault(block, []).extend(spans)
+        yield _rows([(0, block, flat_bytes(x), b"") for block, x in out.items()])
+
+
+def _results(folder: str, columns: dict[str, pa.DataType]):
+    """Rows (block, lists of spans): what is left of every document."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, lists in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                table = _read(folder, name)
+                flat = np.frombuffer(b"".join(lists.as_py()), np.int32).reshape(-1, 3)
+                flat = flat[np.argsort(flat[:, 0], kind="stable")]
+                cuts = np.searchsorted(flat[:, 0], np.arange(len(table) + 1))
+                rows: list[dict] = []
+                for k, (text, ids, n, sha) in enumerate(zip(*(table.column(c) for c in ("text", "ids", "n_words", "sha")), strict=True)):
+                    own = flat[cuts[k] : cuts[k + 1], 1:]
+                    text, ids, n, sha = text.as_py, ids.as_py(), n.as_py(), sha.as_py()
+                    first = _left(text, n, sha, own, "kept" in columns)
+                    rows += [first | {"doc_id": x} for x in ids if x == ids[0]]
+                    if ids[-1] != ids[0]:  # a later document of the same words holds nothing new
+                        whole = np.array([[0, n]] if n >= WINDOW else np.zeros((0, 2)), np.int32)
+                        later = _left(text, n, sha, whole, "kept" in columns)
+                        rows += [later | {"doc_id": x} for x in ids if x != ids[0]]
+                for at in range(0, len(rows), C.BATCH_ROWS):
+                    some = rows[at : at + C.BATCH_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in some], t) for c, t in columns.items()], list(columns))
+
+    return cut
+
+
+def _left(text, n: int, sha: bytes, spans: np.ndarray, with_text: bool) -> dict:
+    """The result of one text; `text` is a function, since most texts aren't needed again."""
+    merged: list[int] = []
+    for a, b in sorted(map(tuple, spans.tolist())):
+        if merged and a <= merged[-1]:
+            merged[-1] = max(merged[-1], b)
+        else:
+            merged += (a, b)
+    gone = sum(merged[1::2]) - sum(merged[::2])
+    kept = None
+    if gone or with_text:
+        words = text().split()
+        edges = [0, *merged, len(words)]
+        kept = b" ".join(x for a, b in zip(edges[::2], edges[1::2], strict=True) for x in words[a:b])
+        sha = hashlib.sha256(kept).digest()
+    return {"n_words": n, "n_removed": gone, "spans": merged, "kept": kept, "kept_sha256": sha.hex()}
 
 
 # --- the whole
 
+OUTPUTS = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.int32()), "kept": pa.binary()}
+TYPES = {"doc_id": "long", "n_words": "long", "n_removed": "long", "kept_sha256": "string", "spans": "array<int>", "kept": "binary"}
+
 
-def _word_hashes(w: Column | str) -> Column:
-    return F.transform(w, lambda x: F.xxhash64(x))
-
-
-def _base(docs: DataFrame) -> DataFrame:
-    """Staged, every document: uid, doc_id, th (hash of the text), n_words, all_sha256, anchors."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), C.words(F.col("text")).alias("w"), F.monotonically_increasing_id().alias("uid"))
-    rows = rows.select(
-        "uid", "doc_id", "th", F.size("w").cast("long").alias("n_words"), F.sha2(F.array_join("w", " "), 256).alias("all_sha256"), _word_hashes("w").alias("wh")
-    )
-    schema = "uid long, doc_id long, th long, n_words long, all_sha256 string, anchors array<long>"
-    return C.stage(rows.mapInArrow(_anchor_batches, schema), "substring-docs")
-
-
-def _repeated_anchors(base: DataFrame) -> DataFrame:
-    """Staged, documents with anchors that occur elsewhere too: rank (in the order of doc_id and th), doc_id, th, repeated."""
-    many = base.select(F.explode("anchors").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    own = base.select("uid", F.explode(F.array_distinct("anchors")).alias("f")).join(many, F.col("f") == F.col("g"))
-    own = own.groupBy("uid").agg(F.collect_list("f").alias("repeated"))
-    own = base.select("uid", "doc_id", "th").join(own, "uid").drop("uid")
-    # rows that repeat id and text have the same anchors; one of them stands for all
-    own = C.stage(own.groupBy("doc_id", "th").agg(F.first("repeated").alias("repeated")), "substring-anchors")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "th")
-    keys = C.ordered_chunks(own.select("doc_id", "th", order.alias("o"), F.lit(1).cast("long").alias("one")), F.col("o"))
-    keys = C.running_total(keys, [], "__pid", ["o"], "one", "rank").select("rank", F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-    ranked = own.join(keys, own.doc_id.eqNullSafe(keys["__id"]) & (own.th == keys["__th"]))
-    ranked = C.stage(ranked.select("rank", "doc_id", "th", "repeated"), "substring-ranked")
-    C.discard(own)
-    return ranked
-
-
-def _candidates(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """Staged, the candidates: rank, text, and their runs as arrays starts, sizes, keys, marks."""
-    held = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).where("text is not null")
-    named = own.select("rank", F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "repeated")
-    n = own.count()
-    if n <= BROADCAST_DOCS:  # their ids are broadcast if they are few, so that other texts stay where they are
-        ids = F.broadcast(named.select("__id", "__th"))
-        held = held.join(ids, held.doc_id.eqNullSafe(ids["__id"]) & (held.th == ids["__th"]), "left_semi")
-    cand = held.dropDuplicates(["doc_id", "th"]).join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
-    cand = cand.select("rank", "text", _word_hashes(C.words(F.col("text"))).alias("wh"), "repeated")
-    schema = "rank long, text string, starts array<int>, sizes array<int>, keys array<long>, marks array<array<long>>"
-    return C.stage(cand.mapInArrow(_candidate_batches, schema), "substring-candidates")
-
-
-def _owned(cand: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
-    """Staged: passages (pos, size) that owners own, and needs (pos, size, owner): windows owned elsewhere. A pos is a document's
-    rank and a start in it in one number, so that the order of numbers is the order of places."""
-    pos = F.shiftleft("rank", bits).bitwiseOR(F.col("x.starts").cast("long")).alias("pos")
-    each = cand.select("rank", F.explode(F.arrays_zip("starts", "sizes", "keys")).alias("x"))
-    each = each.select(pos, F.col("x.sizes").alias("size"), F.col("x.keys").alias("key"))
-    first = each.groupBy("key", "size").agg(F.min("pos").alias("owner"), F.count("*").alias("n"))
-    first = C.stage(first.select(F.col("key").alias("__key"), F.col("size").alias("__size"), "owner", "n"), "substring-runs")
-    many = first.where("n > 1")
-    same_run = each.join(many, (each.key == many["__key"]) & (each["size"] == many["__size"])).where("pos <> owner")
-    same_run = C.stage(same_run.select("pos", "size", "owner"), "substring-needs")
-
-    runs = cand.select("rank", F.explode(F.arrays_zip("starts", "marks")).alias("x")).select(pos, F.col("x.marks").alias("marks"))
-    edge = runs.join(first.select("owner"), runs.pos == F.col("owner")).select("pos", F.posexplode("marks").alias("k", "mark"))
-    edge = C.stage(edge.select((F.col("pos") + F.col("k")).alias("pos"), "mark"), "substring-windows")
-    owners = edge.groupBy("mark").agg(F.min("pos").alias("owner"), F.count("*").alias("n")).where("n > 1")
-    owners = C.stage(owners.select(F.col("mark").alias("__mark"), "owner"), "substring-owners")
-    same_window = edge.join(owners, edge.mark == owners["__mark"]).where("pos <> owner").select("pos", F.lit(1).alias("size"), "owner")
-    needs = same_run.union(same_window)
-    passages = many.select(F.col("owner").alias("pos"), F.col("__size").alias("size")).union(owners.select(F.col("owner").alias("pos"), F.lit(1).alias("size")))
-    return passages, C.stage(needs, "substring-needs")
-
-
-def _pieces(cand: DataFrame, passages: DataFrame, needs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
-    """Staged: the stretches of text (shard, kind, rank, begin, piece), and the number of tasks (salts) for each shard."""
-    words = passages.agg(F.coalesce(F.sum(F.col("size")), F.lit(0))).first()[0]
-    shards = max(1, -(-words // SHARD_WORDS))
-    shard = lambda c: F.pmod(F.xxhash64(F.shiftright(c, bits)), F.lit(shards)).cast("int").alias("shard")
-    start = F.col("pos").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("start")
-    rank = F.shiftright("pos", bits).alias("rank")
-    work = passages.select(rank, shard("pos"), F.lit(0).alias("kind"), start, "size").union(needs.select(rank, shard("owner"), F.lit(1).alias("kind"), start, "size"))
-    load = needs.groupBy(shard("owner")).agg(F.ceil(F.count("*") / STREAM_RUNS).cast("int").alias("salts"))
-    load = C.stage(load.withColumnRenamed("shard", "__shard"), "substring-load")
-    work = work.groupBy("rank").agg(F.collect_list(F.struct("shard", "kind", "start", "size")).alias("work"))
-    pieces = cand.select("rank", "text").join(work, "rank")
-    pieces = pieces.mapInArrow(_piece_batches, "shard int, kind int, rank long, begin int, piece binary")
-    return C.stage(pieces, "substring-pieces"), C.bounded_broadcast(load, shards)
-
-
-def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Staged: all documents (see _base), the ranks of candidates, the candidates (rank, text, ...), and the spans to remove (rank,
-    spans: lists of [begin, end) pairs in words)."""
+def dedup(docs: DataFrame, outputs: tuple[str, ...] = ("doc_id", "n_words", "n_removed", "kept_sha256"), block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """For every document, of these: doc_id, n_words, n_removed, kept_sha256 (of the words left, joined by a space), spans ([begin,
+    end) pairs of words removed, as a flat list) and kept (the words left, in UTF-8)."""
     spark = docs.sparkSession
-    C.ready_python(spark, BATCH_ROWS)
-    base = _base(docs)
-    bits = max(1, int(base.agg(F.coalesce(F.max("n_words"), F.lit(1))).first()[0]).bit_length())
-    own = _repeated_anchors(base)
-    C.release(spark)
-    cand = _candidates(docs, own)
-    C.release(spark)
-    passages, needs = _owned(cand, bits)
-    C.release(spark)
-    pieces, load = _pieces(cand, passages, needs, bits)
-    C.release(spark)
-    both = pieces.join(load, pieces.shard == load["__shard"])
-    deal = F.pmod(F.xxhash64("rank"), F.col("salts")).cast("int")
-    salts = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(deal))
-    both = both.select("shard", F.explode(salts).alias("salt"), "kind", "rank", "begin", "piece")
-    both = both.repartition(C.shuffle_width(spark) * 2, "shard", "salt").sortWithinPartitions("shard", "salt", "kind", "rank", "begin")
-    spans = both.mapInArrow(_stream, "rank long, spans array<int>")
-    spans = C.stage(spans.groupBy("rank").agg(F.collect_list("spans").alias("spans")), "substring-spans")
-    del both
-    C.discard(pieces, needs)
-    return base, own, cand, spans
-
-
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 (of the words left, joined by a space) of every document."""
-    base, own, cand, spans = removed_spans(docs)
-    cut = cand.select("rank", "text").join(spans, "rank").mapInArrow(_cut_batches, "rank long, n_removed long, kept_sha256 string")
-    cut = C.stage(own.select("rank", F.col("doc_id").alias("__id"), F.col("th").alias("__th")).join(cut, "rank").drop("rank"), "substring-cut")
-    C.release(docs.sparkSession)
-    out = base.drop("anchors").join(cut, base.doc_id.eqNullSafe(cut["__id"]) & (base.th == cut["__th"]), "left")
-    return out.select(
-        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256")
-    )
+    C.ready_python(spark)
+    folder, wide = C.fresh_path(spark, "substring-blocks"), C.shuffle_width(spark)
+    buckets = wide * BUCKETS_A_TASK
+
+    def meet(rows: DataFrame) -> DataFrame:
+        return rows.where("bucket >= 0").repartition(wide, "bucket").sortWithinPartitions("bucket", "block")
+
+    found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_block_writer(folder, block_bytes, buckets), BUCKET_SCHEMA)
+    anchors = C.stage(found, "substring-anchors")
+    blocks = C.stage(anchors.where("bucket < 0").select("block", "a"), "substring-names")
+    again = meet(anchors).mapInArrow(_repeated, BUCKET_SCHEMA).groupBy("block").agg(F.collect_list("a").alias("a"))
+    windows = C.stage(again.mapInArrow(_window_rows(folder, buckets), BUCKET_SCHEMA), "substring-windows")
+    C.discard(anchors)
+    shared = C.stage(meet(windows).mapInArrow(_grouped, BUCKET_SCHEMA), "substring-shared")
+    n = shared.agg(F.coalesce(F.sum(F.length("a")), F.lit(0))).first()[0] // 4
+    by_block = shared.groupBy("block").agg(F.collect_list(F.struct("a", "b")).alias("x")).select("block", "x.a", "x.b")
+    pieces = by_block.mapInArrow(_piece_rows(folder, max(1, n // shard_words)), PIECE_SCHEMA)
+    pieces = pieces.repartition(wide * 2, "shard").sortWithinPartitions("shard", "none", "id", "tie", "begin")
+    spans = C.stage(pieces.mapInArrow(_stream, BUCKET_SCHEMA), "substring-spans")
+    spans = spans.select("block", "a").union(windows.where("bucket < 0").select("block", "a")).union(blocks)
+    by_block = spans.groupBy("block").agg(F.collect_list("a").alias("a"))
+    return by_block.mapInArrow(_results(folder, {c: OUTPUTS[c] for c in outputs}), ", ".join(f"{c} {TYPES[c]}" for c in outputs))

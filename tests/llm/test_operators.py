@@ -18,7 +18,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from strataflow.llm import classifier, decontam, graph, jaccard, mixing, quality_rules, sharding, simhash, storage, substring, token_records, url_filter, warc_zip
+from strataflow.llm import classifier, decontam, graph, hashing, jaccard, mixing, quality_rules, sharding, simhash, storage, substring, token_records, url_filter, warc_zip
 from strataflow.llm import common as C
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -280,8 +280,8 @@ def test_hosts(spark):
     assert any(r.kept is False and not r.base_failed for r in got.values())
 
 
-def test_substring(docs, none):
-    rows = [r for r in docs.collect()]
+def brute_substring(rows):
+    """{(doc_id, text): words and what is removed} by a set of the windows that came before."""
     order = sorted({(r.doc_id is None, r.doc_id or 0, r.text) for r in rows if r.text is not None}, key=lambda x: x[:2])
     seen, want = set(), {}
     for missing, i, text in order:
@@ -292,22 +292,68 @@ def test_substring(docs, none):
             if g in seen:
                 keep[s : s + 20] = [False] * 20
             seen.add(g)
-        want[None if missing else i, text] = (len(w), len(w) - sum(keep), hashlib.sha256(b" ".join(x for x, k in zip(w, keep, strict=True) if k)).hexdigest())
-    empty = (0, 0, hashlib.sha256(b"").hexdigest())
-    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(docs).collect())
-    assert got == sorted((str(r.doc_id), *want.get((r.doc_id, r.text), empty)) for r in rows)
-    assert any(g[2] for g in got) and substring.dedup(none).count() == 0
+        want[None if missing else i, text] = (len(w), len(w) - sum(keep), b" ".join(x for x, k in zip(w, keep, strict=True) if k))
+    return want
 
 
-def test_automaton():
-    rng = random.Random(5)
-    ref = [rng.choice("abc") for _ in range(200)]
-    auto = substring.Automaton()
-    for x in ref:
-        auto.add(x)
-    run = [rng.choice("abc") for _ in range(200)]
-    want = [(i, "".join(ref).index("".join(run[i : i + 4]))) for i in range(197) if "".join(run[i : i + 4]) in "".join(ref)]
-    assert list(auto.matches(run, 4)) == want
+@pytest.mark.parametrize("block", [1 << 23, 3000])
+def test_substring(docs, none, block):
+    rows = docs.collect()
+    want = brute_substring(rows)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    got = substring.dedup(docs, outputs=(*substring.OUTPUTS,), block_bytes=block, shard_words=500).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(
+        (str(r.doc_id), *(lambda n, m, kept: (n, m, sha(kept)))(*want.get((r.doc_id, r.text), (0, 0, b"")))) for r in rows
+    )
+    assert any(r.n_removed for r in got) and all(sha(r.kept) == r.kept_sha256 and sum(r.spans[1::2]) - sum(r.spans[::2]) == r.n_removed for r in got)
+    assert substring.dedup(none).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_substring_of_likely_repeats(spark, seed):
+    """Texts of few words, periodic ones, passages cut from one another, and edges of every length."""
+    rng = random.Random(seed)
+    base = [rng.choice("abcdefghijklm") * rng.randrange(1, 3) for _ in range(400)]
+    texts = []
+    for _ in range(70):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            a = rng.randrange(380)
+            parts += base[a : a + rng.choice([5, 19, 20, 21, 22, 33, 60])] if rng.random() < 0.6 else [rng.choice("xyz") for _ in range(rng.randrange(30))]
+        texts.append(" ".join(parts))
+    texts += ["p q " * 40, "q p " * 33, "r " * 70, "r " * 19, "r " * 20, " ".join(base[:100] * 2)]
+    mine = spark.createDataFrame([(rng.randrange(10**6), t) for t in texts], "doc_id long, text string").repartition(5)
+    want = brute_substring(mine.collect())
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.dedup(mine, outputs=("doc_id", "n_words", "n_removed", "kept"), block_bytes=1500, shard_words=300).collect()}
+    assert got == {k[0]: (n, m, bytearray(kept)) for k, (n, m, kept) in want.items()}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_automaton(seed):
+    """Spans of several stretches against the runs that came before, in all of them."""
+    rng = random.Random(seed)
+    auto, seen = substring.Automaton(), set()
+    for _ in range(6):
+        run = [rng.choice("ab") for _ in range(rng.randrange(60))]
+        spans, found = auto.stream(run, 5)
+        want = []
+        for i in range(len(run) - 4):
+            g = tuple(run[i : i + 5])
+            want += [i] if g in seen else []
+            seen.add(g)
+        covered = {k for i in want for k in range(i, i + 5)}
+        assert found == want and {k for a, b in zip(spans[::2], spans[1::2], strict=True) for k in range(a, b)} == covered
+        assert spans == sorted(set(spans))
+
+
+def test_word_hashes():
+    hasher = hashing.WordHasher()
+    texts = ["a b\tc  \x0bab", "", " ", "ab a\u00a0b \x00 \x00\x00", "b a c"]
+    value, sizes = hasher([t.encode() for t in texts])
+    split = [w for t in texts for w in t.encode().split()]
+    assert sizes.tolist() == [len(t.encode().split()) for t in texts] and len(value) == len(split)
+    assert {w: {int(h) for x, h in zip(split, value, strict=True) if x == w} for w in split} == {w: {int(h)} for w, h in zip(split, value, strict=True)}
+    assert len(set(value.tolist())) == len(set(split))
 
 
 def test_decontamination(spark, docs, none):
@@ -343,6 +389,73 @@ def test_decontamination_of_short_items(spark):
     assert found == [(0, 0), (1, 0), (3, 1), (5, 1), (6, 2), (7, 2), (8, 2), (9, 3), (10, 4), (14, 6)]
 
 
+def test_decontamination_of_other_parameters(spark):
+    """Items of the benchmark with numbers, names and units put into them, copied with other values, and with values that don't agree."""
+    rng = random.Random(9)
+    names = [("Anna", "Peter"), ("Marie", "Lukas"), ("Clara", "Bruno")]
+    items, texts, want = [], [], {}
+    filler = lambda k: " ".join(f"z{rng.randrange(9)}q{rng.randrange(10**6)}" for _ in range(k))
+    for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect():
+        w = r.text.split()
+        if len(w) < 8:
+            continue
+        one, other = rng.choice(names)
+        n, m = rng.randrange(10, 50), rng.randrange(50, 99)
+        at = sorted(rng.sample(range(1, len(w) - 1), 2))
+        # a number with a unit, a name after a word, and the number once more at the end
+        make = lambda number, name, last: " ".join([*w[: at[0]], number, "kg", *w[at[0] : at[1]], "und", name, *w[at[1] :], "x", last])  # noqa: E731,B023
+        items.append((r.item_id, make(str(n), one, str(n))))
+        for text, caught in ((make(str(m), other, str(m)), True), (make(str(n), one, str(n)), True), (filler(40), False)):
+            want[len(texts)] = r.item_id if caught else None
+            texts.append(f"{filler(12)} {text} {filler(9)}")
+    mine = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(mine, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    expected = {(d, i) for d, i in want.items() if i is not None}
+    assert len(found & expected) >= 0.9 * len(expected) and {d for d, _ in found} <= {d for d, _ in expected}
+
+
+def test_decontamination_against_plain_search(spark):
+    """Items of words alone: the parts of an item that lie in runs of five words of a document, found by plain loops."""
+    rng = random.Random(3)
+    vocab = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(5, 16)))) for i in range(30)]
+    texts = []
+    for _ in range(120):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = "other"
+        cut = rng.randrange(len(w)) if rng.random() < 0.3 else 0
+        texts.append(" ".join([*(rng.choice(vocab) for _ in range(rng.randrange(20))), *w[cut:], "end", *w[:cut]]))
+    want = {}
+    for d, text in enumerate(texts):
+        w = text.split()
+        runs = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        for i, item in items:
+            q = item.split()
+            held = {k + j for k in range(len(q) - 4) if tuple(q[k : k + 5]) in runs for j in range(5)}
+            if len(held) >= 0.8 * len(q):
+                want[d, i] = len(held)
+    mine, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert want and {(r.doc_id, r.item_id): r.covered_words for r in decontam.leaks(mine, bench).collect()} == want
+
+
+def plain_discriminant(rows, label):
+    """Scores by the definition: densities of two normal distributions, with determinants and inverses."""
+    x = np.array([r.x for r in rows])
+    y = np.array([label.get(r.doc_id, -1) if not r.held_out else -1 for r in rows])
+    known = x[y >= 0]
+    z = np.clip((x - known.mean(axis=0)) / known.std(axis=0), -6, 6)
+    cov = {c: np.cov(z[y == c].T, bias=True) for c in (0, 1)}
+    both = sum(cov[c] * (y == c).sum() for c in cov) / (y >= 0).sum()
+    log = {}
+    for c in cov:
+        s = 0.8 * cov[c] + 0.2 * both
+        s = 0.9 * s + 0.1 * np.diag(np.diag(s)) + 0.02 * np.eye(len(s))
+        d = z - z[y == c].mean(axis=0)
+        log[c] = np.log((y == c).sum() / (y >= 0).sum()) - 0.5 * np.log(np.linalg.det(s)) - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d)
+    return {r.doc_id: p for r, p in zip(rows, 1 / (1 + np.exp((log[0] - log[1]) / 2)), strict=True)}
+
+
 def test_classifier(spark, docs, none):
     data = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
@@ -353,6 +466,8 @@ def test_classifier(spark, docs, none):
     assert sum(p == q for p, q in test) / len(test) > 0.95
     twisted = labels.selectExpr("doc_id", "case when crc32(cast(cast(doc_id as string) as binary)) % 4 = 2 then 1 - quality else quality end as quality")
     assert {r.doc_id: r.score for r in classifier.classify(d, twisted).collect()} == pytest.approx({i: r.score for i, r in got.items()})
+    plain = plain_discriminant(classifier.statistics(d).collect(), {r.doc_id: r.quality for r in labels.collect()})
+    assert {i: r.score for i, r in got.items()} == pytest.approx(plain, abs=1e-6)
     bad = spark.createDataFrame([(1, None, "q"), (1, 1, "q"), (None, 1, "q")], "doc_id long, quality int, text string")
     assert classifier.classify(docs, bad).count() == docs.count() and classifier.classify(none, bad).count() == 0
 
@@ -388,7 +503,7 @@ def test_simhash(docs, none, limit):
     assert simhash.classes(none).count() == 0 and simhash.keep_first(none).count() == 0
 
 
-@pytest.mark.parametrize("limit", [1000, 3])
+@pytest.mark.parametrize("limit", [800_000, 300])
 def test_jaccard(spark, docs, none, limit):
     rng = random.Random(5)
     base = [" ".join(f"w{rng.randrange(4000)}" for _ in range(k)) for k in (300, 150, 60, 25, 5, 4)]
@@ -427,6 +542,15 @@ def test_jaccard(spark, docs, none, limit):
     assert corpus_pipeline.near_duplicates(spark, none, "").count() == 0
 
 
+def test_shingles():
+    texts = [b"A b c D e f", b"a B c d e f", None, b" ", b"one", b"one two", b"a b c d e a b c d e", b"z " * 700_000, b"one"]
+    got = hashing.Shingles(5)(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or b"").lower().split() for t in texts)]
+    assert [len(x) for x in got] == [len(x) for x in sets]
+    for x, a in zip(got, sets, strict=True):
+        assert [set(x.tolist()) & set(y.tolist()) != set() for y in got] == [bool(a & b) for b in sets] and (np.diff(x.astype(object)) > 0).all()
+
+
 def test_trie():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
@@ -525,6 +649,22 @@ def test_encoder(text):
         assert np.frombuffer(enc.encode(pa.array([text]))[0], enc.dtype).tolist() == want
 
 
+def test_pipeline_of_odd_rows(spark, docs, none, tmp_path):
+    """Nulls, repeated rows, clashing columns and an empty table through every stage."""
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, rows in (("odd", docs), ("empty", none)):
+        folder = tmp_path / name
+        rows.write.parquet(str(folder / "documents.parquet"))
+        spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(folder / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        assert (len(got) > 0) == (name == "odd")
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = C.stage(stage(spark, now, str(tmp_path)), "test")
+        assert now.columns == docs.columns
+    assert Counter(str(r.doc_id) for r in corpus_pipeline.tokenize(spark, now, "").collect()) == Counter(str(r.doc_id) for r in now.collect())
+
+
 def test_pipeline(spark):
     data = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{data}/documents.parquet")
