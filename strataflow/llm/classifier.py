@@ -26,7 +26,6 @@ from . import common as C
 
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.7
-BATCH_ROWS = 5000
 SHRINK_POOLED, SHRINK_DIAGONAL, RIDGE = 0.2, 0.1, 0.02
 #: A standardised statistic beyond this many deviations is held there.
 CLIP = 6.0
@@ -99,10 +98,15 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> dict | f
     return model
 
 
+def whitening(model: dict | float) -> dict:
+    """The inverse of each class's Cholesky factor, which turns deviations into Mahalanobis ones."""
+    return {} if isinstance(model, float) else {y: np.linalg.inv(np.linalg.cholesky(model["cov"][y])) for y in (0, 1)}
+
+
 def log_density(model: dict, factors: dict, z: np.ndarray, y: int) -> np.ndarray:
     factor = factors[y]
-    d = np.linalg.solve(factor, (z - model["mean"][y]).T)
-    return model["prior"][y] - np.log(np.diag(factor)).sum() - 0.5 * (d * d).sum(axis=0)
+    d = (z - model["mean"][y]) @ factor.T
+    return model["prior"][y] + np.log(np.diag(factor)).sum() - 0.5 * (d * d).sum(axis=1)
 
 
 def scores(model: dict | float, factors: dict, x: np.ndarray) -> np.ndarray:
@@ -115,12 +119,12 @@ def scores(model: dict | float, factors: dict, x: np.ndarray) -> np.ndarray:
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
-    C.ready_python(docs.sparkSession, BATCH_ROWS)
+    C.ready_python(docs.sparkSession)
     stats = statistics(docs)
     model = fit(stats, labels, label)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = {} if isinstance(model, float) else {y: np.linalg.cholesky(model["cov"][y]) for y in (0, 1)}
+        factors = whitening(model)
         for batch in batches:
             x = batch.column(2).flatten().to_numpy().reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores(model, factors, x))], ["doc_id", "held_out", "score"])

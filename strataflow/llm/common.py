@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -77,24 +76,30 @@ def stage(df: DataFrame, kind: str = "stage") -> DataFrame:
     return staged
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A table checkpointed in the shared folder. Spark removes its files once no plan refers to it, where it is set to."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def discard(*staged: DataFrame) -> None:
-    """Delete staged tables that no later step reads, and let go of finished shuffles."""
+    """Delete staged tables that no later step reads."""
     for df in staged:
         _remove(df.sparkSession, df.staged_path)
-    release(staged[0].sparkSession)
 
 
-def ready_python(spark: SparkSession, batch_rows: int) -> None:
-    """Before Python runs on executors: bound the rows of an Arrow batch, and send them this package, once a context."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
-    ship(spark)
+#: Rows and bytes of an Arrow batch that goes to Python, the same for all operators.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of steps that are staged and no longer referred to. Spark deletes them once the driver's JVM
-    has collected the objects that stand for them, which an idle heap may put off for long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def ready_python(spark: SparkSession) -> None:
+    """Before Python runs on executors: bound the session's Arrow batches, and send them this package, once a context. Plans read
+    the bounds when they run, so they are the same for every operator and stay set."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    ship(spark)
 
 
 def bounded_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

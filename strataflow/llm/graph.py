@@ -24,14 +24,21 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()
         seen = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _hung(both, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "v > u").distinct()
-        large = C.stage(large, "edges")
+        nodes = _named(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = C.stage(_hung(both, nodes, "v > u").distinct(), "edges")
+        C.discard(now, nodes)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = C.stage(_hung(large, least, "v <> m").union(least.select("u", "m")).distinct(), "edges")
+        nodes = _named(least)
+        now = C.stage(_hung(large, nodes, "v <> m").union(least.select("u", "m")).distinct(), "edges")
+        C.discard(large, nodes)
 
 
-def _hung(edges: DataFrame, least: DataFrame, kept: str) -> DataFrame:
-    """The neighbours v of each node u, hung on its m. Nodes are staged: both sides of the join are then plain exchanges, whose
+def _named(least: DataFrame) -> DataFrame:
+    """Nodes staged with the least of their neighbours: both sides of the joins with them are then plain exchanges, whose
     partitions Spark splits where a node has many neighbours."""
-    named = C.stage(least.select(F.col("u").alias("__u"), "m"), "nodes")
-    return edges.join(named, edges.u == named["__u"]).where(kept).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return C.stage(least.select(F.col("u").alias("__u"), "m"), "nodes")
+
+
+def _hung(edges: DataFrame, nodes: DataFrame, kept: str) -> DataFrame:
+    """The neighbours v of each node u, hung on its m."""
+    return edges.join(nodes, edges.u == nodes["__u"]).where(kept).select(F.col("v").alias("u"), F.col("m").alias("v"))

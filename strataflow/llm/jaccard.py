@@ -5,7 +5,7 @@ Sets that share one there, and lie close enough in size, are chained; connected
 counts, and each component's texts are compared in full. Any order gives the same pairs. Shingles that are frequent in a sample
 come last, so that passages which many texts share chain few of them.
 
-Components larger than GROUP_LIMIT are cut into chunks, and every two chunks are compared as a group of their own.
+Components with more than GROUP_LIMIT shingles are cut into chunks, and every two chunks are compared as a group of their own.
 
 Defined cases: texts of fewer than SHINGLE words have all their words as one shingle; null and blank texts have none and no links.
 """
@@ -21,29 +21,25 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .graph import components
-from .simhash import BATCH_ROWS, shingle_hashes
+from .hashing import Shingles
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Texts that are compared as one group.
-GROUP_LIMIT = 1000
+#: Shingles of texts that are compared as one group, about; what a task holds is bounded by them.
+GROUP_LIMIT = 800_000
 #: Texts that show which shingles are frequent.
 SAMPLE = 64_000
 SLACK = 1e-9
 
 
-def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
-    """Distinct shingles of a text, ascending."""
-    return np.unique(shingle_hashes(text, shingle))
-
-
 def frequent(docs: DataFrame, shingle: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample have, ascending, and how many have them."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(shingle)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle).view(np.int64))], ["h"])
+            own = np.concatenate([np.zeros(0, np.uint64), *shingles(batch.column(0).to_pylist())])
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["h"])
 
     rows = docs.select(F.col("text").cast("binary").alias("text"))
     rows = rows.sample(min(1.0, sample / max(docs.count(), 1)), seed=1)
@@ -65,12 +61,13 @@ def set_table(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Stage, for each text that has words: doc_id, text_hash, key (hash of its set), n (size of the set) and the prefix."""
     import xxhash
 
-    C.ready_python(docs.sparkSession, BATCH_ROWS)
+    C.ready_python(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, shingle))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(shingle)
         for batch in batches:
-            sets = [shingle_set(x, shingle) for x in batch.column(2).to_pylist()]
+            sets = shingles(batch.column(2).to_pylist())
             some = pa.array([len(x) > 0 for x in sets])
             sets = [x for x in sets if len(x)]
             keys = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
@@ -105,7 +102,8 @@ def chains(sets: DataFrame, similarity: float) -> DataFrame:
 def alike(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
     """Places of sets that are alike, enough of them to connect all that are; sets come by size."""
     sizes = np.array([len(x) for x in sets])
-    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    words = np.unique(np.concatenate(sets))
+    flat = np.concatenate([np.searchsorted(words, x).astype(np.int32) for x in sets])
     begin = np.concatenate(([0], np.cumsum(sizes)))
     part, has = np.arange(len(sets)), np.zeros(len(words), bool)
     for i in range(len(sets) - 1):
@@ -133,11 +131,11 @@ def links(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, similarity
     same = named.select(F.col("key").alias("__key"), F.col("code").alias("a")).distinct()
     same = same.join(first.select("key", F.col("code").alias("b")), F.col("__key") == F.col("key")).where("a <> b").select("a", "b")
     parts = C.stage(components(chains(sets, similarity), "a", "b"), "set-parts")
-    C.release(spark)
-    chunks = parts.groupBy("root").agg(F.ceil(F.count("*") / group_limit).cast("int").alias("chunks"))
-    some = parts.join(chunks, "root").select(F.col("node").alias("key"), "root", "chunks").join(first, "key")
-    some = C.stage(some.select("key", "root", "chunks", "code", "n", F.col("text_hash").alias("__hash"), F.col("doc_id").alias("__doc")), "set-groups")
-    some = C.bounded_broadcast(some, some.count())
+    some = parts.withColumnRenamed("node", "key").join(first, "key")
+    texts = C.stage(some.select("key", "root", "code", "n", F.col("text_hash").alias("__hash"), F.col("doc_id").alias("__doc")), "set-texts")
+    chunks = texts.groupBy(F.col("root").alias("__root")).agg(F.ceil(F.sum("n") / group_limit).cast("int").alias("chunks"))
+    groups = C.stage(texts.join(chunks, F.col("root") == F.col("__root")).drop("__root"), "set-groups")
+    some = C.bounded_broadcast(groups, groups.count())
     held = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     rows = held.join(some, (held["text_hash"] == some["__hash"]) & held["doc_id"].eqNullSafe(some["__doc"]))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
@@ -151,18 +149,21 @@ def links(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, similarity
             found = [(codes[i], codes[j]) for i, j in alike(own, similarity) if codes[i] != codes[j]]
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        now, seen, codes, own = None, None, [], []
+        now, seen, codes, own, shingles = None, None, [], [], Shingles(shingle)
         for batch in batches:
-            for *of, _, key, code, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            sets = shingles(batch.column(6).to_pylist())
+            for *of, _, key, code, found in zip(*(x.to_pylist() for x in batch.columns[:6]), sets, strict=True):
                 if of != now:
                     if len(own) > 1:
                         yield pairs()
                     now, seen, codes, own = of, None, [], []
                 if key != seen:  # equal rows come one after the other
                     codes.append(code)
-                    own.append(shingle_set(text, shingle))
+                    own.append(found)
                 seen = key
         if len(own) > 1:
             yield pairs()
 
-    return C.stage(same.union(rows.mapInArrow(compared, "a long, b long")), "set-links")
+    found = C.stage(same.union(rows.mapInArrow(compared, "a long, b long")), "set-links")
+    C.discard(sets, named, first, parts, texts, groups)
+    return found

@@ -132,9 +132,9 @@ def rated(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents kept, with the columns of the input (names that clash with the measures included).
 
-    Each text is measured once: rows are staged with their flags, those that a base rule rejects without their columns, and the
-    hosts' verdicts, which are few, meet them where they lie. No text is shuffled."""
+    Each text is measured once: rows are checkpointed with their flags, those that a base rule rejects without their columns,
+    and the hosts' verdicts, which are few, meet them where they lie. No text is shuffled."""
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), "text", "source")
     row = F.when(~F.col("base_failed"), F.col("__row")).alias("__row")
-    measured = C.stage(measures(held).select(row, "source", "base_failed", "failed"), "rated")
+    measured = C.checkpointed(measures(held).select(row, "source", "base_failed", "failed"))
     return judge(measured).where("kept").select("__row.*")

@@ -31,7 +31,6 @@ BITS = 64
 BUDGET = 3
 SHINGLE = 3
 SEED = 42
-BATCH_ROWS = 500
 #: Largest group of fingerprints that one task joins whole.
 GROUP_LIMIT = 20_000
 #: Rows that a task gathers, to the next end of a group, before it joins them.
@@ -90,7 +89,7 @@ def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
     """Stage doc_id, a hash of the text, and the fingerprint as a signed number."""
-    C.ready_python(docs.sparkSession, BATCH_ROWS)
+    C.ready_python(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     return C.stage(rows.mapInArrow(_print_batches, "doc_id long, text_hash long, code long"), "fingerprints")
 
@@ -208,23 +207,27 @@ def links(codes: DataFrame, distinct: int, group_limit: int = GROUP_LIMIT) -> Da
     return rows.mapInArrow(_join_groups, "a long, b long")
 
 
-def classes(docs: DataFrame, group_limit: int = GROUP_LIMIT, near: Near | None = None) -> DataFrame:
+def classes(docs: DataFrame, group_limit: int = GROUP_LIMIT, near: Near | None = None, used: list | None = None) -> DataFrame:
     """doc_id, text_hash, code (signed fingerprint), root (one code for each class) and component_id (smallest doc_id).
-    `near` takes the documents and the staged fingerprints, and gives pairs (a, b) of fingerprints that are linked as well."""
+    `near` takes the documents and the staged fingerprints, and gives pairs (a, b) of fingerprints that are linked as well. Tables that
+    the result is read from are added to `used`."""
     prints = fingerprint_table(docs)
     codes = C.stage(prints.groupBy("code").agg(F.min("doc_id").alias("first_id")), "codes")
     distinct = codes.count()
     found = links(codes, distinct, group_limit)
     root = components(found.union(near(docs, prints)) if near else found, "a", "b")
-    linked = C.stage(root.join(codes, root.node == codes.code).select("node", "root", "first_id"), "linked")
-    named = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = linked.select("node", "root").join(named, "root")
+    linked_codes = C.stage(root.join(codes, root.node == codes.code).select("node", "root", "first_id"), "linked")
+    named = linked_codes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    linked = linked_codes.select("node", "root").join(named, "root")
     by_code = codes.join(linked, codes.code == linked.node, "left").select(
         F.col("code").alias("__code"),
         F.coalesce("root", "code").alias("root"),
         F.when(F.col("node").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
-    by_code = C.bounded_broadcast(C.stage(by_code, "classes"), distinct)
+    by_code = C.stage(by_code, "classes")
+    if used is not None:
+        used += [prints, codes, linked_codes, by_code]
+    by_code = C.bounded_broadcast(by_code, distinct)
     return prints.join(by_code, prints.code == by_code["__code"]).drop("__code")
 
 
@@ -235,7 +238,9 @@ def hex_code(code: str = "code"):
 def keep_first(docs: DataFrame, near: Near | None = None) -> DataFrame:
     """One document of each class, that with the smallest doc_id (of equal ids, the smallest text hash; of equal rows, one),
     with the columns of the input."""
-    named = C.stage(classes(docs, near=near).select("root", "doc_id", "text_hash"), "class-rows")
+    used: list = []
+    named = C.stage(classes(docs, near=near, used=used).select("root", "doc_id", "text_hash"), "class-rows")
+    C.discard(*used)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     kept = named.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__h"))
     repeated = not named.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()

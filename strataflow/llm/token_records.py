@@ -33,7 +33,6 @@ from . import storage
 END_ID = 0
 FILE_BYTES = 64 << 20
 READ_BYTES = 4 << 20
-BATCH_ROWS = 500
 #: Bytes that a worker's remembered words take in each of two generations, those of one word besides its characters and ids, and
 #: the longest word that is remembered.
 CACHE_BYTES, ENTRY_BYTES, CACHED_WORD = 32 << 20, 200, 64
@@ -250,7 +249,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_bytes: int):
 def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write every document's ids; returns the files in order: file, part, seq, records, ids, ids_before."""
     spark = docs.sparkSession
-    C.ready_python(spark, BATCH_ROWS)
+    C.ready_python(spark)
     by = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     ordered = docs.select("doc_id", "text").repartitionByRange(C.shuffle_width(spark), by[0]).sortWithinPartitions(*by)
     files = ordered.mapInArrow(_writer(folder, tokenizer or default_tokenizer(), end_id, file_bytes), "file string, part int, seq int, records long, ids long")
@@ -299,7 +298,7 @@ def _reader(with_ids: bool):
 
 def read_records(files: DataFrame, with_ids: bool = False) -> DataFrame:
     """The records of files: doc_id, start, n_tokens, ids_crc32 (and ids). Byte ranges are dealt out, so tasks stay small."""
-    C.ready_python(files.sparkSession, BATCH_ROWS)
+    C.ready_python(files.sparkSession)
     wide = C.shuffle_width(files.sparkSession)
     spans = files.select("file", "ids_before").repartition(wide, "file").mapInArrow(_spans, "file string, before long, begin long, entries array<long>")
     spans = spans.repartition(wide, "file", "begin")

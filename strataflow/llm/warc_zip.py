@@ -33,8 +33,6 @@ MIN_REVISIT = 1000
 ARCHIVE_BYTES = 64 << 20
 MEMBER_BYTES = 8 << 20
 READ_BYTES = 4 << 20
-#: Rows that an Arrow batch of pages or documents may hold.
-BATCH_ROWS = 500
 
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -178,7 +176,7 @@ def _writer(folder: str, archive_bytes: int, member_bytes: int):
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, member_bytes: int = MEMBER_BYTES) -> DataFrame:
     """Write every page as a WARC record; returns the archives' paths. Files of tasks that failed are in no list."""
     spark = pages.sparkSession
-    C.ready_python(spark, BATCH_ROWS)
+    C.ready_python(spark)
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", "html", F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("bytes"))
     keyed = C.stage(rows.where(F.col("bytes") >= MIN_REVISIT).select("page_id", "digest"), "digests")
@@ -242,7 +240,7 @@ def _reader(with_payload: bool):
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of archives: page_id, payload_bytes, payload_digest, record_type, refers_to, url and payload."""
-    C.ready_python(archives.sparkSession, BATCH_ROWS)
+    C.ready_python(archives.sparkSession)
     wide = C.shuffle_width(archives.sparkSession)
     splits = archives.repartition(wide, "archive").mapInArrow(_splits, "archive string, begin long, lengths array<long>")
     splits = splits.repartition(wide, "archive", "begin")
