@@ -42,11 +42,11 @@ from .hashing import BASE, WordHasher, mixed, pieces, run_hashes
 WINDOW = 20
 GRAM = 8
 #: Text of a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Windows of a block, or of all blocks, that name the same automaton or part of a shard.
-LOCAL_WINDOWS, SHARD_WINDOWS = 1 << 16, 1 << 12
+LOCAL_WINDOWS, SHARD_WINDOWS = 1 << 15, 1 << 12
 #: Words that meet in one reference shard, about.
-SHARD_WORDS = 100_000
+SHARD_WORDS = 50_000
 #: Groups of hashes that a task compares, one after the other.
 BUCKETS_A_TASK = 4
 
@@ -468,15 +468,17 @@ def dedup(docs: DataFrame, outputs: tuple[str, ...] = ("doc_id", "n_words", "n_r
     found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_block_writer(folder, block_bytes, buckets), BUCKET_SCHEMA)
     anchors = C.stage(found, "substring-anchors")
     blocks = C.stage(anchors.where("bucket < 0").select("block", "a"), "substring-names")
-    again = meet(anchors).mapInArrow(_repeated, BUCKET_SCHEMA).groupBy("block").agg(F.collect_list("a").alias("a"))
+    # partitions of a number of their own: blocks are much more work than their rows' bytes tell
+    own = lambda rows: rows.repartition(wide * 2, "block").groupBy("block")
+    again = own(meet(anchors).mapInArrow(_repeated, BUCKET_SCHEMA)).agg(F.collect_list("a").alias("a"))
     windows = C.stage(again.mapInArrow(_window_rows(folder, buckets), BUCKET_SCHEMA), "substring-windows")
     C.discard(anchors)
     shared = C.stage(meet(windows).mapInArrow(_grouped, BUCKET_SCHEMA), "substring-shared")
     n = shared.agg(F.coalesce(F.sum(F.length("a")), F.lit(0))).first()[0] // 4
-    by_block = shared.groupBy("block").agg(F.collect_list(F.struct("a", "b")).alias("x")).select("block", "x.a", "x.b")
+    by_block = own(shared).agg(F.collect_list(F.struct("a", "b")).alias("x")).select("block", "x.a", "x.b")
     pieces = by_block.mapInArrow(_piece_rows(folder, max(1, n // shard_words)), PIECE_SCHEMA)
     pieces = pieces.repartition(wide * 2, "shard").sortWithinPartitions("shard", "none", "id", "tie", "begin")
     spans = C.stage(pieces.mapInArrow(_stream, BUCKET_SCHEMA), "substring-spans")
     spans = spans.select("block", "a").union(windows.where("bucket < 0").select("block", "a")).union(blocks)
-    by_block = spans.groupBy("block").agg(F.collect_list("a").alias("a"))
+    by_block = own(spans).agg(F.collect_list("a").alias("a"))
     return by_block.mapInArrow(_results(folder, {c: OUTPUTS[c] for c in outputs}), ", ".join(f"{c} {TYPES[c]}" for c in outputs))
