@@ -74,6 +74,7 @@ MACROS = {
         "list_sum([(cast($1[i] as double) - cast($2[i] as double)) * (cast($1[i] as double) - cast($2[i] as double)) for i in range(1, len($1) + 1)])",
     ),
     "indexed": ("posexplode($1) as ($2, $3)", "unnest(range(len($1))) as $2, unnest($1) as $3"),
+    "sha": ("sha2($1, 256)", "sha256($1)"),
     "re": (None, None),
 }
 

@@ -71,9 +71,9 @@ select page_id, {NORMAL} as url from (
   select page_id, concat(lower({{extract|url|'^([^/?#]*//[^/?#]*)'|1}}), {{replace_all|{{replace_all|url|'^[^/?#]*//[^/?#]*'|''}}|'#.*'|''}}) as u from pages)""")
 sql("url_strip_query", "select page_id, {replace_all|url|'[?].*'|''} as url from pages")
 sql("url_article_id", "select page_id, {extract|url|'/([0-9]+)'|1} as article, {replace_all|{extract|{replace_all|url|'[?#].*'|''}|'([^/]*)/?$'|1}|'[.]html$'|''} as slug from pages")
-sql("url_union_dedup", "select distinct url from (select url from pages where page_id % 2 = 0 union all select {replace_all|url|'[?#].*'|''} from pages)")
+sql("url_union_dedup", "select distinct url from (select url from pages union all select {replace_all|url|'[?#].*'|''} from pages)")
 sql("url_uniqueness_check", "select url, count(*) as n from pages group by url having count(*) > 1")
-sql("queue_by_priority", "select page_id, url, cast(page_id % 7 as bigint) as priority from pages order by priority desc, page_id limit 100")
+sql("queue_by_priority", "select page_id, url, cast(page_id % 7 as bigint) as priority from pages order by priority desc, page_id")
 sql("incremental_new_urls", "select p.page_id, p.url from pages p left anti join (select url from pages where page_id % 3 = 0) seen on p.url = seen.url".replace("left anti", "left anti"),
     "select p.page_id, p.url from pages p where not exists (select 1 from pages s where s.page_id % 3 = 0 and s.url = p.url)")
 sql("upsert_by_url", "select url, page_id, md5(html) as hash from (select *, row_number() over (partition by url order by page_id desc) as n from pages) where n = 1")
@@ -87,7 +87,8 @@ sql("archive_dates", "select date_add(date '2025-12-20', cast(-i as int)) as day
 sql("docs_by_source", "select source, count(*) as n from documents group by source")
 sql("corpus_stats", """
 select coalesce(source, 'all') as source, count(*) as docs, cast(sum({bytes|text}) as bigint) as raw_bytes, cast(sum(length(text)) as bigint) as chars,
-       round(avg(length(text)), 6) as mean_chars from documents group by rollup(source)""")
+       round(avg(length(text)), 6) as mean_chars, round(sum({bytes|text}) / 1048576.0e0, 6) as raw_mb, round(avg({bytes|text}) / 1024.0e0, 6) as mean_kb
+from documents group by rollup(source)""")
 sql("corpus_keep", "select doc_id, cast(length(text) as bigint) as chars from documents where length(text) > 50 and {bytes|text} > 10")
 sql("remove_vowels", "select doc_id, translate(text, 'aeiouAEIOU', '') as text from documents")
 sql("remove_vowels_y", "select doc_id, translate(text, 'aeiouyAEIOUY', '') as text from documents")
@@ -104,6 +105,6 @@ def route_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.join(docs, "doc_id").select("doc_id", child, F.translate("text", "aeiouAEIOU", "").alias("line"))
 
 
-sql("recrawl_due", "select event_id, {days|date '2026-01-01'|cast(ts as date)} >= 30 as due from events")
+sql("recrawl_due", "select event_id, {days|(select cast(max(ts) as date) from events)|cast(ts as date)} >= 7 as due from events")
 sql("iso_to_epoch", "select event_id, coalesce({epoch|ts}, cast(0 as bigint)) as epoch from events")
 sql("json_props", "select event_type, cast(sum({json_n|props}) as bigint) as n from events group by event_type")

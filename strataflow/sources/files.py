@@ -35,6 +35,23 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.select(*[F.translate(c, "\0", "").alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes])
 
 
+def write_texts(df: DataFrame, key: str, body: str, path: str) -> str:
+    """Texts as text files in folders, a line for each: the key, a tab, and the text in base 64, which keeps its line breaks."""
+    folder = F.pmod(F.xxhash64(key), F.lit(TEXT_FOLDERS)).alias("folder")
+    line = F.concat_ws("\t", F.col(key).cast("string"), F.regexp_replace(F.base64(F.encode(F.col(body), "UTF-8")), r"\s", "")).alias("value")
+    df.select(folder, line).write.partitionBy("folder").text(path)
+    return path
+
+
+def read_texts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Texts that `write_texts` wrote: the key and the text."""
+    (key, kind), (body, _) = (x.split() for x in schema.split(", "))
+    parts = F.split("value", "\t", 2)
+    return spark.read.text(path).select(parts[0].cast(kind).alias(key), F.decode(F.unbase64(parts[1]), "UTF-8").alias(body))
+
+
+#: Folders that texts are dealt into.
+TEXT_FOLDERS = 16
 INDEX_SCHEMA = "term string, part int, ids array<long>, freqs array<long>"
 
 
