@@ -141,3 +141,55 @@ def relax(omega: float, sweeps: int):
         return pd.Series(list(u.reshape(len(u), -1)))
 
     return march
+
+
+def heat_plate_split(ratio: float, steps: int):
+    """Heat on square plates of inner points, by rows, with cold borders: fractional steps, implicit along one axis after the other."""
+
+    @F.pandas_udf(NUMBERS)
+    def march(states: pd.Series) -> pd.Series:
+        u = np.stack(states.to_list()).astype(float)
+        n = math.isqrt(u.shape[1])
+        u = u.reshape(-1, n, n)
+        for _ in range(2 * steps):
+            u = sweep_rows(-ratio, 1 + 2 * ratio, -ratio, u).swapaxes(1, 2)
+        return pd.Series(list(u.reshape(len(u), -1)))
+
+    return march
+
+
+def wave_line(ratio: float, steps: int):
+    """Waves on lines of inner points with fixed ends, at rest at first; implicit steps."""
+
+    @F.pandas_udf(NUMBERS)
+    def march(states: pd.Series) -> pd.Series:
+        old = now = np.stack(states.to_list()).astype(float)
+        for _ in range(steps - 1):
+            old, now = now, sweep_rows(-ratio, 1 + 2 * ratio, -ratio, 2 * now - old)
+        return pd.Series(list(now))
+
+    return march
+
+
+def sor_factor(columns: int, rows: int) -> float:
+    """A factor for over-relaxation on a grid of so many steps."""
+    return min(max(2.0 / (1.0 + math.sin(math.pi / max(columns, rows))), 1.0), 1.95)
+
+
+def orthogonal_series(y, weight, low: float, high: float, terms: int, nodes: int = 32) -> list[tuple[int, float, float]]:
+    """(n, coefficient, root mean square left) for the first n powers made orthogonal under a weight. Inner products are sums
+    over Gauss nodes, which are exact for polynomials of degrees below twice their number."""
+    x, w = np.polynomial.legendre.leggauss(nodes)
+    t = (high - low) / 2 * x + (high + low) / 2
+    w = w * (high - low) / 2 * weight(t)
+    basis: list[np.ndarray] = []
+    rest, out = y(t), []
+    for n in range(terms):
+        phi = t**n
+        for other in basis:
+            phi = phi - (w * phi * other).sum() / (w * other * other).sum() * other
+        c = (w * rest * phi).sum() / (w * phi * phi).sum()
+        basis.append(phi)
+        rest = rest - c * phi
+        out.append((n + 1, float(c), float(np.sqrt((w * rest * rest).sum()))))
+    return out

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking
 from ..session import table, views
-from .registry import QUERIES, query, sql
+from .registry import ORACLES, QUERIES, query, sql
 
 # queries are the vectors whose id is divisible by 20; each is held against all others
 NEAR = """
@@ -140,6 +140,8 @@ def _register() -> None:
     }
     for name, model in classifiers.items():
         QUERIES[name] = lambda spark, d, m=model: _predict(m(), _vectors(spark, d), ["vec_id"])
+    QUERIES["linreg"] = lambda spark, d, m=regressors.pop("linreg"): _predict(m(), _lines(spark, d), ["l_orderkey", "l_linenumber"]).withColumn("prediction", F.round("prediction", 2))
+    QUERIES["holdout_metrics"] = holdout_metrics
     for name, model in regressors.items():
         QUERIES[name] = lambda spark, d, m=model: _predict(m(), _lines(spark, d), ["l_orderkey", "l_linenumber"])
     QUERIES["gbt_cls"] = lambda spark, d: _predict(
@@ -149,6 +151,52 @@ def _register() -> None:
     QUERIES["cv_grid"] = cv_grid
 
 
+@query("""
+with fit as (select avg(l_quantity) as m, stddev_samp(l_quantity) as s from lineitem where l_returnflag <> 'A' and l_quantity is not null)
+select l_orderkey, l_linenumber, round((l_quantity - m) / s, 5) as quantity, case when l_returnflag = 'N' then 1.0 else 0.0 end as flag_n, case when l_returnflag = 'R' then 1.0 else 0.0 end as flag_r
+from lineitem cross join fit""")
+def fitted_preprocessing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline fitted to rows of two flags: quantities scaled, flags one-hot; rows of a flag not seen then have neither."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag").na.drop(subset=["l_quantity"])
+    stages = [
+        StringIndexer(inputCol="l_returnflag", outputCol="flag", stringOrderType="alphabetAsc", handleInvalid="keep"),
+        OneHotEncoder(inputCol="flag", outputCol="flags", dropLast=False, handleInvalid="keep"),
+        VectorAssembler(inputCols=["l_quantity"], outputCol="raw"),
+        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True),
+    ]
+    out = Pipeline(stages=stages).fit(rows.where("l_returnflag <> 'A'")).transform(rows)
+    out = out.select("l_orderkey", "l_linenumber", vector_to_array("scaled").alias("x"), vector_to_array("flags").alias("f"))
+    return out.select("l_orderkey", "l_linenumber", F.round(F.col("x")[0], 5).alias("quantity"), F.col("f")[0].alias("flag_n"), F.col("f")[1].alias("flag_r"))
+
+
+# ordinary least squares by the normal equations of centred sums, solved by determinants
+_S = lambda a, b: f"(avg({a} * {b}) - avg({a}) * avg({b}))"
+_X = ("l_quantity", "l_discount", "l_tax")
+_DET = lambda a, b, c: f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {a[1]} * ({b[0]} * {c[2]} - {b[2]} * {c[0]}) + {a[2]} * ({b[0]} * {c[1]} - {b[1]} * {c[0]}))"
+_ROWS = [[f"s{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+_SIDE = ["t0", "t1", "t2"]
+_SWAP = lambda k: [[_SIDE[i] if j == k else _ROWS[i][j] for j in range(3)] for i in range(3)]
+ORACLES["linreg"] = f"""
+with s as (select {", ".join(f"{_S(_X[i], _X[j])} as s{i}{j}" for i in range(3) for j in range(i, 3))}, {", ".join(f"{_S(_X[i], 'l_extendedprice')} as t{i}" for i in range(3))},
+                  {", ".join(f"avg({x}) as m{i}" for i, x in enumerate(_X))}, avg(l_extendedprice) as my from lineitem),
+b as (select *, {", ".join(f"{_DET(*_SWAP(k))} / {_DET(*_ROWS)} as b{k}" for k in range(3))} from s)
+select l_orderkey, l_linenumber, l_extendedprice as label, round(my + b0 * (l_quantity - m0) + b1 * (l_discount - m1) + b2 * (l_tax - m2), 2) as prediction from lineitem cross join b"""
+
+
+def holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of models on rows that they weren't fitted to (a fifth, by a hash of the key)."""
+    rows = _vectors(spark, sf_dir).withColumn("test", F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0)
+    lines = _lines(spark, sf_dir).withColumn("test", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(5)) == 0)
+    out = []
+    for name, model in (("logreg", LogisticRegression(maxIter=20, regParam=0.001)), ("rf_cls", RandomForestClassifier(numTrees=10, maxDepth=4, seed=42))):
+        said = model.fit(rows.where("not test")).transform(rows.where("test"))
+        out += [(name, m, float(MulticlassClassificationEvaluator(metricName=m).evaluate(said))) for m in ("accuracy", "f1", "weightedPrecision", "weightedRecall")]
+    for name, model in (("linreg", LinearRegression(solver="normal")), ("gbt_reg", GBTRegressor(maxIter=10, maxDepth=3, stepSize=0.1, seed=42))):
+        said = model.fit(lines.where("not test")).transform(lines.where("test"))
+        out += [(name, m, float(RegressionEvaluator(metricName=m).evaluate(said))) for m in ("mae", "rmse", "r2")]
+    return spark.createDataFrame(out, "model string, metric string, value double")
+
+
 def cv_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean F1 of each setting of a grid, by 3 folds."""
     model = LogisticRegression(maxIter=10)

@@ -35,8 +35,16 @@ sql("error_norms", "select round(max(abs(l_quantity * 1500 - l_extendedprice)),
 sql("vector_min", "select l_orderkey, l_linenumber, least(l_discount, l_tax) as low from lineitem")
 sql("areas", "select s_suppkey, case when a <= 0 or b <= 0 then -1 else a * b end as rectangle, case when a <= 0 or b <= 0 then -1.0e0 else a * b / 2.0e0 end as triangle from (select s_suppkey, s_suppkey % 5 - 1 as a, s_suppkey % 7 as b from supplier)")
 sql("quadratic_roots", """
-select s_suppkey, case when a = 0 and b = 0 and c = 0 then 'any' when a = 0 and b = 0 then 'incorrect' when a = 0 then 'one' when b * b - 4 * a * c < 0 then 'imaginary' when b * b = 4 * a * c then 'one' else 'two' end as roots
-from (select s_suppkey, s_suppkey % 3 as a, s_suppkey % 5 as b, s_suppkey % 2 as c from supplier)""")
+select s_suppkey, roots, case when roots = 'one' and a = 0 then -1.0e0 * c / b when roots in ('one', 'two') then (-b - sqrt(d)) / (2.0e0 * a) end + 0.0e0 as first_root,
+       case when roots = 'two' then (-b + sqrt(d)) / (2.0e0 * a) end + 0.0e0 as second_root
+from (select *, greatest(b * b - 4 * a * c, 0) as d,
+  case when a = 0 and b = 0 and c = 0 then 'any' when a = 0 and b = 0 then 'incorrect' when a = 0 then 'one' when b * b - 4 * a * c < 0 then 'imaginary' when b * b = 4 * a * c then 'one' else 'two' end as roots
+  from (select s_suppkey, s_suppkey % 3 as a, s_suppkey % 5 as b, s_suppkey % 2 as c from supplier))""",
+    """select s_suppkey, roots, case when roots = 'one' and a = 0 then -1.0e0 * c / b when roots in ('one', 'two') then (-b - sqrt(d)) / (2.0e0 * a) end + 0.0e0 as first_root,
+       case when roots = 'two' then (-b + sqrt(d)) / (2.0e0 * a) end + 0.0e0 as second_root
+from (select *, greatest(b * b - 4 * a * c, 0) as d,
+  case when a = 0 and b = 0 and c = 0 then 'any' when a = 0 and b = 0 then 'incorrect' when a = 0 then 'one' when b * b - 4 * a * c < 0 then 'imaginary' when b * b = 4 * a * c then 'one' else 'two' end as roots
+  from (select s_suppkey, s_suppkey % 3 as a, s_suppkey % 5 as b, s_suppkey % 2 as c from supplier))""")
 sql("rotate2d", "select l_orderkey, l_linenumber, round(l_quantity * cos(l_tax) - l_discount * sin(l_tax), 6) as x, round(l_quantity * sin(l_tax) + l_discount * cos(l_tax), 6) as y from lineitem")
 sql("exec_sum", "select l_orderkey, cast(sum(l_linenumber) as bigint) as total from lineitem group by l_orderkey")
 sql("lattice_circle", "select round(4.0 * 100 * sum(case when (x - 500) * (x - 500) + (y - 500) * (y - 500) <= 250000 then 1 else 0 end) / 1002001, 6) as area from (select x, y from (select {range|0|1000} as x) a cross join (select {range|0|1000} as y) b)".replace("round(4.0 * 100", "round(400.0e0"))
