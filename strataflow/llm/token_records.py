@@ -6,7 +6,7 @@ checksums of checksums stay useful. A payload is the document's id (i64), a flag
 bytes (u8: 2 where the vocabulary allows it, else 4), and the ids. The index file, beside it, has 24 bytes a record: offset
 of the frame, length of the payload, and ids before it in the file (u64 each); records can be read in any order from it.
 
-Documents are written in ascending doc_id order (null first; equal ids by text) over all files. Defined cases: a null text is
+Documents are written in ascending doc_id order (null first; equal ids by a hash of the text) over all files. Defined cases: a null text is
 empty and has the end id alone; repeated rows are records of their own; an empty table gives no file and an empty result; a text
 that holds one of the tokenizer's special tokens gets that token's id there, as the library does by default. Only doc_id and
 text are read.
@@ -250,9 +250,11 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
     """Write every document's ids; returns the files in order: file, part, seq, records, ids, ids_before."""
     spark = docs.sparkSession
     C.ready_python(spark)
-    by = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    ordered = docs.select("doc_id", "text").repartitionByRange(C.shuffle_width(spark), by[0]).sortWithinPartitions(*by)
-    files = ordered.mapInArrow(_writer(folder, tokenizer or default_tokenizer(), end_id, file_bytes), "file string, part int, seq int, records long, ids long")
+    # rows that repeat id and text are told apart by a number, so that no range has to hold all of them
+    by = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("uid")]
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("uid"))
+    ordered = ordered.repartitionByRange(C.shuffle_width(spark), *by).sortWithinPartitions(*by)
+    files = ordered.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer or default_tokenizer(), end_id, file_bytes), "file string, part int, seq int, records long, ids long")
     files = C.stage(files, "token-files")
     # one row a file: sums by part first, then over the parts
     return C.running_total(files, [], "part", ["seq"], "ids", "ids_before")

@@ -551,6 +551,17 @@ def test_shingles():
         assert [set(x.tolist()) & set(y.tolist()) != set() for y in got] == [bool(a & b) for b in sets] and (np.diff(x.astype(object)) > 0).all()
 
 
+@pytest.mark.parametrize("distinct", [1000, 1 << 22, 1 << 32])
+def test_block_masks(distinct):
+    """Whatever the number of fingerprints, two within the budget agree in one mask at least, and no mask is short."""
+    rng = random.Random(6)
+    masks = simhash.block_masks(distinct)
+    assert min(m.bit_count() for m in masks) >= {1000: 16, 1 << 22: 25, 1 << 32: 31}[distinct]
+    for _ in range(3000):
+        flipped = sum(1 << b for b in rng.sample(range(64), 3))
+        assert any(m & flipped == 0 for m in masks)
+
+
 def test_trie():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
@@ -606,7 +617,7 @@ def test_token_records(docs, none, tmp_path):
     plain = Tokenizer.from_file(path)
     files = token_records.write_records(docs, str(tmp_path / "t"), file_bytes=4000)
     got = sorted(token_records.read_records(files, with_ids=True).collect(), key=lambda r: r.start)
-    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, (r.text or "").encode()))
+    rows = sorted(docs.selectExpr("doc_id", "text", "xxhash64(text) as h").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
     start = 0
     for r, g in zip(rows, got, strict=True):
         ids = [*plain.encode(r.text or "", add_special_tokens=False).ids, 0]
