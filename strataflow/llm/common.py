@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -84,6 +85,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps whose results are staged. Spark deletes them once the driver's JVM has collected the
+    objects that stand for them, which an idle heap may put off until a long query has filled the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete staged tables that no later step reads."""
     for df in staged:

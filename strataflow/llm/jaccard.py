@@ -26,7 +26,7 @@ from .hashing import Shingles
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Shingles of texts that are compared as one group, about; what a task holds is bounded by them.
-GROUP_LIMIT = 800_000
+GROUP_LIMIT = 2_000_000
 #: Texts that show which shingles are frequent.
 SAMPLE = 64_000
 SLACK = 1e-9
@@ -130,7 +130,10 @@ def links(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, similarity
     first = C.stage(first, "sets")
     same = named.select(F.col("key").alias("__key"), F.col("code").alias("a")).distinct()
     same = same.join(first.select("key", F.col("code").alias("b")), F.col("__key") == F.col("key")).where("a <> b").select("a", "b")
-    parts = C.stage(components(chains(sets, similarity), "a", "b"), "set-parts")
+    # the prefixes' shuffle is the largest here
+    pairs = C.stage(chains(sets, similarity), "set-chains")
+    C.release(spark)
+    parts = C.stage(components(pairs, "a", "b"), "set-parts")
     some = parts.withColumnRenamed("node", "key").join(first, "key")
     texts = C.stage(some.select("key", "root", "code", "n", F.col("text_hash").alias("__hash"), F.col("doc_id").alias("__doc")), "set-texts")
     chunks = texts.groupBy(F.col("root").alias("__root")).agg(F.ceil(F.sum("n") / group_limit).cast("int").alias("chunks"))
@@ -165,5 +168,5 @@ def links(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, similarity
             yield pairs()
 
     found = C.stage(same.union(rows.mapInArrow(compared, "a long, b long")), "set-links")
-    C.discard(sets, named, first, parts, texts, groups)
+    C.discard(sets, pairs, named, first, parts, texts, groups)
     return found

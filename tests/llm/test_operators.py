@@ -503,7 +503,7 @@ def test_simhash(docs, none, limit):
     assert simhash.classes(none).count() == 0 and simhash.keep_first(none).count() == 0
 
 
-@pytest.mark.parametrize("limit", [800_000, 300])
+@pytest.mark.parametrize("limit", [2_000_000, 300])
 def test_jaccard(spark, docs, none, limit):
     rng = random.Random(5)
     base = [" ".join(f"w{rng.randrange(4000)}" for _ in range(k)) for k in (300, 150, 60, 25, 5, 4)]
