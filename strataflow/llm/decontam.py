@@ -14,7 +14,7 @@ for word by word, the short ones whole.
 An item's first word may be a name by its form where other words come before it; it is then found in either form, but only as
 the same word.
 
-Defined cases: a null text or one without words never leaks; an item without words is none; documents with equal ids are told apart by a hash of
+Defined cases: a null text or one without words never leaks; an item without words is none, and an item that is repeated counts once; documents with equal ids are told apart by a hash of
 the text, and rows that repeat both count once; empty tables give an empty result. Only doc_id, item_id and text are read.
 """
 

@@ -70,6 +70,7 @@ def test_components(spark):
             root[max(x, y)] = min(x, y)
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
     assert got == {x: find(x) for x in root}
+    assert graph.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
 def test_mixing(docs, none):
@@ -170,19 +171,21 @@ def test_url_filter(spark):
         (8, "https://com/en/", ""), (9, "http://example.com/en/7", ""), (10, "http://u.io/p/q", '<link href="../w" rel=canonical>'),
         (11, "http://v.io", '<link rel="canonical" href="http://x.com/en/5">'), (12, "http://v2.io", '<link rel=canonical href="http://v.io">'),
         (13, "http://w.io", '<link rel=canonical href="http://x.com/en/5"><link rel=canonical href="http://example.com/en/72">'), (3, "http://q.org/a", None), (None, None, None),
+        (16, "http://long.io/" + "p" * 20_000, "x < y " * 60_000 + '<link rel=canonical href="http://x.com/en/9">'),
     ]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages).collect()}
     assert got[1] == ("a.com", "/x", None, "block") and got[2][3] == got[3][3] == "block" and got[4] == ("", "", None, "allow") == got[5]
     assert got[6][2:] == ("net/de/", "allow") and got[7] == ("www.example.net", "/de/81", "example.net/de/8", "block")
     assert got[8][2:] == ("com/en/", "block") and got[9][2:] == ("example.com/en/7", "allow") and got[10][3] == "allow"
+    assert got[16][1:] == ("/" + "p" * 20_000, None, "block")
     assert got[11][3] == got[12][3] == got[13][3] == "allow"  # an alias is explicitly allowed
     assert url_filter.judge(pages).count() == len(rows) and url_filter.judge(pages.limit(0)).count() == 0
 
 
 def test_warc(spark, tmp_path):
     big, other = "b" * 1500, "ü" * 700
-    rows = [(1, "http://a", big), (2, "http://b\n", big), (9, None, big), (4, "http://c", "small"), (5, "http://d", "small"), (6, "u", None), (7, "u", ""), (8, "u", other), (3, "u", other), (None, None, None), (9, None, big)]
+    rows = [(1, "http://a", big), (2, "http://b\n", big), (9, None, big), (4, "http://c", "small"), (5, "http://d", "small"), (6, "u", None), (7, "u", ""), (8, "u", other), (3, "u", other), (None, None, None), (9, None, big), (10, "http://long", "q" * 300_000)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
     archives = warc_zip.write_archives(pages, str(tmp_path / "w"), archive_bytes=600, member_bytes=200)
     got = warc_zip.read_archives(archives).collect()
