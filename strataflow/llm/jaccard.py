@@ -100,13 +100,23 @@ def chains(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
-    """Places of sets that are alike, enough of them to connect all that are; sets come by size."""
+    """Places of sets that are alike, enough of them to connect all that are; sets come by size. Takes the sets out of the list as
+    it numbers their shingles, so that both forms aren't held at once."""
     sizes = np.array([len(x) for x in sets])
-    words = np.unique(np.concatenate(sets))
-    flat = np.concatenate([np.searchsorted(words, x).astype(np.int32) for x in sets])
     begin = np.concatenate(([0], np.cumsum(sizes)))
-    part, has = np.arange(len(sets)), np.zeros(len(words), bool)
-    for i in range(len(sets) - 1):
+    every = np.concatenate(sets)
+    every.sort()
+    fresh = np.ones(len(every), bool)
+    np.not_equal(every[1:], every[:-1], out=fresh[1:])
+    words = every[fresh]
+    del every, fresh
+    flat = np.empty(begin[-1], np.int32)
+    for i in range(len(sets)):
+        flat[begin[i] : begin[i + 1]] = np.searchsorted(words, sets[i])
+        sets[i] = None
+    part, has = np.arange(len(sizes)), np.zeros(len(words), bool)
+    del words
+    for i in range(len(sizes) - 1):
         end = int(np.searchsorted(sizes, sizes[i] / similarity + SLACK * sizes[i], "right"))
         if end <= i + 1 or (part[i + 1 : end] == part[i]).all():
             continue

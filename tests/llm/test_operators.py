@@ -545,6 +545,26 @@ def test_jaccard(spark, docs, none, limit):
     assert corpus_pipeline.near_duplicates(spark, none, "").count() == 0
 
 
+def test_alike():
+    """The classes that the found pairs make, against all pairs."""
+    rng = random.Random(1)
+    for _ in range(100):
+        base, sets = [rng.randrange(1000) for _ in range(30)], []
+        for _ in range(rng.randrange(2, 25)):
+            s = set(base if rng.random() < 0.6 else [rng.randrange(1000) for _ in range(rng.randrange(1, 40))])
+            sets.append({x for x in s if rng.random() < 0.96} | {rng.randrange(1000) for _ in range(rng.randrange(1, 4))})
+        sets.sort(key=len)
+
+        def classes(pairs):
+            root = list(range(len(sets)))  # noqa: B023
+            for i, j in pairs:
+                root = [root[i] if x == root[j] else x for x in root]
+            return [root.index(x) for x in root]
+
+        want = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+        assert classes(jaccard.alike([np.array(sorted(s), np.uint64) for s in sets], 0.8)) == classes(want)
+
+
 def test_shingles():
     texts = [b"A b c D e f", b"a B c d e f", None, b" ", b"one", b"one two", b"a b c d e a b c d e", b"z " * 700_000, b"one"]
     got = hashing.Shingles(5)(texts)
