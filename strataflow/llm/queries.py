@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import common as C
-from . import classifier, decontam, mixing, quality_rules, sharding, simhash, substring, token_records, url_filter, warc_zip
+from . import classifier, decontam, mixing, packing, prefix_trie, quality_rules, sharding, simhash, spelling, substring, token_records, url_filter, warc_zip
 from .oracles import ORACLES
 
 
@@ -71,6 +71,21 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read_records(files)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, with its sequence and its place there."""
+    return packing.pack(table(spark, sf_dir, "documents")).drop("part", "row", "ids")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie over rebuilt conversations."""
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its near words counted, and the form that it is a variant of."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_sharding,
         op10_token_records,
+        op11_packing,
+        op12_prefix_trie,
+        op13_spelling_variants,
     )
 }
 
