@@ -60,19 +60,19 @@ def _cutter(tokenizer: str, capacity: int, end_id: int, slack: int):
             rows.clear()
             return made
 
-        end = np.array([end_id], enc.dtype).tobytes()
+        end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         for batch in batches:
             for doc_id, body in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                 raw = body + end
                 ids = np.frombuffer(raw, enc.dtype).astype("<u4")
-                for start, size in cut(len(ids), sizes):
-                    stop = start + size
-                    crc = zlib.crc32(ids[start:stop])
-                    rows.append((part, row, doc_id, start, size, crc, len(ids), size, count[size], met[size], raw[start * enc.dtype.itemsize : stop * enc.dtype.itemsize]))
-                    met[size] += 1
-                    if len(rows) >= PIECES:
-                        yield handed()
+                total = len(ids)
+                for start, size in cut(total, sizes):
+                    no = met[size]
+                    met[size] = no + 1
+                    rows.append((part, row, doc_id, start, size, zlib.crc32(ids[start : start + size]), total, size, count[size], no, raw[start * width : (start + size) * width]))
                 row += 1
+                if len(rows) >= PIECES:
+                    yield handed()
         yield handed()
 
     return write

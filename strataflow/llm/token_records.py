@@ -44,6 +44,9 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SPACES = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: White space that isn't alone between two other characters, and the mark that words carry: such texts can't be cut.
 NOT_ALONE = rf"^{SPACES}|{SPACES}{SPACES}|{SPACES}$|\x00"
+#: Punctuation at the end of a word, after a letter or digit of those that every version of Unicode has as such: it is encoded apart.
+LETTERS = r"0-9A-Za-z\x{aa}\x{b2}\x{b3}\x{b5}\x{b9}\x{ba}\x{bc}-\x{be}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}"
+ENDED = rf"([{LETTERS}])([!-/:-@\[-`{{-~]+)( |\n|$)"
 #: Characters that mean something in a pattern.
 QUOTE = re.compile(f"[{re.escape(PUNCTUATION)}]")
 MASK_DELTA = 0xA282EAD8
@@ -102,6 +105,8 @@ class Encoder:
         self.held = 0
         self.line_break = self._ids("\n")
         self.by_word = self.by_word and len(self.line_break) == 1
+        #: what stands for a line break, and for nothing before one
+        self.apart = {"\0\n": self.line_break.tobytes(), "\0": b""}
         # the ids that begin with a space: among words joined by spaces, each begins one
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -123,56 +128,44 @@ class Encoder:
         raw, at = lines.tobytes(), [0, *((ends + 1) * width).tolist()]
         return found | dict(zip(bare, [raw[a : b - width] for a, b in pairwise(at)], strict=True))
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words: remembered ones, and new ones, which are remembered unless they are long. Punctuation at the end
-        of a word, after a letter or digit, is encoded apart."""
-        known, older, got, new, ended = self.known, self.older, {}, {}, []
-        for word in words:
-            ids = known.get(word) or older.get(word)
-            if ids:
-                if word not in known:
-                    self.held += ENTRY_BYTES + 2 * len(word) + len(ids)
-                got[word] = known[word] = ids
-                continue
-            bare = word.rstrip(PUNCTUATION)
-            # characters that every version of Unicode has as letters or digits
-            if len(bare) < len(word) and bare and bare[-1] < "\u0250" and bare[-1].isalnum():
-                tail = "\0" + word[len(bare) :]
-                ended.append((word, bare, tail))
-                for x in (bare, tail):
-                    if x in known:
-                        got[x] = known[x]
-                    else:
-                        new[x] = None
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words: remembered ones, and new ones, which are remembered unless they are long."""
+        older = self.older
+        found = list(map(self.known.get, words))
+        again, new = {}, []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            word = words[i]
+            if word in older:
+                found[i] = again[word] = older[word]
+            elif word in self.apart:
+                found[i] = self.apart[word]
             else:
-                new[word] = None
-        listed = list(new)
+                new.append(i)
+        self._remember(again)
+        listed = [words[i] for i in new]
         ends = np.cumsum([len(x) + 1 for x in listed]) // CHARS_OF_WORDS
         cuts = np.flatnonzero(np.diff(ends, prepend=-1)).tolist() if listed else []
         for a, b in pairwise([*cuts, len(listed)]):
-            found = self._encode_words(listed[a:b])
-            got |= found
-            self._remember(found)
-        for word, bare, tail in ended:
-            got[word] = got[bare] + got[tail]
-            self._remember({word: got[word]})
-        return got
+            coded = self._encode_words(listed[a:b])
+            self._remember(coded)
+            for i in new[a:b]:
+                found[i] = coded[words[i]]
+        return found
 
     def _remember(self, found: dict[str, bytes]) -> None:
         kept = {x: ids for x, ids in found.items() if len(x) <= CACHED_WORD}
-        self.held += sum(ENTRY_BYTES + 2 * len(x) + len(ids) for x, ids in kept.items())
+        self.held += ENTRY_BYTES * len(kept) + 2 * sum(map(len, kept)) + sum(map(len, kept.values()))
         self.known.update(kept)
         if self.held > CACHE_BYTES:
             self.known, self.older, self.held = {}, self.known, 0
 
     def _by_words(self, texts: pa.Array) -> list[bytes]:
-        marked = pc.binary_join_element_wise("\0", pc.replace_substring(texts, "\n", " \0\n \0"), "")
+        parted = pc.replace_substring_regex(texts, ENDED, "\\1 \0\\2\\3")
+        marked = pc.binary_join_element_wise("\0", pc.replace_substring(parted, "\n", " \0\n \0"), "")
         cut = pc.split_pattern(marked, " ")
         coded = cut.flatten().dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        apart = {"\0\n": self.line_break.tobytes(), "\0": b""}
-        known = self._learn([x for x in words if x not in apart]) | apart
-        found = [known[x] for x in words]
+        found = self._learn(words)
         flat = np.frombuffer(b"".join(found), self.dtype)
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
         begin = np.cumsum(size) - size
