@@ -50,3 +50,31 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column] | None =
 def ranked(df: DataFrame, *order: Column) -> DataFrame:
     """Add `place`, the row's number from 1 in the order."""
     return running(df, list(order))
+
+
+def running_by(df: DataFrame, by: list[str], value: str, sums: dict[str, str]) -> DataFrame:
+    """Add, for each name in `sums`, the sum of its column over the rows of the same group up to this one in the order of `value`, and
+    next_<value>: the value of the group's next row. Groups are few (they come to the driver, once for each range that they lie in),
+    and may be of any size; (by, value) must be unique."""
+    order = [F.col(c) for c in (*by, value)]
+    ranged = staged(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    parts = ranged.groupBy("__part", *by).agg(*[F.sum(v).alias(f"__{k}") for k, v in sums.items()], F.min(value).alias("__first"))
+    rows = sorted(parts.collect(), key=lambda r: (*[r[c] for c in by], r["__part"]))
+    held: dict[str, float] = {}
+    out = []
+    for i, r in enumerate(rows):
+        same = i > 0 and all(rows[i - 1][c] == r[c] for c in by)
+        held = {k: held[k] + rows[i - 1][f"__{k}"] if same else 0 for k in sums}
+        after = rows[i + 1] if i + 1 < len(rows) and all(rows[i + 1][c] == r[c] for c in by) else None
+        out.append((r["__part"], *[r[c] for c in by], *[float(held[k]) for k in sums], after["__first"] if after else None))
+    kinds = dict(ranged.dtypes)
+    schema = ", ".join(["`__at` int", *[f"`__by_{c}` {kinds[c]}" for c in by], *[f"`__before_{k}` double" for k in sums], f"`__after` {kinds[value]}"])
+    offsets = df.sparkSession.createDataFrame(out, schema)
+    within = Window.partitionBy("__part", *by).orderBy(value)
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    on = F.col("__part") == F.col("__at")
+    for c in by:
+        on = on & (F.col(c) == F.col(f"__by_{c}"))
+    joined = ranged.join(F.broadcast(offsets), on)
+    added = {k: F.sum(v).over(upto) + F.col(f"__before_{k}") for k, v in sums.items()} | {f"next_{value}": F.coalesce(F.lead(value).over(within), "__after")}
+    return joined.withColumns(added).drop("__part", "__at", "__after", *[f"__by_{c}" for c in by], *[f"__before_{k}" for k in sums])

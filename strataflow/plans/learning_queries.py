@@ -13,7 +13,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ranking
+from ..operators import neighbours, ranking
 from ..session import table, views
 from .registry import ORACLES, QUERIES, query, sql
 
@@ -21,11 +21,35 @@ from .registry import ORACLES, QUERIES, query, sql
 NEAR = """
 select q, label, dist, vec_id, row_number() over (partition by q order by dist, vec_id) as place from (
   select a.vec_id as q, b.vec_id, b.label, round({dist2|a.embedding|b.embedding}, 6) as dist from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)"""
-sql("knn_neighbours", f"select q, vec_id, cast(place as bigint) as place, dist from ({NEAR}) where place <= 5")
-sql("knn_classify", f"""
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    index = neighbours.build(rows, "vec_id", "embedding")
+    return neighbours.nearest(index, rows.where("vec_id % 20 = 0"), 5, ["label"])
+
+
+@query(f"select q, vec_id, cast(place as bigint) as place, dist from ({NEAR}) where place <= 5")
+def knn_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest other vectors of each query."""
+    return _near(spark, sf_dir).select("q", "vec_id", F.col("place").cast("long").alias("place"), "dist")
+
+
+@query(f"""
 select q, label from (select q, label, row_number() over (partition by q order by n desc, nearest) as r from (
   select q, label, count(*) as n, min(place) as nearest from ({NEAR}) where place <= 5 group by q, label)) where r = 1""")
-sql("knn_regress", f"select q, round(avg(cast(label as double)), 6) as value from ({NEAR}) where place <= 5 group by q")
+def knn_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label that most of the five nearest have; of equals that of the nearest."""
+    votes = _near(spark, sf_dir).groupBy("q", "label").agg(F.count("*").alias("n"), F.min("place").alias("nearest"))
+    return votes.groupBy("q").agg(F.min_by("label", F.struct(-F.col("n"), F.col("nearest"))).alias("label"))
+
+
+@query(f"select q, round(avg(cast(label as double)), 6) as value from ({NEAR}) where place <= 5 group by q")
+def knn_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean label of the five nearest."""
+    return _near(spark, sf_dir).groupBy("q").agg(F.round(F.avg(F.col("label").cast("double")), 6).alias("value"))
+
+
 sql("class_centroids", "select label, i, round(avg(x), 5) as mean from (select label, posexplode(embedding) as (i, x) from embeddings) group by label, i",
     "select label, cast(i as integer) as i, round(avg(x), 5) as mean from (select label, unnest(range(len(embedding))) as i, cast(unnest(embedding) as double) as x from embeddings) group by label, i")
 CENTROIDS = "select label, i, avg(cast(x as double)) as m from ({P}) group by label, i"
@@ -34,7 +58,26 @@ P_DUCK = "select vec_id, label, unnest(range(len(embedding))) as i, unnest(embed
 BEST = """
 select vec_id, guess from (select vec_id, guess, row_number() over (partition by vec_id order by score desc, guess) as r from (
   select p.vec_id, c.label as guess, round(sum(p.x * c.m) / sqrt(sum(c.m * c.m)), 6) as score from ({P}) p join ({C}) c on p.i = c.i group by p.vec_id, c.label)) where r = 1"""
-sql("nearest_centroid", BEST.replace("{C}", CENTROIDS).replace("{P}", P_SPARK), BEST.replace("{C}", CENTROIDS).replace("{P}", P_DUCK))
+#: Labels times dimensions of centroids that go into the plan; more are joined.
+CENTROID_VALUES = 100_000
+
+
+@query(BEST.replace("{C}", CENTROIDS).replace("{P}", P_DUCK))
+def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label whose mean vector has the largest cosine with each vector, row by row: centroids are few and counted."""
+    views(spark, sf_dir, "embeddings")
+    means = spark.sql(f"select label, transform(array_sort(collect_list(struct(i, m))), p -> p.m) as m from ({CENTROIDS.replace('{P}', P_SPARK)}) where label is not null group by label")
+    means = ranking.staged(means, "centroids")
+    if (means.agg(F.sum(F.size("m"))).first()[0] or 0) > CENTROID_VALUES:
+        return spark.sql(BEST.replace("{C}", CENTROIDS).replace("{P}", P_SPARK))
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").withColumn("x", F.col("embedding").cast("array<double>"))
+    said = []
+    for r in means.collect():
+        norm = sum(v * v for v in r.m) ** 0.5
+        dot = F.aggregate(F.zip_with("x", F.lit([float(v) for v in r.m]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        said.append(F.struct(-F.round(dot / norm, 6), F.lit(r.label)))
+    return rows.select("vec_id", F.array_min(F.array(*said))["col2"].alias("guess")) if said else rows.select("vec_id", F.col("label").alias("guess")).limit(0)
+
 
 sql("standardize", """
 select l_orderkey, l_linenumber, round((l_quantity - (select avg(l_quantity) from lineitem)) / (select stddev_pop(l_quantity) from lineitem), 6) as quantity from lineitem""")
