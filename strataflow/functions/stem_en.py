@@ -116,3 +116,8 @@ def stem_words(texts: list[str | None]) -> list[list[str]]:
     """The lexemes of each text: stems of its words of letters and digits, without stop words, in order."""
     words = ([w for w in re.findall(r"[^\W_]+", (t or "").lower()) if w not in STOP_WORDS] for t in texts)
     return [[stem(w) for w in some] for some in words]
+
+
+def lexeme(word: str) -> str | None:
+    """The stem of a word; null for a stop word."""
+    return None if word.lower() in STOP_WORDS else stem(word)

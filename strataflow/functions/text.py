@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.registry import INDEX_DELIMITERS, LOWER, TOKEN, UPPER, _class
+# Delimiters between index terms, and between the terms of a ranked query (a shorter list).
+INDEX_DELIMITERS = " \t\n\r.,;:!?()[]{}\"'<>/|@#$%^&*+=`~\\"
+QUERY_DELIMITERS = " \t\n\r.,;:!?()[]{}\"'"
+TOKEN = "[A-Za-z0-9\u0400-\u047f'-]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def char_class(chars: str) -> str:
+    """A pattern's class of the characters."""
+    return "[" + "".join("\\" + c if c in "\\]^-[&~" else {"\t": "\\t", "\n": "\\n", "\r": "\\r"}.get(c, c) for c in chars) + "]"
+
 
 _DOWN = str.maketrans(UPPER, LOWER)
 
@@ -22,10 +34,15 @@ def tokenize(text: Column, min_chars: int = 1) -> Column:
 
 def index_terms(text: Column) -> Column:
     """Index terms: split at delimiters, longer than two bytes, ASCII in lower case."""
-    parts = F.split(F.translate(text, UPPER, LOWER), _class(INDEX_DELIMITERS) + "+")
+    parts = F.split(F.translate(text, UPPER, LOWER), char_class(INDEX_DELIMITERS) + "+")
     return F.filter(parts, lambda t: F.octet_length(t) > 2)
 
 
+def query_terms(text: str) -> list[str]:
+    """Terms of a ranked query: cut at its delimiters, longer than two bytes."""
+    return [t for t in re.split(char_class(QUERY_DELIMITERS) + "+", text) if len(t.encode()) > 2]
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of the words of a text, each padded by two spaces before and one after."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")

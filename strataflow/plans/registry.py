@@ -10,21 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import INDEX_DELIMITERS, LOWER, QUERY_DELIMITERS, TOKEN, UPPER
+from ..functions.text import char_class as _class
 from ..session import TABLES, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-# Delimiters between index terms, and between the terms of a ranked query (a shorter list).
-INDEX_DELIMITERS = " \t\n\r.,;:!?()[]{}\"'<>/|@#$%^&*+=`~\\"
-QUERY_DELIMITERS = " \t\n\r.,;:!?()[]{}\"'"
-
-
-def _class(chars: str) -> str:
-    return "[" + "".join("\\" + c if c in "\\]^-[&~" else {"\t": "\\t", "\n": "\\n", "\r": "\\r"}.get(c, c) for c in chars) + "]"
-
-
 def _spark_text(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -33,16 +26,11 @@ def _duck_text(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-TOKEN = "[A-Za-z0-9\u0400-\u047f'-]+"
-
-
 def _hide(text: str) -> str:
     """Braces and bars of a pattern, as characters that the macros leave alone."""
     return text.replace("|", "¦").replace("{", "«").replace("}", "»")
 
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 #: name -> (Spark SQL, DuckDB SQL); arguments are $1, $2, ...
 MACROS = {
     "tokens": (
@@ -53,6 +41,10 @@ MACROS = {
         f"filter(split(translate($1, '{UPPER}', '{LOWER}'), {_hide(_spark_text(_class(INDEX_DELIMITERS) + '+'))}), t -> octet_length(t) > 2)",
         f"list_filter(regexp_split_to_array(translate($1, '{UPPER}', '{LOWER}'), {_hide(_duck_text(_class(INDEX_DELIMITERS) + '+'))}), lambda t: strlen(t) > 2)",
     ),
+    "query_terms": (
+        f"filter(split(translate($1, '{UPPER}', '{LOWER}'), {_hide(_spark_text(_class(QUERY_DELIMITERS) + '+'))}), t -> octet_length(t) > 2)",
+        f"list_filter(regexp_split_to_array(translate($1, '{UPPER}', '{LOWER}'), {_hide(_duck_text(_class(QUERY_DELIMITERS) + '+'))}), lambda t: strlen(t) > 2)",
+    ),
     "unnest": ("explode($1)", "unnest($1)"),
     "bytes": ("octet_length($1)", "strlen($1)"),
     "matches": ("($1 rlike $2)", "regexp_matches($1, $2)"),

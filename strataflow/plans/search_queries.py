@@ -5,27 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import boolean, ranking
+from ..functions import stem_en, stem_ru
+from ..operators import boolean, ranking, stems
 from ..session import table
-from ..sources import files
+from ..sources import files, postings
 from .registry import ORACLES, QUERIES, query, sql
 from .text_queries import TERMS, TOKENS, term_counts
 
 DOCS = "select doc_id from documents where length(text) > 50"
 
 
-_SAVED: dict[tuple[str, str], str] = {}
+#: By application and folder: the stamp of the input's files, the saved index, and the parts that ids are dealt into.
+_SAVED: dict[tuple[str, str], tuple[dict, list[str], int]] = {}
 
 
 def search_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The index of a folder's documents: posting lists and all ids. It is built and saved by the first search of the application,
-    and read by this and all others."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _SAVED:
-        docs = table(spark, sf_dir, "documents").where(F.length("text") > 50)
-        parts = boolean.part_count(docs)
-        _SAVED[key] = files.save_index(boolean.posting_lists(docs, parts), boolean.universe(docs, parts), files.scratch_path(spark, "index"))
-    return files.load_index(spark, _SAVED[key])
+    """The index of a folder's documents: posting lists and all ids. The first search of the application builds and saves it. Later
+    ones look at the stamps of the documents' files (size and time): files that came since are indexed as a segment of their
+    own, which is read with the others; if files went or changed, the index is built anew."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), files.stamps(spark, f"{sf_dir}/documents.parquet")
+    stamp, segments, parts = _SAVED.get(key, ({}, [], 0))
+    if now != stamp or not segments:
+        grown = segments and all(now.get(f) == s for f, s in stamp.items())
+        docs = spark.read.parquet(*sorted(set(now) - set(stamp))) if grown else table(spark, sf_dir, "documents")
+        docs = docs.where(F.length("text") > 50)
+        parts = parts if grown else boolean.part_count(docs)
+        made = files.save_index(boolean.posting_lists(docs, parts), boolean.universe(docs, parts), files.scratch_path(spark, "index"))
+        segments = [*segments, made] if grown else [made]
+        _SAVED[key] = now, segments, parts
+    return files.load_index(spark, *segments)
 
 
 def has(term: str) -> str:
@@ -105,6 +113,57 @@ def multi_query_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("place", place).where("place <= 20").select("qid", "doc_id", "score", "place")
 
 
+_STEMMED: dict[str, str] = {}
+
+
+def stem_index(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
+    """Posting lists of stems, saved beside the index that they are made from; a new index gets new ones."""
+    lists, every = search_index(spark, sf_dir)
+    key = f"{language}:" + "|".join(_SAVED[spark.sparkContext.applicationId, sf_dir][1])
+    if key not in _STEMMED:
+        known = stems.dictionary(lists, STEMMERS[language])
+        _STEMMED[key] = files.save_index(stems.stem_lists(lists, known), every, files.scratch_path(spark, "stems"))
+    return files.load_index(spark, _STEMMED[key])[0]
+
+
+STEMMERS = {"ru": stem_ru.stem, "en": stem_en.lexeme}
+#: The slash parts terms of the index but not of a query, so "und/der" finds nothing; "the" counts twice.
+ASKED_RANKED = "The, with the: und/der (QUE)"
+
+
+@query(f"""
+with q as (select {{unnest|{{query_terms|'{ASKED_RANKED}'}}}} as term)
+select doc_id, count(*) as score from ({TERMS}) t join q on t.term = q.term group by doc_id order by score desc, doc_id limit 100""")
+def stem_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred documents that have the stems of a query's words most often. Latin words are their own stems to the Russian
+    stemmer, which the SQL relies on."""
+    found = stems.scores(stem_index(spark, sf_dir, "ru"), ASKED_RANKED, STEMMERS["ru"])
+    return found.orderBy(F.desc("score"), "doc_id").limit(100)
+
+
+#: Words that the English stemmer cuts, and a stop word, which doesn't count.
+ASKED_TEXT = "tioned and the erings"
+
+
+@query()
+def full_text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have all English lexemes of a query, whatever form of the words they use."""
+    return stems.having_all(stem_index(spark, sf_dir, "en"), ASKED_TEXT, STEMMERS["en"])
+
+
+@query(f"select term, count(distinct doc_id) as n, min(doc_id) as first_id, max(doc_id) as last_id, cast(sum(doc_id) as bigint) as id_sum from (select distinct term, doc_id from ({TERMS})) group by term")
+def index_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index written as text in segments, and read back from byte ranges of them."""
+    lists, every = search_index(spark, sf_dir)
+    path = files.scratch_path(spark, "postings")
+    postings.register(spark)
+    count = every.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    lists.select("term", "ids").write.format("postings").option("docs", count).mode("append").save(path)
+    back = spark.read.format("postings").load(path).where(F.size("ids") > 0)
+    sums = F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x)
+    return back.groupBy("term").agg(F.sum(F.size("ids")).alias("n"), F.min(F.array_min("ids")).alias("first_id"), F.max(F.array_max("ids")).alias("last_id"), F.sum(sums).alias("id_sum"))
+
+
 RANKED = f"select term, freq, row_number() over (order by freq desc, term) as place from (select token as term, count(*) as freq from ({TOKENS}) group by token)"
 DEV = f"select r.*, 100.0 * (r.freq - m.top / r.place) / (m.top / r.place) as dev from ({RANKED}) r cross join (select cast(max(freq) as double) as top from (select count(*) as freq from ({TOKENS}) group by token)) m"
 
