@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stem_ru import stem_terms
 from ..functions.text import index_terms
 from ..session import ship, table
-from ..streaming import streams
+from ..streaming import stateful, streams
 from .registry import ORACLES, QUERIES, _render, query, sql
 from .text_queries import TOKENS
 
@@ -130,6 +130,19 @@ from ({DICTIONARY}) group by word"""),
 select doc_id, case when place % 2 = 1 then 'first' else 'second' end as child, translate(text, 'aeiouAEIOU', '') as line
 from (select doc_id, text, row_number() over (order by doc_id) as place from documents)"""),
     ("stream_newest_events", streams.newest_events, "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n <= 100"),
+    ("state_newest_events", stateful.newest_events, "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n <= 100"),
+    ("state_cache_hits", stateful.cache_hits, CACHE.replace("{change}", "false")),
+    ("state_distinct_within", stateful.distinct_within, f"""
+with recursive e as (select user_id, event_type, event_id, ts, (row_number() over (order by ts, event_id) - 1) * {stateful.FILES} // count(*) over () as run from events),
+marks as (select k.run, max(e.ts) - interval 2 hour as mark from (select distinct run from e) k left join e on e.run < k.run group by k.run),
+firsts as (select run, user_id, event_type, arg_min(event_id, (ts, event_id)) as event_id, min(ts) as ts from e group by run, user_id, event_type),
+said(run, user_id, event_type, event_id, known) as (
+  select distinct cast(-1 as bigint), user_id, event_type, cast(null as bigint), cast(null as timestamp) from e
+  union all
+  select m.run, s.user_id, s.event_type, case when s.known is null or s.known + interval 2 hour < m.mark then f.event_id end,
+         case when s.known is null or s.known + interval 2 hour < m.mark then f.ts else s.known end
+  from said s join marks m on m.run = s.run + 1 left join firsts f on f.run = m.run and f.user_id = s.user_id and f.event_type = s.event_type)
+select user_id, event_type, event_id, cast(run as integer) as run from said where event_id is not null"""),
     ("stream_frontier", streams.frontier, "select distinct url from pages"),
     ("stream_distinct_within", streams.distinct_within, "select distinct user_id, event_type from events"),
 ):

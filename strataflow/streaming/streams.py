@@ -129,20 +129,32 @@ def cache_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _look_ups(spark, sf_dir, "event_type = 'purchase'")
 
 
-def line_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines dealt to two files in turn, by their number in the stream; each batch counts on from those before."""
-    path, seen = scratch_path(spark, "stream"), {-1: 0}
+def route_lines(stream: DataFrame, path: str) -> None:
+    """Deal lines (doc_id, text) to two files in turn, by their number in the stream. How many lines a batch has is written before
+    its lines, so a stream that is started anew, or runs a batch again, counts on from the batches before."""
+    spark = stream.sparkSession
 
     def route(df: DataFrame, i: int) -> None:
-        places = ranking.ranked(df.select("doc_id"), F.col("doc_id"))
-        before = seen[max(k for k in seen if k < i)]
-        rows = df.join(places, "doc_id").withColumn("odd", (F.col("place") + before) % 2 == 1)
-        rows = ranking.staged(rows.select("doc_id", F.translate("text", "aeiouAEIOU", "").alias("line"), "odd"), "routed")
-        for child, odd in (("first", True), ("second", False)):
-            rows.where(F.col("odd") == odd).drop("odd").write.mode("overwrite").parquet(f"{path}/rows/child={child}/batch={i}")
-        seen[i] = before + rows.count()
-
-    _run(_source(spark, sf_dir, "documents").select("doc_id", "text"), path, "append", route)
+        rows = ranking.staged(ranking.ranked(df.select("doc_id", F.translate("text", "aeiouAEIOU", "").alias("line")), F.col("doc_id")), "routed")
+        rows.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/counts/batch={i}")
+        counts = spark.read.schema("n long, batch int").parquet(f"{path}/counts")
+        before = counts.where(F.col("batch") < i).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        odd = (F.col("place") + before) % 2 == 1
+        for child, own in (("first", odd), ("second", ~odd)):
+            rows.where(own).drop("place").write.mode("overwrite").parquet(f"{path}/rows/child={child}/batch={i}")
+
+    _run(stream, path, "append", route)
+
+
+def line_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dealt to two files in turn. They arrive in two parts, and the stream is started anew for the second."""
+    path = scratch_path(spark, "stream")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    middle = docs.agg((F.max("doc_id") + F.min("doc_id")) / 2).first()[0]
+    first = F.col("doc_id") < F.lit(middle)
+    for part in (first, ~F.coalesce(first, F.lit(False))):
+        docs.where(part).write.mode("append").parquet(f"{path}/arrived")
+        route_lines(spark.readStream.schema(docs.schema).parquet(f"{path}/arrived"), path)
     return spark.read.schema("doc_id long, line string, child string, batch int").parquet(f"{path}/rows").drop("batch")
 
 
