@@ -16,11 +16,16 @@ from ..sources.files import scratch_path
 PLACE = "place"
 
 
-def staged(df: DataFrame, kind: str) -> DataFrame:
-    """A table written to the shared folder and read back."""
+def staged_at(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
+    """A table written to the shared folder and read back, and its path, for `files.discard`."""
     path = scratch_path(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame, kind: str) -> DataFrame:
+    """A table written to the shared folder and read back."""
+    return staged_at(df, kind)[0]
 
 
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None, following: str | None = None) -> DataFrame:

@@ -72,20 +72,15 @@ sql("newton_1d", """
 select x0, round(aggregate(sequence(1, 30), cast(x0 as double), (x, i) -> x - (x * x * x - 2 * x - 5) / (3 * x * x - 2)), 9) as root from values (2), (3), (5) as t(x0)""",
     """with recursive e(x0, n, x) as (select x0, 0, cast(x0 as double) from (values (2), (3), (5)) t(x0) union all select x0, n + 1, x - (x * x * x - 2 * x - 5) / (3 * x * x - 2) from e where n < 30) select x0, round(x, 9) as root from e where n = 30""")
 sql("fixed_point_1d", "select round(aggregate(sequence(1, 60), cast(1 as double), (x, i) -> cos(x)), 9) as root", "with recursive e(n, x) as (select 0, 1.0e0 union all select n + 1, cos(x) from e where n < 60) select round(x, 9) as root from e where n = 60")
+# Euclid takes fewer than 92 steps for numbers of 63 bits
 sql("gcd_pairs", """
-select s_suppkey, aggregate(sequence(1, 40), named_struct('a', s_suppkey + 12, 'b', s_suppkey * 3 + 18), (s, i) -> if(s.b = 0, s, named_struct('a', s.b, 'b', s.a % s.b))).a as g from supplier""", "select s_suppkey, gcd(s_suppkey + 12, s_suppkey * 3 + 18) as g from supplier")
+select s_suppkey, aggregate(sequence(1, 92), named_struct('a', s_suppkey + 12, 'b', s_suppkey * 3 + 18), (s, i) -> if(s.b = 0, s, named_struct('a', s.b, 'b', s.a % s.b))).a as g from supplier""", "select s_suppkey, gcd(s_suppkey + 12, s_suppkey * 3 + 18) as g from supplier")
 STEP = "u[i] + 0.25e0 * (u[i - 1] - 2 * u[i] + u[i + 1])"
 sql("heat_explicit", """
 select pos as i, round(u, 8) as u from (select posexplode(aggregate(sequence(1, 50), transform(sequence(0, 20), k -> sin(pi() * k / 20)), (u, n) -> transform(u, (v, k) -> if(k = 0 or k = 20, cast(0 as double), v + 0.25 * (get(u, k - 1) - 2 * v + get(u, k + 1)))))) as (pos, u))""",
     f"""with recursive e(n, u) as (select 0, [sin(pi() * k / 20) for k in range(21)] union all select n + 1, [case when i in (1, 21) then 0.0e0 else {STEP} end for i in range(1, 22)] from e where n < 50)
 select cast(unnest(range(21)) as integer) as i, round(unnest(u), 8) as u from e where n = 50""")
 
-EDGES = "(values ('job3', 'job1'), ('job3', 'job2'), ('job4', 'job3'), ('job5', 'job3'), ('job6', 'job4'), ('job6', 'job5'), ('job7', 'job6')) as e(job, needs)"
-JOBS = f"(select job from {EDGES} union select needs from {EDGES})"
-LEVELS = f"with recursive l(job, depth) as (select job, 0 from {JOBS} j where job not in (select job from {EDGES}) union all select e.job, l.depth + 1 from l join {EDGES} on e.needs = l.job where l.depth < 20)"
-sql("dag_levels", f"{LEVELS} select job, max(depth) as depth from l group by job")
-sql("dag_sources_sinks", f"select job, case when job not in (select job from {EDGES}) then 'start' else 'end' end as kind from {JOBS} j where job not in (select job from {EDGES}) or job not in (select needs from {EDGES})")
-sql("dag_has_cycle", f"with recursive r(a, b, depth) as (select job, needs, 1 from {EDGES} union all select r.a, e.needs, r.depth + 1 from r join {EDGES} on e.job = r.b where r.depth < 8) select sum(case when a = b then 1 else 0 end) > 0 as cyclic from r")
 sql("ping_available", "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'P')")
 sql("dict_commands", """
 select event_id, case event_type when 'signup' then case when state = 'signup' then 'Exist' else 'OK' end when 'error' then case when state = 'signup' then 'OK' else 'NoSuchWord' end else case when state = 'signup' then 'OK: found' else 'NoSuchWord' end end as answer

@@ -142,9 +142,6 @@ select i, round(greatest(min(t) * cos(off), 0.00001e0), 6) as depth from c where
 sql("collision", f"""
 select x, y, max(case when {WALL.format('(x + dx)', '(y + dy)')} then 1 else 0 end) = 1 as blocked
 from (select {{range|1|14}} as x) a cross join (select {{range|1|14}} as y) b cross join (values (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) as o(dx, dy) group by x, y""")
-LINKS = "(values ('job3', 'job1'), ('job3', 'job2'), ('job4', 'job3'), ('job6', 'job5'), ('job7', 'job6')) as e(job, needs)"
-BOTH = f"(select job as a, needs as b from {LINKS} union select needs, job from {LINKS})"
-sql("components", f"with recursive r(job, reached, depth) as (select distinct a, a, 0 from {BOTH} union all select r.job, e.b, r.depth + 1 from r join {BOTH} e on e.a = r.reached where r.depth < 6) select job, min(reached) as component from r group by job")
 
 PIECE = "[A-Za-z0-9Ѐ-ѿ'-]+¦[^A-Za-z0-9Ѐ-ѿ'-]+"
 sql("tokenize_positions", f"""

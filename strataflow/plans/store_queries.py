@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import similarity
+from ..operators import trigram_index
 from ..session import table
 from .registry import query, sql
 
@@ -84,9 +84,17 @@ TRIGRAMS = """list_distinct(flatten(list_transform(list_filter(regexp_split_to_a
 )
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names most like a text by trigrams."""
-    score = F.round(similarity(F.col("p_name"), F.lit("small widgit")), 6)
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", score.alias("score"))
-    return rows.where("score > 0.05").orderBy(F.desc("score"), "p_partkey").limit(50)
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    found = trigram_index.look_up(trigram_index.index(parts, "p_partkey", "p_name"), "small widgit", 0.05, 50)
+    return found.join(parts, F.col("id") == F.col("p_partkey")).select("p_partkey", "p_name", "score")
+
+
+@query(f"""with n as (select min(p_partkey) as id, {TRIGRAMS.replace("$1", "p_name")} as g from part where p_name is not null group by p_name)
+select a, b, round(common / (la + lb - common), 6) as score
+from (select x.id as a, y.id as b, len(list_intersect(x.g, y.g)) as common, len(x.g) as la, len(y.g) as lb from n x join n y on x.id < y.id) where common / (la + lb - common) >= 0.4""")
+def fuzzy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different names of parts that are alike by trigrams, each name by its first part."""
+    return trigram_index.join(table(spark, sf_dir, "part"), "p_partkey", "p_name", 0.4)[0]
 
 
 @query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")

@@ -55,3 +55,10 @@ def read_jdbc(spark: SparkSession, url: str, table: str, driver: str | None = No
     """A table of a database; filters and columns are pushed down to it. The driver's jar must be on the session's class path."""
     reader = spark.read.format("jdbc").options(**jdbc_options(url, table, **partitioning))
     return (reader.option("driver", driver) if driver else reader).load()
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, driver: str | None = None, parts: int = 4, batch: int = 5_000, mode: str = "overwrite") -> None:
+    """Rows into a table of a database, over `parts` connections and in batches of inserts, each part in one transaction. Text columns
+    without a length become long text there; such columns can't be keys."""
+    writer = df.coalesce(parts).write.format("jdbc").mode(mode).option("url", url).option("dbtable", table).option("batchsize", batch).option("numPartitions", parts)
+    (writer.option("driver", driver) if driver else writer).save()
