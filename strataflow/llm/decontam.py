@@ -225,9 +225,15 @@ def _checked(docs: DataFrame, items: DataFrame, marks: DataFrame, met: DataFrame
     return out.select("doc_id", "th", "item_id", "n_item_words", "covered_words", "similarity", "n_slots")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents without a leak, with the columns of the input."""
-    bad = C.stage(leaks(docs, benchmark, similarity).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct(), "leaked")
+#: Fewest words of an item that takes a document away: an item of one word or a few stands in very many texts by chance.
+LEAST_WORDS = WINDOW
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The documents without a leak of an item of `least_words` words or more, with the columns of the input. Shorter items are
+    reported by `leaks` alone."""
+    found = leaks(docs, benchmark, similarity).where(F.col("n_item_words") >= least_words)
+    bad = C.stage(found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct(), "leaked")
     bad = C.bounded_broadcast(bad, bad.count())
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
     held = held.withColumns({"__doc": F.col("__row.doc_id"), "__hash": F.xxhash64("__row.text")})

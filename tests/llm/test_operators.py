@@ -15,6 +15,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -623,6 +624,42 @@ def test_sharding(docs, none):
     assert max(load.values()) <= max(1.02 * sum(weights) / 24, sum(weights) / 24 + 999)  # whole slots move
 
 
+def plain_map(shards):
+    """Shard of each slot, grown one shard at a time by plain loops."""
+    where = [0] * sharding.SLOTS
+    for new in range(1, shards):
+        for _ in range(sharding.SLOTS // (new + 1)):
+            counts = [where.count(s) for s in range(new)]
+            giver = counts.index(max(counts))
+            where[max(i for i, s in enumerate(where) if s == giver)] = new
+    return where
+
+
+def test_sharding_by_plain_loops(docs, monkeypatch):
+    """Slots, shards before and after growth, and places, from the documents alone."""
+    monkeypatch.setattr(sharding, "SLOTS", 128)
+    rows = sharding.assign(docs, 5, 128).collect()
+    now, grown = plain_map(5), plain_map(6)
+    want = []
+    for r in docs.collect():
+        h = 42 if r.doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), 42)
+        slot = (h - (1 << 64) if h >= 1 << 63 else h) % 128
+        raw = (r.text or "").encode()
+        want.append((str(r.doc_id), len(raw) + 8, zlib.crc32(raw), slot, now[slot], grown[slot]))
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32, r.vslot, r.shard, r.grown_shard) for r in rows) == sorted(want)
+    for shard in range(5):
+        assert sorted(r.place for r in rows if r.shard == shard) == list(range(sum(w[4] == shard for w in want)))
+
+
+def test_short_items(spark):
+    """An item of a few words is reported, and takes documents away only where that is asked for."""
+    texts = spark.createDataFrame([(1, "Who knows what the owl sees at night"), (2, "who is it"), (3, "the quick brown fox jumps over the lazy dog"), (4, "nothing here")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "Who?"), ("b", "The quick brown fox jumps over the lazy dog.")], "item_id string, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(texts, items).collect()} == {(1, "a"), (2, "a"), (3, "b")}
+    kept = lambda **how: sorted(r.doc_id for r in decontam.clean(texts, items, **how).collect())
+    assert kept() == [1, 2, 4] and kept(least_words=1) == [4] and kept(least_words=20) == [1, 2, 3, 4]
+
+
 def test_repeated_rows_of_a_shard(spark):
     """A row that is repeated more often than a piece has rows."""
     mine = spark.range(9000).selectExpr("if(id % 3 = 0, id, 7) as doc_id", "if(id % 3 = 0, 'x', null) as text")
