@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. run() writes each stage's rows as Parquet in the shared folder
 and reads them back as the next stage's documents. All stages but the last return the columns of documents.
+
+Defined cases: a null text counts as empty, which the quality rules reject; rows with a null id or source are documents like others; repeated
+rows are one class of near-duplicates, of which the row with the smallest id stays (of rows alike in all columns, one); an empty table, or
+one of which a stage keeps nothing, ends in no rows; benchmark items of fewer than five words take no document away.
 """
 
 from __future__ import annotations
