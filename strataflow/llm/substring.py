@@ -47,8 +47,10 @@ BLOCK_BYTES = 4 << 20
 LOCAL_WINDOWS, SHARD_WINDOWS = 1 << 15, 1 << 12
 #: Words that meet in one reference shard, about.
 SHARD_WORDS = 50_000
-#: Groups of hashes that a task compares, one after the other.
-BUCKETS_A_TASK = 4
+#: Groups of hashes that a task compares, one after the other: so many at least, and one for so much text of the input. A word
+#: begins one window at most, which is 12 bytes in a group and some 100 while the group is compared; so a group takes about
+#: 130 MB for words of six bytes, whatever the input, and three times as much if all words were of one letter.
+BUCKETS_A_TASK, BUCKET_BYTES = 4, 8 << 20
 
 
 def sliding(x: np.ndarray, n: int, best=np.minimum) -> np.ndarray:
@@ -237,12 +239,14 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _by_bucket(name: str, values: np.ndarray, buckets: int, numbers: np.ndarray | None = None, note: bytes = b"") -> pa.RecordBatch:
-    """A row for each bucket of hashes, ascending, with their numbers; and one with bucket -1, which stands for the block."""
+    """A row for each bucket of hashes that the block has, ascending, with their numbers; and one with bucket -1, which stands for
+    the block. So rows are no more than hashes, however many buckets there are."""
     bucket = (values % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((values, bucket))
-    values, cuts = values[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+    values, bucket = values[order], bucket[order]
+    cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
     numbers = numbers[order].astype(np.uint32) if numbers is not None else None
-    rows = [(b, name, values[x:y].tobytes(), numbers[x:y].tobytes() if numbers is not None else b"") for b, (x, y) in enumerate(pairwise(cuts.tolist())) if x < y]
+    rows = [(int(bucket[x]), name, values[x:y].tobytes(), numbers[x:y].tobytes() if numbers is not None else b"") for x, y in pairwise(cuts)]
     return _rows([(-1, name, note, b""), *rows])
 
 
@@ -454,13 +458,14 @@ OUTPUTS = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(),
 TYPES = {"doc_id": "long", "n_words": "long", "n_removed": "long", "kept_sha256": "string", "spans": "array<int>", "kept": "binary"}
 
 
-def dedup(docs: DataFrame, outputs: tuple[str, ...] = ("doc_id", "n_words", "n_removed", "kept_sha256"), block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, outputs: tuple[str, ...] = ("doc_id", "n_words", "n_removed", "kept_sha256"), block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """For every document, of these: doc_id, n_words, n_removed, kept_sha256 (of the words left, joined by a space), spans ([begin,
     end) pairs of words removed, as a flat list) and kept (the words left, in UTF-8)."""
     spark = docs.sparkSession
     C.ready_python(spark)
     folder, wide = C.fresh_path(spark, "substring-blocks"), C.shuffle_width(spark)
-    buckets = wide * BUCKETS_A_TASK
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(max(wide * BUCKETS_A_TASK, -(-size // bucket_bytes)), (1 << 31) - 1)
 
     def meet(rows: DataFrame) -> DataFrame:
         return rows.where("bucket >= 0").repartition(wide, "bucket").sortWithinPartitions("bucket", "block")

@@ -300,12 +300,12 @@ def brute_substring(rows):
     return want
 
 
-@pytest.mark.parametrize("block", [1 << 23, 3000])
-def test_substring(docs, none, block):
+@pytest.mark.parametrize(("block", "bucket"), [(1 << 23, 1 << 23), (3000, 1 << 23), (3000, 100)])
+def test_substring(docs, none, block, bucket):
     rows = docs.collect()
     want = brute_substring(rows)
     sha = lambda x: hashlib.sha256(x).hexdigest()
-    got = substring.dedup(docs, outputs=(*substring.OUTPUTS,), block_bytes=block, shard_words=500).collect()
+    got = substring.dedup(docs, outputs=(*substring.OUTPUTS,), block_bytes=block, shard_words=500, bucket_bytes=bucket).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(
         (str(r.doc_id), *(lambda n, m, kept: (n, m, sha(kept)))(*want.get((r.doc_id, r.text), (0, 0, b"")))) for r in rows
     )
@@ -332,6 +332,19 @@ def test_substring_of_likely_repeats(spark, seed):
     assert got == {k[0]: (n, m, bytearray(kept)) for k, (n, m, kept) in want.items()}
 
 
+@pytest.mark.parametrize("buckets", [1, 7, 1 << 30])
+def test_buckets_of_a_block(buckets):
+    """Each hash in its bucket with its number, no empty bucket, the block's row first; so rows are no more than hashes."""
+    values = np.random.default_rng(3).integers(0, 1 << 63, 500, dtype=np.uint64)
+    rows = substring._by_bucket("b", values, buckets, np.arange(500)).to_pylist()
+    assert rows[0]["bucket"] == -1 and 1 <= len(rows) - 1 <= min(buckets, 500) and [r["bucket"] for r in rows] == sorted({r["bucket"] for r in rows})
+    for r in rows[1:]:
+        a, b = np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.uint32)
+        assert len(a) and (values[b] == a).all() and (a % np.uint64(buckets) == r["bucket"]).all()
+    assert sum(len(r["b"]) // 4 for r in rows[1:]) == 500
+    assert len(substring._by_bucket("b", values[:0], buckets)) == 1
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_automaton(seed):
     """Spans of several stretches against the runs that came before, in all of them."""
