@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import learning_queries, lifecycle_queries, model_queries, numeric_queries, physics_queries, search_queries, solver_queries, store_queries, table_queries, text_queries  # noqa: F401  they register their queries
+from .plans import catalogue_queries, learning_queries, lifecycle_queries, model_queries, numeric_queries, physics_queries, search_queries, solver_queries, store_queries, table_queries, text_queries  # noqa: F401  they register their queries
 from .plans.registry import ORACLES, QUERIES, Query
 
 
