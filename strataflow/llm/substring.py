@@ -13,9 +13,12 @@ text alone. What is streamed together, and in which order, is arranged as follow
    copies are removed there, so a passage or a document that is repeated without end leaves each block once.
 3. Windows that are left are grouped by hash over all blocks. All that are in one group, or in groups next to each other, meet
    in one reference shard, where their words are streamed through the shard's automaton in the order of documents.
+4. Of stretches of a shard that are equal word for word (by SHA-256), only the first in the order of documents is streamed: all
+   windows of the others start earlier in that one, so they go whole. A passage that stands in every block, or a document of which
+   a third of all rows are copies, so comes to its shard once; its copies are found on narrow rows, summed up before the shuffle.
 
 An automaton isn't broadcast to all tasks, since the reference is the corpus itself: stretches are sent to the shard that their
-group names. Hashes only decide what meets; two windows with one hash meet in vain, and no collision removes or keeps a word.
+group names. Hashes of windows only decide what meets; two windows with one hash meet in vain, and no collision removes or keeps a word.
 Windows are judged on the input.
 
 Defined cases: a null or blank text has no words; a null doc_id comes after all others; equal ids are ordered by a hash of the
@@ -352,17 +355,23 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows([(r[0], r[1], numbers[at[x:y]].tobytes(), meet[x:y].tobytes()) for r, (x, y) in zip(rows, pairwise(cuts.tolist()), strict=True) if x < y])
 
 
-PIECE_SCHEMA = "shard int, none boolean, id long, tie long, block string, text int, begin int, piece binary"
+STRETCH = "shard int, none boolean, id long, tie long, block string, text int, begin int"
+STRETCH_TYPES = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())
+PIECE_SCHEMA, DIGEST_SCHEMA = f"{STRETCH}, piece binary", f"{STRETCH}, n int, digest binary"
 
 
-def _piece_rows(folder: str, shards: int):
-    """Rows (block, lists of window numbers, lists of meeting parts): the words of the stretches that go to each shard."""
+def _piece_rows(folder: str, shards: int, digests: bool):
+    """Rows (block, lists of window numbers, lists of meeting parts, stretches to leave out): the stretches that go to each shard,
+    with their words or with their number and a digest of them."""
+    names = [f.split()[0] for f in (DIGEST_SCHEMA if digests else PIECE_SCHEMA).split(", ")]
+    kinds = (*STRETCH_TYPES, pa.int32(), pa.binary()) if digests else (*STRETCH_TYPES, pa.binary())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for name, a, b, out in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
                 windows = np.frombuffer(b"".join(a.as_py()), np.uint32).astype(np.int64)
                 shard = np.frombuffer(b"".join(b.as_py()), np.uint32).astype(np.int64) % shards
+                left_out = {(x["shard"], x["text"], x["begin"]) for x in out.as_py() or ()}
                 table = _read(folder, name)
                 sizes = np.maximum(table.column("n_words").to_numpy() - WINDOW + 1, 0)
                 first = np.cumsum(sizes) - sizes
@@ -371,16 +380,25 @@ def _piece_rows(folder: str, shards: int):
                 rows, split = [], (-1, [])
                 # one text after the other, so that each is split once
                 for k, group, x, y in sorted((k, group, x, y) for group, k, x, y in stretches(shard, text, windows - first[text])):
+                    if (group, k, x) in left_out:
+                        continue
                     if split[0] != k:
                         split = k, texts[k].as_py().split()
-                    rows.append((group, ids[k] is None, ids[k] or 0, tie[k], name, k, x, b" ".join(split[1][x:y])))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-                kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "none", "id", "tie", "block", "text", "begin", "piece"])
+                    piece = b" ".join(split[1][x:y])
+                    rows.append((group, ids[k] is None, ids[k] or 0, tie[k], name, k, x, *((y - x, hashlib.sha256(piece).digest()) if digests else (piece,))))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     return cut
 
 
+def _copy_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, stretches): the spans that they cover."""
+    for batch in batches:
+        for name, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield _rows([(0, name, flat_bytes([v for x in found.as_py() for v in (x["text"], x["begin"], x["begin"] + x["n"])]), b"")])
+
+
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of stretches, sorted by shard and in the order of documents: the spans that go, as flat (text, begin, end). Stretches
     of one document that several blocks hold, since its row is repeated, are streamed once where they overlap."""
@@ -481,9 +499,18 @@ def dedup(docs: DataFrame, outputs: tuple[str, ...] = ("doc_id", "n_words", "n_r
     shared = C.stage(meet(windows).mapInArrow(_grouped, BUCKET_SCHEMA), "substring-shared")
     n = shared.agg(F.coalesce(F.sum(F.length("a")), F.lit(0))).first()[0] // 4
     by_block = own(shared).agg(F.collect_list(F.struct("a", "b")).alias("x")).select("block", "x.a", "x.b")
-    pieces = by_block.mapInArrow(_piece_rows(folder, max(1, n // shard_words)), PIECE_SCHEMA)
+    shards, leave = max(1, n // shard_words), "array<struct<shard:int,text:int,begin:int,n:int>>"
+    found = by_block.withColumn("c", F.lit(None).cast(leave)).mapInArrow(_piece_rows(folder, shards, True), DIGEST_SCHEMA)
+    found = C.stage(found, "substring-stretches")
+    place = F.struct("none", "id", "tie", "begin")
+    first = found.groupBy("shard", "digest").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
+    later = found.join(first, ["shard", "digest"]).where(place > F.col("first"))
+    copies = C.stage(own(later).agg(F.collect_list(F.struct("shard", "text", "begin", "n")).alias("c")), "substring-copies")
+    C.discard(found)
+    pieces = by_block.join(copies, "block", "left").mapInArrow(_piece_rows(folder, shards, False), PIECE_SCHEMA)
     pieces = pieces.repartition(wide * 2, "shard").sortWithinPartitions("shard", "none", "id", "tie", "begin")
     spans = C.stage(pieces.mapInArrow(_stream, BUCKET_SCHEMA), "substring-spans")
+    spans = spans.union(copies.mapInArrow(_copy_spans, BUCKET_SCHEMA))
     spans = spans.select("block", "a").union(windows.where("bucket < 0").select("block", "a")).union(blocks)
     by_block = own(spans).agg(F.collect_list("a").alias("a"))
     return by_block.mapInArrow(_results(folder, {c: OUTPUTS[c] for c in outputs}), ", ".join(f"{c} {TYPES[c]}" for c in outputs))

@@ -332,6 +332,21 @@ def test_substring_of_likely_repeats(spark, seed):
     assert got == {k[0]: (n, m, bytearray(kept)) for k, (n, m, kept) in want.items()}
 
 
+def test_substring_of_copies_in_every_block(spark):
+    """A document and a passage that stand in every block, rows that repeat id and text in several, null ids, periodic copies."""
+    rng = random.Random(4)
+    word = lambda: rng.choice(["ab", "cd", "ef", "gh", "ij", "kl", "mn"])
+    whole, passage = (" ".join(f"{x}{i}" for i in range(90)) for x in "qz")
+    texts = [" ".join(word() for _ in range(60)) for _ in range(40)]
+    rows = [(100 + i, whole) for i in range(40)] + [(300 + i, f"{t} {passage} {t}") for i, t in enumerate(texts)]
+    rows += [(7, f"{passage} x {passage}")] * 30 + [(None, whole), (None, passage), (50, f"{whole} {whole}"), (5, "p q r " * 30), (9, "p q r " * 30)]
+    rng.shuffle(rows)
+    mine = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute_substring(mine.collect())
+    got = substring.dedup(mine, outputs=("doc_id", "n_words", "n_removed", "kept"), block_bytes=2500, shard_words=300).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, bytes(r.kept)) for r in got) == sorted((str(i), *want[i, t]) for i, t in rows)
+
+
 @pytest.mark.parametrize("buckets", [1, 7, 1 << 30])
 def test_buckets_of_a_block(buckets):
     """Each hash in its bucket with its number, no empty bucket, the block's row first; so rows are no more than hashes."""
