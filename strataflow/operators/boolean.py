@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, index_terms
@@ -174,3 +174,23 @@ def scores(index: DataFrame, wanted: list[str]) -> DataFrame:
 def _join_terms(index: DataFrame, wanted: list[str]) -> DataFrame:
     asked = index.sparkSession.createDataFrame([(t,) for t in wanted], "term string")
     return index.where(F.col("term").isin(wanted)).join(F.broadcast(asked), "term")
+
+
+def best_scores(index: DataFrame, asked: list[tuple[int, str]], k: int) -> DataFrame:
+    """(qid, doc_id, score, place): the k best documents of each query, which are given as (qid, term) and answered together; ties go
+    to the smaller id. A term that a query lists twice counts twice.
+
+    Posting lists, not hits, are shuffled, to the task of their query and part. Documents are summed there, and only each task's
+    best k of a query go on to the last ranking, so its window sees k rows a task."""
+    known: dict[str, list[int]] = {}
+    for qid, term in asked:
+        known.setdefault(term, []).append(qid)
+    if not known:
+        asked_for = F.array().cast("array<bigint>")
+    else:
+        asked_for = F.create_map(*[c for t, q in known.items() for c in (F.lit(t), F.array(*[F.lit(i).cast("long") for i in q]))])[F.col("term")]
+    rows = index.where(F.col("term").isin(list(known))).select(F.explode(asked_for).alias("qid"), "part", "ids", "freqs").repartition("qid", "part")
+    hits = rows.select("qid", "part", F.explode(F.arrays_zip("ids", "freqs")).alias("x"))
+    scored = hits.groupBy("qid", "part", F.col("x.ids").alias("doc_id")).agg(F.sum("x.freqs").alias("score"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")).cast("long")
+    return scored.select("qid", "doc_id", "score").withColumn("place", place).where(F.col("place") <= k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stem_en, stem_ru
@@ -105,12 +105,7 @@ from (select *, row_number() over (partition by qid order by score desc, doc_id)
 def multi_query_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best documents of each of several queries, answered together."""
     asked = [(1, "the"), (1, "for"), (2, "les"), (3, "und"), (3, "der"), (4, "zzzz")]
-    q = spark.createDataFrame(asked, "qid long, term string")
-    lists, _ = search_index(spark, sf_dir)
-    rows = lists.where(F.col("term").isin([t for _, t in asked])).join(F.broadcast(q), "term")
-    scored = rows.select("qid", F.explode(F.arrays_zip("ids", "freqs")).alias("x")).groupBy("qid", F.col("x.ids").alias("doc_id")).agg(F.sum("x.freqs").alias("score"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")).cast("long")
-    return scored.withColumn("place", place).where("place <= 20").select("qid", "doc_id", "score", "place")
+    return boolean.best_scores(search_index(spark, sf_dir)[0], asked, 20)
 
 
 _STEMMED: dict[str, str] = {}

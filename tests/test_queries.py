@@ -8,7 +8,7 @@ import pytest
 
 from strataflow import catalogue
 from strataflow.functions.stem_ru import stem
-from strataflow.operators.boolean import parse_left_to_right, parse_precedence, posting_lists, search, universe
+from strataflow.operators.boolean import best_scores, parse_left_to_right, parse_precedence, posting_lists, search, universe
 from strataflow.session import TABLES
 
 DATA = "/root/testdata/sf0.001"
@@ -78,6 +78,21 @@ def test_boolean(spark, text, mode, want, parts):
     assert {r.doc_id for r in search(posting_lists(docs, parts), universe(docs, parts), text, mode).collect()} == want
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_best_scores(spark, parts):
+    """Against a plain count, with ties, a term listed twice, a query without hits and none at all."""
+    texts = [(i, " ".join(["java"] * (i % 3) + ["python"] * (i % 4))) for i in range(40)]
+    asked = [(1, "java"), (1, "python"), (2, "python"), (2, "python"), (3, "missing")]
+    index = posting_lists(spark.createDataFrame(texts, "doc_id long, text string"), parts)
+    want = []
+    for qid in (1, 2, 3):
+        hits = [(-sum(t.split().count(w) for q, w in asked if q == qid), i) for i, t in texts]
+        want += [(qid, i, -s, n + 1) for n, (s, i) in enumerate(sorted(h for h in hits if h[0])[:7])]
+    got = best_scores(index, asked, 7)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert best_scores(index, [], 7).count() == 0
+
+
 def test_trees():
     assert parse_left_to_right("a or b and c").kind == "AND"
     assert parse_precedence("a or b and c").kind == "OR"
