@@ -1,9 +1,10 @@
 """Links between texts whose sets of word runs are alike: all pairs with a Jaccard similarity of SIMILARITY or more, exactly.
 
-In an order of all shingles, two sets that are so alike share one of the first n - ceil(SIMILARITY * n) + 1 shingles of each.
-Sets that share one there, and lie close enough in size, are chained; connected components of the chains hold every pair that
-counts, and each component's texts are compared in full. Any order gives the same pairs. Shingles that are frequent in a sample
-come last, so that passages which many texts share chain few of them.
+In an order of all shingles, two sets that are so alike share k of the first n - ceil(SIMILARITY * n) + k shingles of each, for the
+k of the smaller set. k is a tenth of a set, so a passage that two texts share, or a chance, rarely makes a pair of them. Pairs are counted
+over the shingles that up to SHARED sets have in front; the sets that share one which more have are chained without being counted.
+Connected components of chains and counted pairs hold every pair that counts, and each component's texts are compared in full. Any
+order gives the same pairs. Shingles that are frequent in a sample come last, so that passages which many texts share chain few of them.
 
 Components with more than GROUP_LIMIT shingles are cut into chunks, and every two chunks are compared as a group of their own.
 
@@ -12,6 +13,7 @@ Defined cases: texts of fewer than SHINGLE words have all their words as one shi
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Shingles of texts that are compared as one group, about; what a task holds is bounded by them.
 GROUP_LIMIT = 2_000_000
+#: Most sets with the same shingle in front whose pairs are counted, and rows that a task gathers before it looks for pairs.
+SHARED, GATHER = 32, 50_000
 #: Texts that show which shingles are frequent.
 SAMPLE = 64_000
 SLACK = 1e-9
@@ -50,11 +54,16 @@ def frequent(docs: DataFrame, shingle: int, sample: int = SAMPLE) -> tuple[np.nd
 
 
 def prefix(own: np.ndarray, known: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set, one of which any set that is alike has among its own first ones."""
+    """The first shingles of a set; a set that is alike has at least `shared` of the smaller one's size in common with them in front."""
     if len(known):
         at = np.minimum(np.searchsorted(known, own), len(known) - 1)
         own = own[np.lexsort((own, np.where(known[at] == own, counts[at], 0)))]
-    return own[: len(own) - int(np.ceil(similarity * len(own) - SLACK)) + 1]
+    return own[: len(own) - int(np.ceil(similarity * len(own) - SLACK)) + int(shared(len(own)))]
+
+
+def shared(n):
+    """How many of their first shingles two sets that are alike have in common, the smaller of n shingles."""
+    return np.maximum(1, n // 10)
 
 
 def set_table(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -62,7 +71,8 @@ def set_table(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     import xxhash
 
     C.ready_python(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, shingle))
+    known = docs.sparkSession.sparkContext.broadcast(frequent(docs, shingle))
+    C.release(docs.sparkSession)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(shingle)
@@ -71,7 +81,7 @@ def set_table(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
             some = pa.array([len(x) > 0 for x in sets])
             sets = [x for x in sets if len(x)]
             keys = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
-            heads = [prefix(x, *shared.value, similarity) for x in sets]
+            heads = [prefix(x, *known.value, similarity) for x in sets]
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             flat = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
@@ -83,20 +93,55 @@ def set_table(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return C.stage(rows.mapInArrow(made, "doc_id long, text_hash long, key long, n int, prefix array<long>"), "shingle-sets")
 
 
-def chains(sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of keys next to each other among the sets, by size, that have a shingle in their prefixes."""
+def group_pairs(h: np.ndarray, n: np.ndarray, key: np.ndarray, similarity: float, limit: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, need) from rows by (h, n, key), whole groups of h: in groups of up to `limit` rows all pairs close in size, with the count that
+    they need; in larger ones neighbours, which need none."""
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    size = np.diff(np.concatenate((first, [len(h)])))
+    large = np.repeat(size > limit, size)
+    for d in range(1, max(2, min(limit, int(size.max(initial=0))))):
+        near = (h[d:] == h[:-d]) & (n[:-d] >= similarity * n[d:] - SLACK)
+        near &= ~large[d:] if d > 1 else True
+        at = np.flatnonzero(near)
+        yield key[at], key[at + d], np.where(large[at], 0, shared(n[at]))
 
-    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = [np.zeros(0, np.int64)] * 3
-        for batch in batches:
-            h, n, key = (np.concatenate((x, batch.column(i).to_numpy().astype(np.int64))) for i, x in enumerate(last))
-            near = (h[1:] == h[:-1]) & (n[:-1] >= similarity * n[1:] - SLACK)
-            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][near]), pa.array(key[1:][near])], ["a", "b"])
-            last = [h[-1:], n[-1:], key[-1:]]
 
-    rows = sets.select("key", "n", "prefix").dropDuplicates(["key"]).select(F.explode("prefix").alias("h"), "n", "key")
+def chains(sets: DataFrame, similarity: float, limit: int = SHARED, gather: int = GATHER) -> DataFrame:
+    """Pairs (a, b) of keys whose connected components hold all pairs of sets that are alike. Rows of equal sets are made one where
+    they meet, so that their prefixes aren't shuffled twice."""
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(*rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for found in group_pairs(*rows, similarity, limit):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "need"])
+
+        held, rows, chain = [], 0, None  # chain: the last row of a group that is too large to hold
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
+                rows += batch.num_rows
+            if not rows or batch is not None and rows < gather:
+                continue
+            h, n, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])))
+            h, n, key = h[new], n[new], key[new]
+            if chain is not None:
+                more = int(np.searchsorted(h, chain[0], "right"))  # rows of that group come first
+                ends_n, ends_key = np.concatenate(([chain[1]], n[:more])), np.concatenate(([chain[2]], key[:more]))
+                near = np.flatnonzero(ends_n[:-1] >= similarity * ends_n[1:] - SLACK)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ends_key[near], ends_key[near + 1], 0 * near)], ["a", "b", "need"])
+                chain = (chain[0], ends_n[-1], ends_key[-1]) if more == len(h) else None
+                h, n, key = h[more:], n[more:], key[more:]
+            end = len(h) if batch is None or not len(h) else int(np.searchsorted(h, h[-1], "left"))
+            if len(h) - end > limit:
+                end, chain = len(h), (h[-1], n[-1], key[-1])
+            yield from pairs(h[:end], n[:end], key[:end])
+            held, rows = [[h[end:], n[end:], key[end:]]], len(h) - end
+
+    rows = sets.select(F.explode("prefix").alias("h"), "n", "key")
     rows = rows.repartition(C.shuffle_width(sets.sparkSession) * 2, "h").sortWithinPartitions("h", "n", "key")
-    return rows.mapInArrow(chained, "a long, b long")
+    found = rows.mapInArrow(chained, "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    return found.where("n >= need and a <> b").select("a", "b")
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:

@@ -775,3 +775,42 @@ def test_pipeline(spark):
     copies = Counter(r.doc_id for r in docs.collect())
     assert Counter(r.doc_id for r in out.collect()) == copies and max(copies.values()) <= 2
     assert sorted(map(str, corpus_pipeline.run(spark, data).collect())) == sorted(map(str, out.collect()))
+
+
+def test_jaccard_chains_need_more_than_a_passage(spark):
+    """Texts that share a passage alone make no pair; texts that are alike do, through counted and through large groups."""
+    rng = random.Random(7)
+    made = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        passage = made(54)
+        texts += [made(250) + passage + made(250) for _ in range(3)]
+    apart = len(texts)
+    for copies in (2, 3, 9):
+        base = made(300)
+        texts += [base[:j] + made(3) + base[j:] for j in range(10, 10 + 30 * copies, 30)]
+    texts.append(texts[0])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    sets = jaccard.set_table(docs, 5, 0.8)
+    key = {r.doc_id: r.key for r in sets.collect()}
+    assert key[0] == key[len(texts) - 1]
+    grams = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    alike = {(i, j) for i in range(len(texts)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])}
+    for limit in (2, 4, 32):
+        pairs = {(r.a, r.b) for r in jaccard.chains(sets, 0.8, limit).collect()}
+        root = {k: k for k in key.values()}
+        for a, b in pairs:
+            old, new = root[a], root[b]
+            root = {k: new if r == old else r for k, r in root.items()}
+        assert all(root[key[i]] == root[key[j]] for i, j in alike)
+        if limit > 3:
+            assert len({root[key[i]] for i in range(apart)}) == apart
+
+
+def test_jaccard_chains_cross_batches(spark):
+    """Groups that go on over many gathered blocks lose no neighbour."""
+    rows = [(i, i % 97 + 400, [5, 7 + i // 40, 1000 + i]) for i in range(3000)] + [(i, i % 97 + 400, [5]) for i in range(100)]
+    sets = spark.createDataFrame(rows, "key long, n int, prefix array<long>")
+    found = {(r.a, r.b) for r in jaccard.chains(sets, 0.8, gather=700).collect()}
+    by_size = [k for _, k in sorted((n, k) for k, n, _ in rows[:3000])]
+    assert set(zip(by_size, by_size[1:], strict=False)) <= found and all(a != b for a, b in found)
