@@ -33,22 +33,42 @@ GROUP_LIMIT = 2_000_000
 SHARED, GATHER = 32, 50_000
 #: Texts that show which shingles are frequent.
 SAMPLE = 64_000
+#: Bits of a shingle that say where it is counted, and shingles that a task gathers before it deals them out.
+BUCKET_BITS, LISTED = 10, 1_000_000
 SLACK = 1e-9
 
 
 def frequent(docs: DataFrame, shingle: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample have, ascending, and how many have them."""
+    """The first 32 bits of shingles that several texts of a sample have, ascending, and how many have them. The bits are shuffled as
+    arrays, by their first BUCKET_BITS; the few shingles that agree in all 32 count as one, which changes the order alone."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(shingle)
+        def dealt() -> pa.RecordBatch:
+            own = np.sort(np.concatenate(held))
+            ends = np.searchsorted(own, np.arange(1, 1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(32 - BUCKET_BITS))
+            lists = [(i, x.astype("<u4").tobytes()) for i, x in enumerate(np.split(own, ends)) if len(x)]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in lists], pa.int32()), pa.array([x for _, x in lists], pa.binary())], ["bucket", "own"])
+
+        shingles, held = Shingles(shingle), []
         for batch in batches:
-            own = np.concatenate([np.zeros(0, np.uint64), *shingles(batch.column(0).to_pylist())])
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["h"])
+            held += [x >> np.uint64(32) for x in shingles(batch.column(0).to_pylist())]
+            if sum(map(len, held)) >= LISTED:
+                yield dealt()
+                held = []
+        if held:
+            yield dealt()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((i, x) for batch in batches for i, x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, own in itertools.groupby(rows, lambda r: r[0]):
+            h, n = np.unique(np.frombuffer(b"".join(x for _, x in own), "<u4"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].astype(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["h", "n"])
 
     rows = docs.select(F.col("text").cast("binary").alias("text"))
     rows = rows.sample(min(1.0, sample / max(docs.count(), 1)), seed=1)
-    found = rows.mapInArrow(listed, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").toArrow()
-    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    lists = rows.mapInArrow(listed, "bucket int, own binary").repartition(C.shuffle_width(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    found = lists.mapInArrow(counted, "h long, n long").toArrow()
+    h, n = found.column("h").to_numpy().astype(np.uint64), found.column("n").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
@@ -56,8 +76,9 @@ def frequent(docs: DataFrame, shingle: int, sample: int = SAMPLE) -> tuple[np.nd
 def prefix(own: np.ndarray, known: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles of a set; a set that is alike has at least `shared` of the smaller one's size in common with them in front."""
     if len(known):
-        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-        own = own[np.lexsort((own, np.where(known[at] == own, counts[at], 0)))]
+        bits = own >> np.uint64(32)
+        at = np.minimum(np.searchsorted(known, bits), len(known) - 1)
+        own = own[np.lexsort((own, np.where(known[at] == bits, counts[at], 0)))]
     return own[: len(own) - int(np.ceil(similarity * len(own) - SLACK)) + int(shared(len(own)))]
 
 
@@ -187,6 +208,7 @@ def links(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, similarity
     same = same.join(first.select("key", F.col("code").alias("b")), F.col("__key") == F.col("key")).where("a <> b").select("a", "b")
     # the prefixes' shuffle is the largest here
     pairs = C.stage(chains(sets, similarity), "set-chains")
+    C.discard(sets)
     C.release(spark)
     parts = C.stage(components(pairs, "a", "b"), "set-parts")
     some = parts.withColumnRenamed("node", "key").join(first, "key")
@@ -223,5 +245,5 @@ def links(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, similarity
             yield pairs()
 
     found = C.stage(same.union(rows.mapInArrow(compared, "a long, b long")), "set-links")
-    C.discard(sets, pairs, named, first, parts, texts, groups)
+    C.discard(pairs, named, first, parts, texts, groups)
     return found
