@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataflow.operators import clusters, linear_models, neighbours, ranking, trees
+from strataflow.plans import learning_queries
 
 
 def vectors(n, dims=3, seed=1, spread=4):
@@ -40,6 +41,27 @@ def test_nearest_prunes(spark):
     assert neighbours.nearest(neighbours.build(df.limit(0), "id", "v"), df, 5).count() == 0
 
 
+@pytest.mark.parametrize(("n", "k", "block"), [(400, 5, 64), (400, 5, 10_000), (4, 7, 2), (0, 3, 8)])
+def test_nearest_in_blocks(spark, n, k, block):
+    rows = vectors(n)
+    df = spark.createDataFrame([*rows, (1000, None)], "id long, v array<double>").withColumn("label", F.col("id") % 7).repartition(3)
+    got = {}
+    found = neighbours.nearest_in_blocks(df, df.where("id % 3 = 0"), "id", "v", k, ["label"], block)
+    for r in found.collect():
+        assert r.label == r.id % 7
+        got.setdefault(r.q, []).append((r.place, r.dist, r.id))
+    for q, v in rows:
+        if q % 3 == 0:
+            want = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)[:k]
+            assert [(p, d, i) for p, d, i in sorted(got.get(q, []))] == [(p + 1, d, i) for p, (d, i) in enumerate(want)]
+
+
+def test_knn_compares_in_blocks(spark):
+    """Vectors meet by blocks, not as rows of pairs whose distances Spark's expressions compute."""
+    plan = learning_queries.knn_classify(spark, "/root/testdata/sf0.01")._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "zip_with" not in plan
+
+
 def plain_tree(x, ys, w, depth, min_split, min_leaf, cut, node=0):
     """{leaf or split by node}, by trying every cut."""
     n = sum(w)
