@@ -107,3 +107,28 @@ def test_texts_with_nulls(spark, tmp_path):
     rows = [(1, "a\nb\tc"), (2, ""), (3, None), (None, "x"), (None, None)]
     path = files.write_texts(spark.createDataFrame(rows, "id long, body string"), "id", "body", str(tmp_path / "t"))
     assert sorted(map(tuple, files.read_texts(spark, path, "id long, body string").collect()), key=str) == sorted(rows, key=str)
+
+
+def test_lists_are_shuffled_once(spark, monkeypatch):
+    """Against plain counts, over many tasks; documents of equal ids are one; lists, not postings, are shuffled, and once."""
+    texts = [(i % 37, " ".join(f"word{(i * k) % 11} the" for k in range(i % 9))) for i in range(400)] + [(None, "lost word1"), (50, None), (51, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    want = {}
+    for i, t in texts:
+        for w in (t or "").split() if i is not None else []:
+            want.setdefault(w, {}).setdefault(i, 0)
+            want[w][i] += 1
+    monkeypatch.setattr(boolean, "GATHER", 50)
+    plain = spark.createDataFrame([(t, 0, [i], [n]) for t, x in sorted(want.items()) for i, n in sorted(x.items(), reverse=True)] * 2, boolean.LIST_SCHEMA)
+    rows = plain.orderBy("term").toArrow().to_batches(max_chunksize=9)
+    twice = [r for b in boolean._merged(iter(rows)) for r in b.to_pylist()]
+    assert {r["term"]: dict(zip(r["ids"], r["freqs"], strict=True)) for r in twice} == {t: {i: 2 * n for i, n in x.items()} for t, x in want.items()} and len(twice) == len(want)
+    for parts in (1, 3):
+        found = boolean.posting_lists(docs, parts)
+        got = {}
+        for r in found.collect():
+            assert r.ids == sorted(set(r.ids)) and not set(r.ids) & set(got.get(r.term, {}))
+            got.setdefault(r.term, {}).update(zip(r.ids, r.freqs, strict=True))
+        assert got == want
+        plan = boolean.posting_lists(docs, parts)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan
