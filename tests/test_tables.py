@@ -177,3 +177,20 @@ def test_jobs_in_order(spark):
 def _jobs(spark):
     spark.read.parquet(f"{DATA}/orders.parquet").createOrReplaceTempView("orders")
     return spark.sql(table_queries.JOBS).collect()
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_levels_in_blocks(spark, size):
+    """Rounds are as many as the blocks that a path crosses: a ladder of 400 layers, whose nodes have two edges in and two out, takes few."""
+    rng = random.Random(9)
+    ladder = [(2 * i + x, 2 * i + 2 + y) for i in range(400 if size > 7 else 12) for x in (0, 1) for y in (0, 1)]
+    hub = [(5_000, 5_001 + i) for i in range(30)] + [(5_001 + i, 6_000) for i in range(30)]
+    ring = [(7_000 + i, 7_000 + (i + 1) % 40) for i in range(40)] + [(7_005, 8_000), (8_000, 8_001)]
+    free = [(9_000 + i, 9_000 + (i + 1) % 23) for i in range(23)]
+    pairs = [*ladder, *hub, *ring, *free, *((rng.randrange(10_000, 10_030), rng.randrange(10_030, 10_060)) for _ in range(60))]
+    ran = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"levels {size}", "levels")
+    got = graphs.levels(spark.createDataFrame(pairs, "a long, b long"), "a", "b", size).collect()
+    assert {r.node: r.level for r in got} == plain_levels(pairs)
+    assert size < 1000 or len(ran.getJobIdsForGroup(f"levels {size}")) < 300
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
