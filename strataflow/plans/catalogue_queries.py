@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import links, tokens
 from ..operators import catalogue
-from ..session import table, views
+from ..session import spread, table, views
 from .registry import query, sql
 
 # References are written in four ways by the page's number: from the root, from the page's folder, from the folder above, with a host.
@@ -110,7 +110,9 @@ union all select '{k} of', id, null, article from whole)"""
 @query(EDITED)
 def catalogue_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue's names and bridges after articles were uploaded, edited and dropped, without names that no article has."""
-    views(spark, sf_dir, "customer", "part", "orders", "lineitem", "supplier")
+    used = ("customer", "part", "orders", "lineitem", "supplier")
+    spread(spark, sf_dir, *used)
+    views(spark, sf_dir, *used)
     out = []
     for kind in NAMES:
         names, bridge = catalogue.edit(spark.sql(NAMES[kind]), spark.sql(BRIDGES[kind]), spark.sql(ASKED[kind]), spark.sql(DROPPED))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strataflow.functions import links, tokens
 from strataflow.operators import catalogue
 from strataflow.plans.catalogue_queries import parse_article
+from strataflow.session import spread
 
 BASES = ["http://a/b/c/d;p?q", "https://Ex.org", "https://u@ex.org:8080/x/?k=/../z#f/..", "http://ex.org/a/./b/../c", "http://ex.org/ü/y"]
 # the references of RFC 3986, 5.4, but for those that older rules read in another way
@@ -92,6 +93,30 @@ def test_edits(spark, seed):
     assert whole.count() == len(bridge) and {r.id for r in left.collect()} == {i for _, i in bridge}
 
 
+@pytest.mark.parametrize("frequent", [1, 40, 1000])
+def test_frequent_names(spark, frequent):
+    """Names that many articles ask for are joined where their rows are, and give the rows that the others give."""
+    rng = random.Random(3)
+    asked = [(i, "often" if i % 3 else f"n{rng.randrange(20)}") for i in range(300)]
+    known = [(7, "often"), (5, "often"), (9, "unused"), *((100 + i, f"n{i}") for i in range(20))]
+    least = {n: min(i for i, m in known if m == n) for _, n in known}
+    got = catalogue.numbered(spark.createDataFrame(asked, "article long, name string").repartition(4), spark.createDataFrame(known, "id long, name string"), frequent)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((a, least[n]) for a, n in asked)
+
+
+def test_spread(spark, tmp_path):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")
+    held = {n: spark.conf.get(n) for n in names}
+    spark.range(5000).write.parquet(str(tmp_path / "t.parquet"))
+    size = sum(f.stat().st_size for f in (tmp_path / "t.parquet").glob("*.parquet"))
+    spread(spark, str(tmp_path), "t", size=size)
+    assert spark.conf.get(names[0]) == held[names[0]]
+    spread(spark, str(tmp_path), "t", size=-(-size // 50))
+    assert int(spark.conf.get(names[0])) in (49, 50) and int(spark.conf.get(names[1])) == -(-size // 50)
+    for n, v in held.items():
+        spark.conf.set(n, v)
+
+
 def test_accounts(spark):
     users = spark.createDataFrame([(1,), (2,), (3,)], "user long")
     articles = spark.createDataFrame([(10, 1), (11, 2), (12, None), (13, 9)], "article long, uploaded_by long")
