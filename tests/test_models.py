@@ -225,3 +225,20 @@ def test_running_by(spark):
             total += n
             want.add((g, v, float(total), own[i + 1][0] if i + 1 < len(own) else None))
     assert {(r.g, r.v, r.upto, r.next_v) for r in got} == want
+
+
+def test_rows_of_models_in_pieces(spark, tmp_path, monkeypatch):
+    """A model's task holds a piece of the lines, however many there are."""
+    held = {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    lines.coalesce(1).write.option("parquet.block.size", 1 << 16).parquet(str(tmp_path / "lineitem.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    assert learning_queries._lines(spark, str(tmp_path)).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(learning_queries, "MODEL_BYTES", 1 << 17)
+    rows = learning_queries._lines(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() > 4 and rows.count() == lines.count()
+    for n in ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"):
+        spark.conf.unset(n)
+    for n, v in held.items():
+        spark.conf.set(n, v)
