@@ -132,3 +132,8 @@ def test_lists_are_shuffled_once(spark, monkeypatch):
         assert got == want
         plan = boolean.posting_lists(docs, parts)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan
+
+
+def test_evaluation_shuffles_its_terms_alone(spark):
+    plan = search_queries.eval_summary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
