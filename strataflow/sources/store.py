@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -52,18 +52,30 @@ class BucketStore:
     def files(self) -> dict[str, tuple[int, int]]:
         return stamps(self.spark, self.path)
 
-    def upsert(self, load: DataFrame, order: str) -> dict[str, int]:
-        """Store a load, the largest `order` of a key last; returns how many rows were new, updated and same."""
+    def upsert(self, load: DataFrame, order: str, each: str | None = None) -> dict[str, int]:
+        """Store a load, the largest `order` of a key last; returns how many rows were new, updated and same. Keys are counted, unless
+        `each` names a column: rows of a key then come one after another by (order, each), and each is told from the one before."""
         names = self.schema.names
-        rows = load.where(F.col(self.key).isNotNull()).groupBy(F.col(self.key).alias("__key")).agg(F.max_by(F.struct(*names), F.struct(order, self._hash())).alias("r"))
-        rows = staged(rows.select("r.*").withColumns({"__hash": self._hash(), "bucket": self._bucket()}), "load")
+        rows = load.where(F.col(self.key).isNotNull()).withColumn("__hash", self._hash())
+        nth, moved, last = F.lit(1), F.lit(None).cast("boolean"), F.struct(order, "__hash")
+        if each:
+            within = Window.partitionBy(self.key).orderBy(order, each)
+            nth, moved, last = F.row_number().over(within), F.col("__hash") != F.lag("__hash").over(within), F.struct(order, each)
+        rows = rows.withColumns({"__nth": nth, "__moved": moved}).groupBy(F.col(self.key).alias("__key")).agg(
+            F.max_by(F.struct(*names), last).alias("r"), (F.min_by("__hash", "__nth") if each else F.max_by("__hash", last)).alias("__hash"),
+            F.count_if("__moved").alias("__updated"), F.count_if(~F.col("__moved")).alias("__same"),
+        )
+        rows = staged(rows.select("r.*", "__hash", "__updated", "__same").withColumn("bucket", self._bucket()), "load")
         held = self._stored()
         old = held.select(F.col(self.key).alias("__old"), self._hash().alias("__held"))
         told = rows.join(old, F.col(self.key) == F.col("__old"), "left")
         kind = F.when(F.col("__old").isNull(), "new").when(F.col("__hash") == F.col("__held"), "same").otherwise("updated")
-        told = staged(told.select(*names, "bucket", kind.alias("kind")), "told")
-        counts = {r["kind"]: r["n"] for r in told.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-        changed = told.where("kind <> 'same'")
+        told = staged(told.select(*names, "bucket", kind.alias("kind"), "__updated", "__same"), "told")
+        counts: dict[str, int] = {}
+        for r in told.groupBy("kind").agg(F.count("*").alias("n"), F.sum("__updated").alias("updated"), F.sum("__same").alias("same")).collect():
+            for k, n in ((r["kind"], r["n"]), ("updated", r["updated"]), ("same", r["same"])):
+                counts[k] = counts.get(k, 0) + n
+        changed = told.where("kind <> 'same' or __updated > 0")
         touched = [r[0] for r in changed.select("bucket").distinct().collect()]  # at most as many as there are buckets
         if touched:
             keys = changed.select(F.col(self.key).alias("__gone"))

@@ -1,5 +1,6 @@
 """Graphs, reservations, trigram indexes, stored tables and databases against plain Python."""
 
+import hashlib
 import random
 
 import pytest
@@ -194,3 +195,21 @@ def test_levels_in_blocks(spark, size):
     assert {r.node: r.level for r in got} == plain_levels(pairs)
     assert size < 1000 or len(ran.getJobIdsForGroup(f"levels {size}")) < 300
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_store_counts_rows(spark, tmp_path):
+    """Two pages of a load under one url are told one after the other, as the SQL does, page by page."""
+    pages = [(i, None if i == 17 else f"u{i // 2 if i < 20 else i}", "a" if i in (4, 5) else f"h{i}") for i in range(40)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    state, told = {}, {}
+    for i in range(table_queries.LOADS):
+        for p, u, h in sorted(pages):
+            if p % 3 == i or u is None:
+                continue
+            html = h + "!" * (p % 5 == i)
+            kind = "new" if u not in state else "same" if state[u][1] == html else "updated"
+            told[i, kind] = told.get((i, kind), 0) + 1
+            state[u] = (p, html, i if kind != "same" else state[u][2])
+    assert {(r.loaded, r.kind): r.n for r in table_queries.store_loads(spark, str(tmp_path)).collect()} == told and told[0, "updated"]
+    got = {r.url: (r.digest, r.loaded) for r in table_queries.store_state(spark, str(tmp_path)).collect()}
+    assert got == {u: (hashlib.md5(h.encode()).hexdigest(), i) for u, (_, h, i) in state.items()}
