@@ -6,6 +6,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from strataflow import catalogue
 from strataflow.functions import stem_en, stem_ru
 from strataflow.functions.text import ascii_lower, query_terms
 from strataflow.operators import boolean, stems
@@ -137,3 +138,8 @@ def test_lists_are_shuffled_once(spark, monkeypatch):
 def test_evaluation_shuffles_its_terms_alone(spark):
     plan = search_queries.eval_summary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_listed_terms_leave_a_text_once(spark):
+    plan = catalogue.queries()["posting_lists"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array_distinct(" in plan
