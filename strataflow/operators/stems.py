@@ -1,7 +1,7 @@
 """An index of stems made from an index of terms: a dictionary from distinct terms to stems, and the lists of a stem's terms merged.
 
-Only the dictionary goes through the stemmer, once a distinct term. Lists of a stem that has one term stay as they are; those of more
-are merged as sorted arrays, with the frequencies of a document that has several of the terms added. Defined cases: null texts
+Only the dictionary goes through the stemmer, once a distinct term. Lists of a stem's terms are merged as they stream by in order of stem,
+with the frequencies of a document that has several of the terms added. Defined cases: null texts
 have no terms; a stem of two bytes or fewer is dropped, as are stop words where the language has any; a query
 without terms left finds nothing; a term that a query has twice counts twice.
 """
@@ -11,13 +11,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, query_terms
 from ..session import ship
+from . import boolean
 
 
 def dictionary(lists: DataFrame, stem: Callable[[str], str | None], least_bytes: int = 3) -> DataFrame:
@@ -28,22 +27,10 @@ def dictionary(lists: DataFrame, stem: Callable[[str], str | None], least_bytes:
     return found.where(F.octet_length("stem") >= least_bytes)
 
 
-def _merged(ids: pd.Series, freqs: pd.Series) -> pd.DataFrame:
-    out = []
-    for a, b in zip(ids, freqs, strict=True):
-        found, where = np.unique(a, return_inverse=True)
-        out.append((found, np.bincount(where, weights=b).astype("int64")))
-    return pd.DataFrame(out, columns=["ids", "freqs"])
-
-
 def stem_lists(lists: DataFrame, known: DataFrame) -> DataFrame:
-    """(term, part, ids, freqs): posting lists of stems, from those of terms and their dictionary."""
-    rows = lists.join(known.select(F.col("term").alias("__term"), "stem"), F.col("term") == F.col("__term"))
-    held = rows.groupBy("stem", "part").agg(F.count("*").alias("n"), F.collect_list("ids").alias("ids"), F.collect_list("freqs").alias("freqs"))
-    one = held.where("n = 1").select(F.col("stem").alias("term"), "part", F.col("ids")[0].alias("ids"), F.col("freqs")[0].alias("freqs"))
-    merged = F.pandas_udf(_merged, "ids array<long>, freqs array<long>")
-    more = held.where("n > 1").select(F.col("stem").alias("term"), "part", merged(F.flatten("ids"), F.flatten("freqs")).alias("m"))
-    return one.union(more.select("term", "part", "m.ids", "m.freqs"))
+    """(term, part, ids, freqs): posting lists of stems, from those of terms and their dictionary. Lists are packed before they meet it."""
+    rows = boolean.packed(lists).join(known.select(F.col("term").alias("__term"), "stem"), F.col("term") == F.col("__term"))
+    return boolean.merged(rows.select(F.col("stem").alias("term"), "part", "packed"))
 
 
 def asked(text: str, stem: Callable[[str], str | None]) -> Counter:

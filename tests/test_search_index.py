@@ -3,8 +3,11 @@
 import re
 import shutil
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSourceArrowWriter
 
 from strataflow import catalogue
 from strataflow.functions import stem_en, stem_ru
@@ -143,3 +146,44 @@ def test_evaluation_shuffles_its_terms_alone(spark):
 def test_listed_terms_leave_a_text_once(spark):
     plan = catalogue.queries()["posting_lists"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(array_distinct(" in plan
+
+
+def _lists(lists):
+    columns = [pa.array([f"t{i}" for i in range(len(lists))]), pa.array(range(len(lists)), pa.int32()), *(pa.array([x[k] for x in lists], pa.list_(pa.int64())) for k in (0, 1))]
+    return pa.RecordBatch.from_arrays(columns, boolean.LIST_COLUMNS)
+
+
+def test_packed_lists(monkeypatch):
+    """Any ids and counts come back; lists are unpacked in pieces, however large their batch is."""
+    own = np.random.default_rng(1).integers(-(2**62), 2**62, 300)
+    lists = [([-5, 3, 2**62, 2**63 - 1], [1, 200, 2**40, 1]), ([-(2**63), 2**63 - 1], [5, 1]), ([7], [1]), (sorted(own.tolist()), [1] * 300), *(([i], [i]) for i in range(1, 40))]
+    for size in (1, 64, 1 << 20):
+        monkeypatch.setattr(boolean, "UNPACK_BYTES", size)
+        for batch in (_lists(lists), _lists(lists).slice(1, 2), _lists(lists).slice(0, 0)):
+            pieces = list(boolean._unpacked(boolean._packed(batch)))
+            assert [r for p in pieces for r in p.to_pylist()] == batch.to_pylist()
+            assert len(pieces) > 30 or size > 1 or batch.num_rows < 5
+    wide = _lists([(list(range(3, 9000, 3)), [1] * 2999)])
+    assert boolean._packed(wide).nbytes * 7 < wide.nbytes
+
+
+def test_stems_meet_once_and_packed(spark):
+    lists = boolean.posting_lists(spark.createDataFrame(TEXTS, "doc_id long, text string"), 2)
+    plan = stems.stem_lists(lists, stems.dictionary(lists, stem_en.lexeme))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= boolean.BATCH_BYTES
+
+
+def test_postings_go_by_batches(tmp_path, monkeypatch):
+    """Segments are written and read by Arrow batches, and closed by the entry that fills them."""
+    monkeypatch.setattr(postings, "SEGMENT_BYTES", 40)
+    writer = postings.Writer(str(tmp_path), 3)
+    assert isinstance(writer, DataSourceArrowWriter)
+    batch = pa.RecordBatch.from_pydict({"term": [f"t{i}" for i in range(30)], "ids": [[i, -i] for i in range(30)]}, postings.ARROW_SCHEMA)
+    made = writer.write(iter([batch]))
+    writer.commit([made])
+    assert all(40 <= (tmp_path / f).stat().st_size - 4 < 60 for f in made.files[:-1]) and len(made.files) > 5
+    reader = postings.Reader(str(tmp_path), 25)
+    got = [b for r in reader.partitions() for b in reader.read(r)]
+    assert all(isinstance(b, pa.RecordBatch) for b in got)
+    assert sorted((x["term"], x["ids"]) for b in got for x in b.to_pylist()) == sorted((f"t{i}", [i, -i]) for i in range(30))
