@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import boolean, linear
 from ..session import ship, table
 from ..sources import files
-from .registry import query, sql
+from .registry import _render, query, sql
 
 
 def iterate(name: str, fields: dict[str, tuple[str, str]], steps: int, out: str, every: bool = False) -> None:
@@ -144,11 +144,38 @@ select x, y, max(case when {WALL.format('(x + dx)', '(y + dy)')} then 1 else 0 e
 from (select {{range|1|14}} as x) a cross join (select {{range|1|14}} as y) b cross join (values (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) as o(dx, dy) group by x, y""")
 
 PIECE = "[A-Za-z0-9Ѐ-ѿ'-]+¦[^A-Za-z0-9Ѐ-ѿ'-]+"
-sql("tokenize_positions", f"""
+POSITIONS = f"""
 select doc_id, pos - {{bytes|piece}} + {{bytes|piece}} - {{bytes|{{replace_all|piece|{{re|^[-']+}}|''}}}} as position, {{bytes|token}} as size, token
 from (select doc_id, piece, lower({{replace_all|piece|{{re|^[-']+¦[-']+$}}|''}}) as token, sum({{bytes|piece}}) over (partition by doc_id order by i) - {{bytes|piece}} as pos
       from (select doc_id, {{indexed|{{extract_all|text|{{re|{PIECE}}}|0}}|i|piece}} from documents))
-where {{matches|piece|{{re|[A-Za-z0-9Ѐ-ѿ]}}}}""".replace("pos - {bytes|piece} + {bytes|piece} - ", "pos + {bytes|piece} - "))
+where {{matches|piece|{{re|[A-Za-z0-9Ѐ-ѿ]}}}}""".replace("pos - {bytes|piece} + {bytes|piece} - ", "pos + {bytes|piece} - ")
+
+
+@query(POSITIONS)
+def tokenize_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens with the byte where each begins. Pieces of a text are summed up in its own row, so nothing is shuffled but ids; only
+    texts that share an id, whose pieces the SQL sums together, go through its window."""
+    boolean.ready(spark)
+    running = F.pandas_udf(lambda lists: lists.map(lambda x: x.cumsum(dtype="int64"), na_action="ignore"), "array<long>")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    several = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
+    shared = None
+    if several.isEmpty():
+        alone = docs
+    else:
+        same = docs["doc_id"].eqNullSafe(several["__id"])
+        alone, shared = docs.join(several, same, "left_anti"), docs.join(several, same, "left_semi")
+    pieces = F.regexp_extract_all("text", F.lit(PIECE.replace("¦", "|")), 0)
+    held = alone.select("doc_id", pieces.alias("pieces")).withColumn("ends", running(F.transform("pieces", F.octet_length)))
+    each = held.select("doc_id", F.explode(F.arrays_zip("pieces", "ends")).alias("x"))
+    rows = each.select("doc_id", F.col("x.pieces").alias("piece"), (F.col("x.ends") - F.octet_length("x.pieces")).alias("pos"))
+    token = F.lower(F.regexp_replace("piece", "^[-']+|[-']+$", ""))
+    position = F.col("pos") + F.octet_length("piece") - F.octet_length(F.regexp_replace("piece", "^[-']+", ""))
+    found = rows.where(F.col("piece").rlike("[A-Za-z0-9Ѐ-ѿ]")).select("doc_id", position.alias("position"), F.octet_length(token).alias("size"), token.alias("token"))
+    if shared is None:
+        return found
+    return found.union(spark.sql(_render(POSITIONS, 0).replace("from documents", "from {shared}"), shared=shared))
+
 
 MATRIX = "array(s_suppkey % 7 + 20, s_suppkey % 5, s_suppkey % 3, s_suppkey % 11, s_suppkey % 13 + 30, s_suppkey % 2, s_suppkey % 17, s_suppkey % 4, s_suppkey % 19 + 25)"
 CELLS = "select s_suppkey, s_suppkey % 7 + 20 as a, s_suppkey % 5 as b, s_suppkey % 3 as c, s_suppkey % 11 as d, s_suppkey % 13 + 30 as e, s_suppkey % 2 as f, s_suppkey % 17 as g, s_suppkey % 4 as h, s_suppkey % 19 + 25 as i, 1.0e0 as p, 2.0e0 as q, s_suppkey % 23 as r from supplier"

@@ -5,7 +5,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from strataflow.operators import linear
-from strataflow.session import ship
+from strataflow.plans import registry, solver_queries
+from strataflow.session import ship, views
 from strataflow.sources import files
 from strataflow.streaming import streams
 
@@ -52,3 +53,17 @@ def test_csv(spark):
     df = spark.createDataFrame(rows, "k long, s string")
     got = files.read_csv(spark, files.write_csv(df, files.scratch_path(spark, "csv")), "k long, s string")
     assert {r.k: r.s for r in got.select("k", F.coalesce("s", F.lit("none")).alias("s")).collect()} == {1: 'a "b", c', 2: "two\nlines", 3: "none", 4: "null", 5: ""}
+
+
+def test_positions_of_texts_that_share_an_id(spark, tmp_path):
+    """Against the SQL's window over the same rows; pieces of a text of its own are not shuffled."""
+    rows = [(1, "It's -a- test, «да» x"), (2, None), (3, ""), (4, "--"), (5, "Éa b'"), (5, "c 'dé' e"), (None, "f g"), (None, "hh i"), (6, "z")]
+    for some in (rows, [r for r in rows if r[0] not in (5, None)]):
+        path = str(tmp_path / str(len(some)))
+        spark.createDataFrame(some, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+        found = solver_queries.tokenize_positions(spark, path)
+        views(spark, path, "documents")
+        want = spark.sql(registry._render(solver_queries.POSITIONS, 0))
+        assert found.dtypes == want.dtypes
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
