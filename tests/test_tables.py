@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strataflow.functions.text import trigrams
 from strataflow.operators import graphs, reservations, trigram_index
 from strataflow.plans import table_queries
-from strataflow.sources import seeds
+from strataflow.sources import databases, seeds
 from strataflow.sources.store import BucketStore
 
 DATA = "/root/testdata/sf0.001"
@@ -169,6 +169,23 @@ def test_jdbc(spark):
     assert seeds.read_jdbc(spark, url, "t").count() == 202
 
 
+def test_databases_of_a_cluster(spark, tmp_path, monkeypatch):
+    """Without a database's url a cluster has the same rows; nulls, text of any kind and odd names come back; no rows make none."""
+    want = sorted(map(tuple, table_queries.jdbc_roundtrip(spark, DATA).collect()))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://some:7077")
+    monkeypatch.setattr(table_queries.files, "scratch_path", lambda spark, kind: f"file://{tmp_path}/{kind}")
+    found = table_queries.jdbc_roundtrip(spark, DATA)
+    assert want and sorted(map(tuple, found.collect())) == want
+    rows = [(i, f"n'{i}\"\n", i / 4) for i in range(200)] + [(-(2**63), "é\u0400", None), (None, None, float("inf"))]
+    df = spark.createDataFrame(rows, 'k long, `a "b` string, v double')
+    for some in (df, df.limit(0)):
+        made = databases.write(some, str(tmp_path / "x"), "t", "k", parts=3, batch=7)
+        back = databases.read(spark, str(tmp_path / "x"), made, "t", some.schema, batch=9)
+        assert back.dtypes == some.dtypes and sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, some.collect()), key=str)
+    made = databases.write(df, str(tmp_path / "y"), "t", "k", parts=3)
+    assert len(made) == 3 and databases.read(spark, str(tmp_path / "y"), made, "t", df.schema, "k > 190").count() == 9
+
+
 def test_jobs_in_order(spark):
     edges = [(r.needs, r.job) for r in [*_jobs(spark)]]
     place = {r.job: r.place for r in table_queries.dag_order(spark, DATA).collect()}
