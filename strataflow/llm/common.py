@@ -72,6 +72,7 @@ def stage(df: DataFrame, kind: str = "stage") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, kind)
     df.write.parquet(path)
+    tidy(df.sparkSession)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged.staged_path = path
     return staged
@@ -82,9 +83,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(df.sparkSession))
+    tidy(df.sparkSession)
     return df.checkpoint()
 
 
+#: MB in use on the driver's heap, garbage included, from which it is collected between steps.
+HEAP_MB = 160
+
+
+def tidy(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage if there is much. Plans of many steps leave garbage behind, for which an idle heap
+    would rather grow to its limit than be collected; what is live is a small part of it."""
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() - heap.freeMemory() > HEAP_MB << 20:
+        spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of steps whose results are staged. Spark deletes them once the driver's JVM has collected the
     objects that stand for them, which an idle heap may put off until a long query has filled the executors' disks."""

@@ -814,3 +814,23 @@ def test_jaccard_chains_cross_batches(spark):
     found = {(r.a, r.b) for r in jaccard.chains(sets, 0.8, gather=700).collect()}
     by_size = [k for _, k in sorted((n, k) for k, n, _ in rows[:3000])]
     assert set(zip(by_size, by_size[1:], strict=False)) <= found and all(a != b for a, b in found)
+
+
+def test_driver_heap_is_tidied(spark, monkeypatch):
+    """Between steps the driver's garbage is collected if there is much, and left alone if there is little."""
+    from strataflow.llm import common
+
+    collected = []
+    runtime = type("Runtime", (), {"totalMemory": lambda s: 400 << 20, "freeMemory": lambda s: 100 << 20})()
+    system = type("System", (), {"gc": staticmethod(lambda: collected.append(1))})
+    lang = type("Lang", (), {"Runtime": type("R", (), {"getRuntime": staticmethod(lambda: runtime)})})
+    jvm = type("Jvm", (), {"java": type("Java", (), {"lang": lang}), "System": system})
+    fake = type("Session", (), {"sparkContext": type("Context", (), {"_jvm": jvm})})
+    common.tidy(fake)
+    assert collected == [1]
+    monkeypatch.setattr(common, "HEAP_MB", 301)
+    common.tidy(fake)
+    assert collected == [1]
+    asked = []
+    monkeypatch.setattr(common, "tidy", asked.append)
+    assert common.stage(spark.range(3)).count() == 3 and len(asked) == 1
