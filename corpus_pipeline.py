@@ -56,7 +56,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
         docs = common.stage(stage(spark, docs, sf_dir), "pipeline")
+        common.discard(*before)
+        before = [docs]
     return docs

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +31,25 @@ SIMILARITY = 0.8
 #: Shingles of texts that are compared as one group, about; what a task holds is bounded by them.
 GROUP_LIMIT = 2_000_000
 #: Most sets with the same shingle in front whose pairs are counted, and rows that a task gathers before it looks for pairs.
-SHARED, GATHER = 32, 50_000
-#: Texts that show which shingles are frequent.
-SAMPLE = 64_000
+SHARED, GATHER = 64, 50_000
+#: Texts that show which shingles are frequent, at least, and their share of all texts, at least: a shingle that more than SHARED sets have
+#: must show in the sample however many texts there are, or else chance alone chains sets without a count.
+SAMPLE, SAMPLE_SHARE = 64_000, 0.25
+#: Texts of a larger sample that must have a shingle to make it a frequent one, at most; SHARED times SAMPLE_SHARE is well above it.
+LEAST = 6
+#: Rounds in which the shingles in front are shuffled, at most, and sets for each: only one round's share is on the disks at a time.
+ROUNDS, ROUND_SETS = 4, 50_000
 #: Bits of a shingle that say where it is counted, and shingles that a task gathers before it deals them out.
 BUCKET_BITS, LISTED = 10, 1_000_000
 SLACK = 1e-9
 
 
-def frequent(docs: DataFrame, shingle: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, shingle: int, sample: int = SAMPLE, share: float = SAMPLE_SHARE) -> tuple[np.ndarray, np.ndarray]:
     """The first 32 bits of shingles that several texts of a sample have, ascending, and how many have them. The bits are shuffled as
     arrays, by their first BUCKET_BITS; the few shingles that agree in all 32 count as one, which changes the order alone."""
+    texts = max(docs.count(), 1)
+    taken = min(1.0, max(sample / texts, share))
+    least = min(max(2, round(2 * taken * texts / sample)), LEAST)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def dealt() -> pa.RecordBatch:
@@ -62,10 +71,10 @@ def frequent(docs: DataFrame, shingle: int, sample: int = SAMPLE) -> tuple[np.nd
         rows = ((i, x) for batch in batches for i, x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for _, own in itertools.groupby(rows, lambda r: r[0]):
             h, n = np.unique(np.frombuffer(b"".join(x for _, x in own), "<u4"), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].astype(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[n >= least].astype(np.int64)) for x in (h, n)], ["h", "n"])
 
     rows = docs.select(F.col("text").cast("binary").alias("text"))
-    rows = rows.sample(min(1.0, sample / max(docs.count(), 1)), seed=1)
+    rows = rows.sample(taken, seed=1)
     lists = rows.mapInArrow(listed, "bucket int, own binary").repartition(C.shuffle_width(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
     found = lists.mapInArrow(counted, "h long, n long").toArrow()
     h, n = found.column("h").to_numpy().astype(np.uint64), found.column("n").to_numpy()
@@ -127,9 +136,10 @@ def group_pairs(h: np.ndarray, n: np.ndarray, key: np.ndarray, similarity: float
         yield key[at], key[at + d], np.where(large[at], 0, shared(n[at]))
 
 
-def chains(sets: DataFrame, similarity: float, limit: int = SHARED, gather: int = GATHER) -> DataFrame:
-    """Pairs (a, b) of keys whose connected components hold all pairs of sets that are alike. Rows of equal sets are made one where
-    they meet, so that their prefixes aren't shuffled twice."""
+def front_pairs(sets: DataFrame, similarity: float, limit: int = SHARED, gather: int = GATHER) -> list[DataFrame]:
+    """Stage (a, b, need) of keys of sets for each shingle that both have in front, a table for each round of shingles. Rows of equal sets
+    are made one where they meet."""
+    spark = sets.sparkSession
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(*rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -159,10 +169,26 @@ def chains(sets: DataFrame, similarity: float, limit: int = SHARED, gather: int
             yield from pairs(h[:end], n[:end], key[:end])
             held, rows = [[h[end:], n[end:], key[end:]]], len(h) - end
 
-    rows = sets.select(F.explode("prefix").alias("h"), "n", "key")
-    rows = rows.repartition(C.shuffle_width(sets.sparkSession) * 2, "h").sortWithinPartitions("h", "n", "key")
-    found = rows.mapInArrow(chained, "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
-    return found.where("n >= need and a <> b").select("a", "b")
+    rounds, staged = min(ROUNDS, 1 + sets.count() // ROUND_SETS), []
+    for i in range(rounds):
+        own = F.filter("prefix", lambda h: F.pmod(h, F.lit(rounds)) == i)  # noqa: B023
+        rows = sets.select(F.explode(own if rounds > 1 else "prefix").alias("h"), "n", "key")
+        rows = rows.repartition(C.shuffle_width(spark) * 2, "h").sortWithinPartitions("h", "n", "key")
+        staged.append(C.stage(rows.mapInArrow(chained, "a long, b long, need long").where("a <> b"), "front-pairs"))
+        del rows
+        C.release(spark)
+    return staged
+
+
+def counted(found: list[DataFrame]) -> DataFrame:
+    """Pairs (a, b) that share as many shingles in front as they need."""
+    each = reduce(DataFrame.union, found).groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    return each.where("n >= need").select("a", "b")
+
+
+def chains(sets: DataFrame, similarity: float, limit: int = SHARED, gather: int = GATHER) -> DataFrame:
+    """Pairs (a, b) of keys whose connected components hold all pairs of sets that are alike."""
+    return counted(front_pairs(sets, similarity, limit, gather))
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
@@ -206,9 +232,10 @@ def links(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, similarity
     first = C.stage(first, "sets")
     same = named.select(F.col("key").alias("__key"), F.col("code").alias("a")).distinct()
     same = same.join(first.select("key", F.col("code").alias("b")), F.col("__key") == F.col("key")).where("a <> b").select("a", "b")
-    # the prefixes' shuffle is the largest here
-    pairs = C.stage(chains(sets, similarity), "set-chains")
+    met = front_pairs(sets, similarity)
     C.discard(sets)
+    pairs = C.stage(counted(met), "set-chains")
+    C.discard(*met)
     C.release(spark)
     parts = C.stage(components(pairs, "a", "b"), "set-parts")
     some = parts.withColumnRenamed("node", "key").join(first, "key")

@@ -834,3 +834,21 @@ def test_driver_heap_is_tidied(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(common, "tidy", asked.append)
     assert common.stage(spark.range(3)).count() == 3 and len(asked) == 1
+
+
+def test_jaccard_sample_follows_the_texts(spark, monkeypatch):
+    """A shingle of more than SHARED sets shows in the sample however many texts there are; shingles go in rounds without losing a pair."""
+    rng = random.Random(3)
+    made = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, base = made(9), made(200)
+    texts = [made(20) + (passage if i % 4 == 0 else []) for i in range(600)] + [base[:j] + made(2) + base[j:] for j in (30, 90, 150)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    known, counts = jaccard.frequent(docs, 5, sample=20)
+    assert set(known.tolist()) == {int(h >> np.uint64(32)) for h in hashing.Shingles(5)([" ".join(passage).encode()])[0]}
+    assert len(known) == 5 and min(counts) >= jaccard.LEAST
+    sets = jaccard.set_table(docs, 5, 0.8)
+    whole = {(r.a, r.b) for r in jaccard.chains(sets, 0.8).collect()}
+    assert len(jaccard.front_pairs(sets, 0.8)) == 1
+    monkeypatch.setattr(jaccard, "ROUND_SETS", 100)
+    assert len(jaccard.front_pairs(sets, 0.8)) == jaccard.ROUNDS > 1 and {(r.a, r.b) for r in jaccard.chains(sets, 0.8).collect()} == whole
+    assert len(whole) == 3
