@@ -1,7 +1,7 @@
 """A stored table that loads change: rows by key in hash buckets, of which a load rewrites only those with changes.
 
 A load's rows are told apart by key into new ones, changed ones (another content hash) and same ones; the last row of a key in a load
-counts. Buckets with new or changed rows are staged whole and then overwritten; all others keep their files. A load that is
+counts. A same row that differs in other columns takes these but keeps the `order` of its last change. Buckets with such, new or changed rows are staged whole and then overwritten; all others keep their files. A load that is
 tried again after a failure ends in the same state, as its rows are then the same ones.
 
 Defined cases: rows with a null key aren't stored; null values are a content like any other; repeated rows are one; an empty load changes nothing.
@@ -10,6 +10,7 @@ Defined cases: rows with a null key aren't stored; null values are a content lik
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,15 +68,20 @@ class BucketStore:
         )
         rows = staged(rows.select("r.*", "__hash", "__updated", "__same").withColumn("bucket", self._bucket()), "load")
         held = self._stored()
-        old = held.select(F.col(self.key).alias("__old"), self._hash().alias("__held"))
+        rest = [c for c in names if c not in (self.key, order, *self.values)]
+        since = F.col(order) if order in names else F.lit(None)
+        old = held.select(F.col(self.key).alias("__old"), self._hash().alias("__held"), since.alias("__since"), *[F.col(c).alias(f"__old_{c}") for c in rest])
         told = rows.join(old, F.col(self.key) == F.col("__old"), "left")
         kind = F.when(F.col("__old").isNull(), "new").when(F.col("__hash") == F.col("__held"), "same").otherwise("updated")
-        told = staged(told.select(*names, "bucket", kind.alias("kind"), "__updated", "__same"), "told")
+        still = (kind == "same") & (F.col("__updated") == 0)
+        other = still & ~reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"__old_{c}")), rest, F.lit(True))
+        shown = [F.when(still, F.col("__since")).otherwise(F.col(c)).alias(c) if c == order else F.col(c) for c in names]
+        told = staged(told.select(*shown, "bucket", kind.alias("kind"), other.alias("__other"), "__updated", "__same"), "told")
         counts: dict[str, int] = {}
         for r in told.groupBy("kind").agg(F.count("*").alias("n"), F.sum("__updated").alias("updated"), F.sum("__same").alias("same")).collect():
             for k, n in ((r["kind"], r["n"]), ("updated", r["updated"]), ("same", r["same"])):
                 counts[k] = counts.get(k, 0) + n
-        changed = told.where("kind <> 'same' or __updated > 0")
+        changed = told.where("kind <> 'same' or __updated > 0 or __other")
         touched = [r[0] for r in changed.select("bucket").distinct().collect()]  # at most as many as there are buckets
         if touched:
             keys = changed.select(F.col(self.key).alias("__gone"))

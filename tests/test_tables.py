@@ -3,9 +3,11 @@
 import hashlib
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from strataflow import catalogue
 from strataflow.functions.text import trigrams
 from strataflow.operators import graphs, reservations, trigram_index
 from strataflow.plans import table_queries
@@ -230,3 +232,15 @@ def test_store_counts_rows(spark, tmp_path):
     assert {(r.loaded, r.kind): r.n for r in table_queries.store_loads(spark, str(tmp_path)).collect()} == told and told[0, "updated"]
     got = {r.url: (r.digest, r.loaded) for r in table_queries.store_state(spark, str(tmp_path)).collect()}
     assert got == {u: (hashlib.md5(h.encode()).hexdigest(), i) for u, (_, h, i) in state.items()}
+
+
+def test_store_equals_sql(spark, tmp_path):
+    """Null pages, and same pages under another number, against the SQL; pages of one url are alike where a load has both, so that no order matters."""
+    pages = [(i, f"u{i}", None if i % 4 == 0 else f"h{i}") for i in range(60)]
+    pages += [(154, "a", "h"), (158, "a", "h"), (169, "b", None), (173, "b", None), (112, None, "h"), (None, "d", "h")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    found = duckdb.connect()
+    found.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("store_state", "store_loads"):
+        got = catalogue.queries()[name](spark, str(tmp_path)).collect()
+        assert sorted(map(tuple, got)) == sorted(found.sql(catalogue.oracle_sql()[name]).fetchall()), name
