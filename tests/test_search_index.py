@@ -3,6 +3,7 @@
 import re
 import shutil
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -187,3 +188,15 @@ def test_postings_go_by_batches(tmp_path, monkeypatch):
     got = [b for r in reader.partitions() for b in reader.read(r)]
     assert all(isinstance(b, pa.RecordBatch) for b in got)
     assert sorted((x["term"], x["ids"]) for b in got for x in b.to_pylist()) == sorted((f"t{i}", [i, -i]) for i in range(30))
+
+
+def test_listed_terms_come_from_lists(spark, tmp_path):
+    """The query makes the lists by the operator, in parts, and gives the SQL's rows; terms of documents without an id are listed too."""
+    texts = [(i % 30 if i < 60 else None, f"The word{i % 7} word{i % 7} of Slash/und number{i} " + "filler " * 9) for i in range(64)] + [(90, None), (91, "short one")]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalogue.queries()["posting_lists"](spark, str(tmp_path))
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    own = duckdb.connect()
+    own.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = own.sql(catalogue.oracle_sql()["posting_lists"]).fetchall()
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str) and any(n == 0 for _, n, _, _ in want)
