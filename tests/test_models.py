@@ -62,6 +62,17 @@ def test_knn_compares_in_blocks(spark):
     assert "FlatMapCoGroupsInPandas" in plan and "zip_with" not in plan
 
 
+def test_knn_regress_asks_for_every_vector(spark):
+    data = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
+    x = np.array([r.embedding for r in rows], float)
+    want = {}
+    for r, v in zip(rows, x, strict=True):
+        near = sorted((round(d, 6), o.vec_id, o.label) for d, o in zip(((x - v) ** 2).sum(1), rows, strict=True) if o.vec_id != r.vec_id)
+        want[r.vec_id] = round(sum(label for _, _, label in near[:5]) / 5, 6)
+    assert {r.q: r.value for r in learning_queries.knn_regress(spark, data).collect()} == want and len(want) == len(rows)
+
+
 def plain_tree(x, ys, w, depth, min_split, min_leaf, cut, node=0):
     """{leaf or split by node}, by trying every cut."""
     n = sum(w)
